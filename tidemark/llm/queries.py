@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import op8_chat_format
 from tidemark.llm.mixing import op7_mixing
+from tidemark.llm.pieces import op5_sentencepiece
 from tidemark.llm.quality import op10_quality_rules
 from tidemark.llm.sharding import op9_sharding
+from tidemark.llm.tokens import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_mixing, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op5_sentencepiece, op6_token_counts, op7_mixing, op8_chat_format, op9_sharding, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
