@@ -1,0 +1 @@
+"""Scenes as a stream."""
