@@ -300,7 +300,7 @@ def dedup_substrings(docs: DataFrame, n: int = 20) -> DataFrame:
     texts = _only(docs.select("doc", "text"), marks).join(marks.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "text", "at")
     spans = cut(repeated_runs(texts, n, parts).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
-    firsts = whole.groupBy("whole").agg(F.min("doc").alias("first"))
+    firsts = cut(whole.groupBy("whole").agg(F.min("doc").alias("first")))  # a join of its own, whose hot texts Spark can split
     state = whole.join(firsts.withColumnRenamed("whole", "_whole"), F.col("whole") == F.col("_whole")).select("doc", "named", "n_words", "whole", (F.col("first") < F.col("doc")).alias("copy"))
     state = cut(state)
 
