@@ -522,3 +522,82 @@ _table("label_encode", "part", "SELECT p_partkey, p_brand, CAST(dense_rank() OVE
 _table("standardize", "part", "SELECT p_partkey, round((p_size - m) / s, 6) AS p_size, round((p_retailprice - pm) / ps, 6) AS p_retailprice FROM part, (SELECT avg(p_size) AS m, stddev_pop(p_size) AS s, avg(p_retailprice) AS pm, stddev_pop(p_retailprice) AS ps FROM part) q", lambda p, _: ml.standardize(p.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]).select("p_partkey", *r6("p_size", "p_retailprice")))
 _table("frame_subset", "nation", "SELECT 'r_regionkey' AS column, (SELECT count(*) FROM (SELECT n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))) = 0 AS subset", lambda n, t: ml.is_subset(n.select(F.col("n_regionkey").alias("r_regionkey")), t("region")))
 _table("augment", "part", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part UNION ALL SELECT p_partkey, CAST(CASE WHEN p_size > 0 THEN p_size + 25 ELSE p_size END AS DOUBLE) FROM part UNION ALL SELECT p_partkey, CAST(CASE WHEN p_size > 0 THEN p_size - 300 ELSE p_size END AS DOUBLE) FROM part", lambda p, _: ml.augment(p.select("p_partkey", F.col("p_size").cast("double").alias("p_size")), ["p_size"], 25.0))
+
+
+# --- map features, sites, whole-image plans
+
+
+@query("contour_geojson", "SELECT image_id, count(*) AS n, arg_min(x, seq) AS first_x, arg_min(y, seq) AS first_y, 'LineString' AS kind, 'urn:ogc:def:crs:EPSG::32604' AS crs FROM V GROUP BY 1", "V")
+def _(spark, v):
+    from tidemark.sources.geojson import line_features
+
+    j = F.col("geojson")
+    at = [F.get_json_object(j, f"$.features[0].geometry.coordinates[0][{i}]").cast("double").alias(n) for i, n in enumerate(("first_x", "first_y"))]
+    return line_features(v, 32604).select("image_id", "n", *at, F.get_json_object(j, "$.features[0].geometry.type").alias("kind"), F.get_json_object(j, "$.crs.properties.name").alias("crs"))
+
+
+@query("all_contours", """, C AS (SELECT DISTINCT image_id % 4 AS s, image_id FROM V), M AS (SELECT DISTINCT image_id FROM V WHERE image_id % 3 <> 0) SELECT 's' || CAST(s AS STRING) AS site, count(*) AS n, min(CAST(M.image_id AS DOUBLE) / 100) AS first_cloud FROM C JOIN M ON M.image_id = C.image_id GROUP BY 1""", "V")
+def _(spark, v):
+    from tidemark.sources.geojson import site_features
+
+    stamp = F.concat(F.lit("202401"), F.lpad((F.col("image_id") + 1).cast("string"), 2, "0"), F.lit("_101500"))
+    contours = v.select(F.concat(F.lit("s"), (F.col("image_id") % 4).cast("string")).alias("site"), F.concat(stamp, F.lit("_a")).alias("image_id"), "seq", "x", "y")
+    shots = v.where("image_id % 3 <> 0").select("image_id").distinct()
+    metadata = shots.select(F.concat(stamp, F.lit("_b")).alias("image_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("sat").alias("satname"), (F.col("image_id") / 100).alias("cloud_cover"))
+    first = F.get_json_object("geojson", "$.features[0].properties.cloud_cover").cast("double")
+    return site_features(contours, metadata).select("site", "n", first.alias("first_cloud"))
+
+
+@query("upsert_sites", "SELECT site, max_by(n, v) AS n FROM (SELECT site, 0 AS v, count(*) AS n FROM Q WHERE acquired < TIMESTAMP '1996-01-01' GROUP BY 1 UNION ALL SELECT site, 1, count(*) FROM Q WHERE acquired >= TIMESTAMP '1998-06-01' AND site < '5' GROUP BY 1) q GROUP BY 1", "Q")
+def _(spark, q):
+    old = q.where("acquired < '1996-01-01'").groupBy("site").agg(F.count("*").alias("n"))
+    return catalog.upsert_sites(old, q.where("acquired >= '1998-06-01' AND site < '5'").groupBy("site").agg(F.count("*").alias("n")))
+
+
+@query("tide_range", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 30 MINUTE)) AS ts")
+def _(spark):
+    return series.tide_range(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00", "30 MINUTES")
+
+
+@query("utm_round_trip", "SELECT seq, round(-159 + (x - 621650) / CAST(200 AS DOUBLE), 6) AS lon, round(21 + (y - 2352900) / CAST(500 AS DOUBLE), 6) AS lat FROM V", "V")
+def _(spark, v):
+    p = geo.lonlat_to_utm(-159 + (F.col("x") - 621650) / 200.0, 21 + (F.col("y") - 2352900) / 500.0, 32604)
+    q = geo.utm_to_lonlat(F.col("p.x"), F.col("p.y"), 32604)
+    return v.withColumn("p", p).select("seq", F.round(q.lon, 6).alias("lon"), F.round(q.lat, 6).alias("lat"))
+
+
+def _settings(**more):
+    from tidemark.plans.site import Settings
+
+    return Settings(georef=(621000.0, 3.0, 0.0, 2354000.0, 0.0, -3.0), least_land=20, least_water=20, min_length=6.0, **more)
+
+
+def _coast(spark):
+    """Transects across the class raster's coast."""
+    return spark.range(6).select(F.concat(F.lit("t"), "id").alias("name"), F.lit(621000.0).alias("x0"), (2353990.0 - 18 * F.col("id")).alias("y0"), F.lit(621150.0).alias("x1"), (2353990.0 - 18 * F.col("id")).alias("y1"))
+
+
+@query("shoreline_vertices", "", "L")
+def _(spark, x):
+    """Regions, chains and sections depend on order: rows only; tests hold them against plain versions."""
+    from tidemark.plans.site import shorelines
+
+    return shorelines(x.withColumn("masked", F.col("r") < 2), _settings())
+
+
+@query("coregister", "", "G")
+def _(spark, g):
+    from tidemark.plans.site import coregister
+
+    moved = g.select("image_id", (F.col("r") + 1).alias("r"), (F.col("c") + 2).alias("c"), F.col("b").alias("img"))
+    return coregister(g.select("image_id", "r", "c", F.col("b").cast("double").alias("ref"), "masked").join(moved, ["image_id", "r", "c"]).withColumn("img", F.col("img").cast("double")), grid_res=10)
+
+
+@query("site_matrix", "", "L", "G")
+def _(spark, x, g):
+    """Pixels to filtered observations in one plan: near infrared is low over water."""
+    from tidemark.plans.site import site
+
+    pixels = g.drop("nir", "masked").join(x.select("r", "c", "cls"), ["r", "c"]).select(F.lit("20240101_101500_10_g").alias("image_id"), "r", "c", "b", "g", "red", F.when(F.col("cls") == 1, 100).otherwise(2000).alias("nir"), (F.col("r") < 2).alias("masked"))
+    products = site(pixels, lambda v: F.when(F.element_at(v, 4) < 1000, 1).otherwise(0), _coast(spark), _settings())
+    return products["filtered"].select("ts", "transect", "dist")
