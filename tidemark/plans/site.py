@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import item_time
+from tidemark.functions.shipping import ship_package
 from tidemark.operators import kernels, ml, raster, series, vector
 
 
@@ -96,6 +97,7 @@ def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
         p = np.zeros((0, 2)) if p is None else p
         return pa.table({"image_id": pa.array([group.column("image_id")[0].as_py()] * len(p), pa.string()), "seq": pa.array(np.arange(len(p)), pa.int32()), "x": p[:, 0], "y": p[:, 1]})
 
+    ship_package(classes.sparkSession)
     narrow = classes.select(F.col("image_id").cast("string").alias("image_id"), "r", "c", "cls", "masked")
     return narrow.groupBy("image_id").applyInArrow(run, "image_id string, seq int, x double, y double")
 
@@ -148,6 +150,7 @@ def coregister(pairs: DataFrame, grid_res: int = 50, least_peak: float = 0.03) -
             row = (name, 2, dr, dc, peak) if peak >= least_peak else (name, 1, 0, 0, peak)
         return pa.table({f.split()[0]: [v] for f, v in zip(COREG.split(", "), row, strict=True)}, schema=pa.schema([("image_id", pa.string()), ("level", pa.int32()), ("dr", pa.int32()), ("dc", pa.int32()), ("peak", pa.float64())]))
 
+    ship_package(pairs.sparkSession)
     return pairs.groupBy("image_id").applyInArrow(run, COREG)
 
 

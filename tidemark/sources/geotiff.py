@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
+
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
@@ -154,6 +156,7 @@ def read_rasters(spark: SparkSession, folder: str, suffix: str = "_3B_AnalyticMS
             kinds = pa.schema([("image_id", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("n_bands", pa.int32()), ("georef", pa.struct([(n, pa.float64()) for n in names])), ("epsg", pa.int32()), ("dtype", pa.string()), ("bands", pa.list_(pa.binary()))])
             yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
+    ship_package(spark)
     return named.mapInArrow(run, schema)
 
 
@@ -171,6 +174,7 @@ def pixels_of(rasters: DataFrame, names: list[str]) -> DataFrame:
                 r, c = np.divmod(np.arange(h * w, dtype=np.int32), w)
                 yield pa.RecordBatch.from_arrays([pa.array([x["image_id"]] * (h * w), pa.string()), pa.array(r), pa.array(c), *map(pa.array, cols)], names=["image_id", "r", "c", *names])
 
+    ship_package(rasters.sparkSession)
     return rasters.select("image_id", "h", "w", "dtype", "bands").mapInArrow(run, schema)
 
 
@@ -189,4 +193,5 @@ def encoded(classes: DataFrame, georef: tuple | None = None, epsg: int | None =
         a[r, c] = v
         return pa.table({"image_id": [group.column("image_id")[0].as_py()], "tif": pa.array([encode(a, georef, epsg)], pa.binary())})
 
+    ship_package(classes.sparkSession)
     return classes.select(F.col("image_id").cast("string").alias("image_id"), "r", "c", "cls").groupBy("image_id").applyInArrow(run, "image_id string, tif binary")
