@@ -22,14 +22,14 @@ FILTER = 1 << 20
 
 
 def _slot(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER)).alias("_slot")
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER)).alias("_tm_slot")
 
 
 def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs that may be among ids, docs that surely aren't): by slots of doc_id, at most FILTER rows, which are broadcast."""
     slots = F.broadcast(ids.select(_slot("doc_id")).distinct())
-    keyed = docs.withColumn("_slot", _slot("doc_id"))
-    return keyed.join(slots, "_slot", "left_semi").drop("_slot"), keyed.join(slots, "_slot", "left_anti").drop("_slot")
+    keyed = docs.withColumn("_tm_slot", _slot("doc_id"))
+    return keyed.join(slots, "_tm_slot", "left_semi").drop("_tm_slot"), keyed.join(slots, "_tm_slot", "left_anti").drop("_tm_slot")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,20 +50,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Texts without the words of passages of twenty words or more that stand earlier; n_chars follows. A document that loses all words
     goes. Unchanged texts keep their white space; rows without an id stay as they are."""
     out = dedup_substrings(docs, n=20).where("n_removed > 0 AND doc_id IS NOT NULL")
-    changed = cut(out.select("doc_id", F.col("kept_text").alias("_kept")).dropDuplicates(["doc_id"]))
+    changed = cut(out.select("doc_id", F.col("kept_text").alias("_tm_kept")).dropDuplicates(["doc_id"]))
     maybe, sure = _parted(docs, changed)
-    new = maybe.join(changed.hint("shuffle_hash"), "doc_id", "left").where("_kept IS NULL OR _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    new = new.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("bigint"))).withColumn("text", text)
+    new = maybe.join(changed.hint("shuffle_hash"), "doc_id", "left").where("_tm_kept IS NULL OR _tm_kept <> ''")
+    text = F.coalesce("_tm_kept", "text")
+    new = new.withColumn("n_chars", F.when(F.col("_tm_kept").isNull(), F.col("n_chars")).otherwise(F.length("_tm_kept").cast("bigint"))).withColumn("text", text)
     return sure.unionByName(new.select(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Rows that share id and source are one unit."""
     sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
-    copies = cut(mix(cut(sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size")))).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies"))
-    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    copies = cut(mix(cut(sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size")))).where("copies > 0").select(F.col("copies").alias("_tm_copies"), F.col("doc_id").alias("_tm_id"), F.col("source").alias("_tm_source")))
+    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_tm_id")) & F.col("source").eqNullSafe(F.col("_tm_source")))
+    return taken.withColumn("_tm_copy", F.explode(F.sequence(F.lit(1), "_tm_copies"))).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as cp  # noqa: E402
 import public_tokenizers  # noqa: E402
 
-from tidemark.llm import quality  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from tidemark.llm import quality, queries  # noqa: E402
 
 
 def kept_by_rules(text):
@@ -60,6 +62,17 @@ def test_given(spark, sf, tmp_path):
     assert size > 1000 and quality.POLICIES[2]
 
 
+def test_extra_columns_with_clashing_names(spark, odd, tmp_path):
+    names = ("copies", "size", "n_words", "spans", "whole", "row", "_row", "slot", "fail_bits", "component_id", "ids", "sketch", "named")
+    docs = spark.read.parquet(f"{odd[1]}/documents.parquet")
+    docs.withColumns({n: F.lit(k) for k, n in enumerate(names)}).write.parquet(f"{tmp_path}/x/documents.parquet")
+    out = stages(spark, f"{tmp_path}/x", tmp_path)
+    assert all(out) and all(r[n] == k for r in out[3] for k, n in enumerate(names))
+    for f in queries.QUERIES.values():
+        if f.__name__ not in ("op2_url_filters", "op8_chat_format"):
+            assert f(spark, f"{tmp_path}/x").count() == len(odd[0])
+
+
 def test_empty(spark, empty, tmp_path):
     assert [len(x) for x in stages(spark, empty, tmp_path)] == [0] * 5
 

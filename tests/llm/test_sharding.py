@@ -49,5 +49,10 @@ def test_map_versions_are_stored(spark, tmp_path):
     assert {r.version for r in stored.select("version").distinct().collect()} == {0, 1} and stored.count() == 2 * sharding.SLOTS
 
 
+def test_clashing_names_are_replaced(spark, tmp_path):
+    df = spark.createDataFrame([(1, 9, "x", "y"), (2, 9, "x", "y")], "k bigint, size bigint, shard string, slot string")
+    assert dict(sharding.shard_records(df, "k", "size", 2, str(tmp_path / "m")).dtypes)["shard"] == "int"
+
+
 def test_empty(spark, empty):
     assert sharding.op9_sharding(spark, empty).count() == 0

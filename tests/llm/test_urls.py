@@ -61,7 +61,9 @@ def agree(spark, folder):
     return got
 
 
-def test_given(spark, sf):
+def test_given(spark, sf, monkeypatch):
+    agree(spark, sf)
+    monkeypatch.setattr(urls, "BROADCAST_HOSTS", 3)
     agree(spark, sf)
 
 

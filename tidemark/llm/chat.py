@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
 from tidemark.llm.columns import table
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -127,6 +128,7 @@ def format_records(records: DataFrame) -> DataFrame:
             loss = pa.array([None if x[2] is None else [{"start": s, "end": e} for s, e in x[2]] for x in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.string()), loss], names=["conv_id", "fingerprint", "formatted", "loss"])
 
+    ship_package(records.sparkSession)
     return records.select(F.col("conv_id").cast("bigint").alias("conv_id"), "record").mapInArrow(run, FORMATTED)
 
 
@@ -163,6 +165,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column("conv_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[f.split()[0] for f in schema.split(", ")])
 
+    ship_package(formatted.sparkSession)
     return formatted.where(F.col("formatted").isNotNull()).mapInArrow(run, schema)
 
 

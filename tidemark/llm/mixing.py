@@ -118,7 +118,8 @@ def mix(sizes: DataFrame, key: str = "doc_id", source: str = "source", size: str
 
     A source's rate is target / source_size. Every document gets the whole part of its rate; the fraction is decided by pivotal
     rounding. Needs one row a key for the draws to be told apart; repeated rows get a number. Empty documents are taken 0 times their
-    size. An empty table gives an empty one."""
+    size. An empty table gives an empty one. Columns of sizes with these names are replaced."""
+    sizes = sizes.drop("source_size", "target", "copies", "taken")
     goals = targets(sizes, source, size)
     numbered = sizes.withColumn("_twin", F.row_number().over(W.partitionBy(key).orderBy(*[F.col(c) for c in sizes.columns if c != key])))
     rows = numbered.join(goals.withColumnRenamed(source, "_src"), F.col(source).eqNullSafe(F.col("_src"))).drop("_src")

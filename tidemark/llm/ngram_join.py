@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
 from tidemark.llm.columns import cut, table
 from tidemark.llm.graph import components
 from tidemark.llm.textscan import PACKED, U, mix, packed, parts_for, scan, set_key, shingle_sets, stream, unpacked
@@ -22,13 +23,17 @@ from tidemark.llm.textscan import PACKED, U, mix, packed, parts_for, scan, set_k
 #: have as many. A block stays untouched with a chance of 1 / e at least, so a pair at the very threshold is missed with a chance
 #: below 0.64 ** 64, 4e-13: that of equal hashes of different shingles somewhere in a table of this kind.
 SIGNATURES = 64
+#: Where the bound leaves a block fewer shingles than this (thresholds below 0.88), texts that only share a common sentence would agree on some
+#: block. Then a signature is the content of two neighbouring blocks, and there are twice as many: two neighbours both stay untouched among
+#: 129 but for a chance of 4e-7 at the very threshold, 1e-9 from similarity 0.83 on where the threshold is 0.8. Rows of few blocks keep single ones.
+LEAST_GRAMS, FEW_BLOCKS = 8, 6
 #: Rows of a product's block, and columns.
 ROWS, COLUMNS = 256, 8192
 #: Slots of the filter that keeps other documents' texts out of the second shuffle; its size is fixed.
 FILTER = 1 << 20
 
 ENTRY = np.dtype([("sig", "<u4"), ("row", "<i8")])
-_SALT = stream(71, SIGNATURES)
+_SALT = stream(71, 2 * SIGNATURES)
 
 
 @lru_cache(maxsize=8)
@@ -41,6 +46,11 @@ def bands(num: int, den: int, upto: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
     return np.array(low[:-1]), (den - num) * 2 * high // (den + num) + 1
 
 
+def neighbours(num: int, den: int) -> int:
+    """Blocks that one signature covers."""
+    return 1 if (den + num) >= 2 * LEAST_GRAMS * (den - num) else 2
+
+
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """The signatures of a shingle set in its own band and, where a larger partner can be in the next band, there too."""
     low, blocks = bands(num, den)
@@ -51,20 +61,28 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         count = int(blocks[band])
         if count == 1:
             continue  # no room for a difference: only equal sets, which are one row already
-        rounds = -(-SIGNATURES // count)
+        wide = neighbours(num, den) if count >= FEW_BLOCKS else 1
+        most = SIGNATURES * wide
+        rounds = -(-most // count)
         value = mix(s[None, :] ^ _SALT[:rounds, None])
         key = ((value >> U(32)) * U(count) >> U(32)).astype(np.int64)
-        if rounds == 1:
-            take = key[0] < SIGNATURES
-            key, value = key[0][take], value[0][take]
-        else:
-            key, value = (key + np.arange(rounds)[:, None] * count).ravel(), value.ravel()
+        shown = min(count, most + wide - 1) if rounds == 1 else count
+        key = (key + np.arange(rounds)[:, None] * count)[key < shown]
+        value = mix(value[((value >> U(32)) * U(count) >> U(32)) < U(shown)])
         if not len(key):
             continue
         order = np.argsort(key, kind="stable")
-        key, value = key[order], mix(value[order])
+        key, value = key[order], value[order]
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        out.append(mix(np.add.reduceat(value, at) + mix(key[at].astype(U) + U(band << 32))))
+        content = np.zeros(rounds * count, U)
+        content[key[at]] = np.add.reduceat(value, at)
+        content = content.reshape(rounds, count)[:, :shown]
+        joined = mix(content)
+        for k in range(1, wide):
+            joined = mix(joined + np.roll(content, -k, 1))
+        filled = np.logical_or.reduce([np.roll(content, -k, 1) != 0 for k in range(wide)])
+        place = np.arange(rounds)[:, None] * count + np.arange(shown)
+        out.append(mix(joined + mix(place.astype(U) + U(band << 32)))[filled][:most])
     return np.concatenate(out) if out else s[:0]
 
 
@@ -239,9 +257,10 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     Equal sets are one row of the matrix, so copies cost nothing after the first. Empty texts and null doc_ids link with nothing.
     Repeated rows come out as often as they are there; other columns are left out."""
     spark = docs.sparkSession
+    ship_package(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     keys = cut(row_keys(docs, n))
-    parts = parts_for(keys.count() * 1.5 * SIGNATURES, 250_000, spark)
+    parts = parts_for(keys.count() * 2 * SIGNATURES * neighbours(num, den), 250_000, spark)
     clusters = components(shared_signatures(docs, n, num, den, parts))
     links = components(cluster_links(docs, keys, clusters, n, num, den))
     labelled = keys.join(links.select(F.col("node").alias("row"), "root"), "row", "left").select("doc_id", "n_shingles", F.coalesce("root", "row").alias("label"))

@@ -11,6 +11,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.functions.shipping import ship_package
+
 #: The visible space of the vocabulary.
 META = "▁"
 #: Distinct words whose encodings a worker keeps.
@@ -238,6 +240,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
             got = [t.encode(x or "") for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
 
+    ship_package(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(encode, SCHEMA)
 
 

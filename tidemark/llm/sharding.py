@@ -97,7 +97,8 @@ def place(df: DataFrame, owner: DataFrame, key: str) -> DataFrame:
     """df with vslot, shard and slot: the row's place in its shard, without gaps from 0.
 
     Rows are numbered within their virtual slot, of which there are thousands, so no task sorts a whole shard; the slots' row counts,
-    summed over the earlier slots of the shard, are added. The map has SLOTS rows and is broadcast."""
+    summed over the earlier slots of the shard, are added. The map has SLOTS rows and is broadcast. Columns of df with these names are replaced."""
+    df = df.drop("vslot", "shard", "slot")
     rows = df.withColumn("vslot", slot_of(F.col(key)))
     counts = rows.groupBy("vslot").agg(F.count("*").alias("_n")).join(F.broadcast(owner.select(F.col("slot").alias("vslot"), "shard")), "vslot")
     start = F.sum("_n").over(W.partitionBy("shard").orderBy("vslot")) - F.col("_n")

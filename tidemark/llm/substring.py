@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
 from tidemark.llm.columns import cut, table
 from tidemark.llm.textscan import PACKED, U, Words, mix, packed, parts_for, scan, unpacked, windows
 
@@ -289,6 +290,7 @@ def dedup_substrings(docs: DataFrame, n: int = 20) -> DataFrame:
     texts have no words. Rows with a null id count as documents after those with ids below LAST, in an order of their texts' hashes. Repeated rows of
     one id aren't earlier than each other; rows of one id with different texts share their spans. Other columns are left out."""
     spark = docs.sparkSession
+    ship_package(spark)
     nameless = F.lit(LAST) + F.pmod(F.xxhash64("text"), F.lit(LAST))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), nameless).alias("doc"), F.col("doc_id").isNotNull().alias("named"), "text")
     k, places = minimizer_parts(n)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.shipping import ship_package
 from tidemark.llm.columns import cut, shared_folder, table
 
 CACHE = "tokenizer string, digest string, n_tokens bigint"
@@ -48,6 +49,7 @@ def count_tokens(docs: DataFrame, folder: str, ranks_file: str, pattern: str, sp
     shuffled once, by doc_id and digest, so that copies of one text, however many, spread; the missing side is hashed in the join, texts are
     not sorted. Extra columns are left out; repeated rows come out as often as they are there."""
     spark, name = docs.sparkSession, version(ranks_file, pattern, special)
+    ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     digests = cut(rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest"))
     cached = open_cache(spark, folder).where(F.col("tokenizer") == name)

@@ -9,6 +9,8 @@ from tidemark.llm.columns import ascii_lower, cut, let, table
 
 #: Part of a host's score that goes on over its links, the score left on its way at which propagation ends, and the most steps.
 DAMPING, REST, STEPS = 0.85, 1e-6, 60
+#: Up to so many hosts are broadcast to the pages; more are joined by shuffles, where Spark splits a hot host's rows.
+BROADCAST_HOSTS = 100_000
 #: A host without a rule's verdict is blocked if its distrust exceeds this many times its trust.
 RATIO = 1.0
 
@@ -30,15 +32,19 @@ def rule_table(spark, rules) -> DataFrame:
     return spark.createDataFrame([(r, r.partition("/")[0], "/" + r.partition("/")[2], d) for d, r in rules], "rule string, rule_host string, rule_path string, decision string")
 
 
+def _by_host(hosts: DataFrame) -> DataFrame:
+    return F.broadcast(hosts) if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else hosts
+
+
 def judge_by_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (with host and path) plus rule and decision of the longest rule that fits, null where none does.
 
     Rules meet distinct hosts, through the domains above them; a page then tests the few rules of its host. The page side is only
-    joined by host, where Spark splits a hot host's rows."""
+    joined by host."""
     fits = urls.select("host").distinct().select("host", F.explode(domains(F.col("host"))).alias("rule_host")).join(rules, "rule_host")
     longest = F.struct(F.length("rule").alias("n"), "rule", "rule_path", "decision")
     by_host = fits.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list(longest), asc=False).alias("_rules"))
-    joined = urls.join(by_host, F.col("host") == F.col("_host"), "left")
+    joined = urls.join(_by_host(cut(by_host)), F.col("host") == F.col("_host"), "left")
     best = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r.rule_path)), 0)
     return joined.withColumns({"rule": best.rule, "decision": best.decision}).drop("_host", "_rules")
 
@@ -87,7 +93,7 @@ def judge(pages: DataFrame, rules) -> DataFrame:
     judged = cut(judge_by_rules(located.select("page_id", "host", "path"), rule_table(pages.sparkSession, rules)))
     seeds = judged.where(F.col("decision").isNotNull()).groupBy("host").agg(F.count_if(F.col("decision") == "allow").alias("trusted"), F.count_if(F.col("decision") == "block").alias("blocked"))
     scores = propagate(seeds, cut(host_links(located)))
-    joined = judged.join(scores.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    joined = judged.join(_by_host(cut(scores.withColumnRenamed("host", "_host"))), F.col("host") == F.col("_host"), "left")
     trust, distrust = (F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust > trust * RATIO, "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("decision", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
