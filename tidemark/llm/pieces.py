@@ -16,7 +16,7 @@ from tidemark.functions.shipping import ship_package
 #: The visible space of the vocabulary.
 META = "▁"
 #: Distinct words whose encodings a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Token pairs whose compatibility a worker keeps.
 CACHE_PAIRS = 1_000_000
 
