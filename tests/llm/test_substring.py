@@ -57,3 +57,17 @@ def test_automaton(added, text):
         a.add(x)
     want = [max(m for m in range(j + 2) if any(text[j + 1 - m : j + 1] in x for x in added) or m == 0) for j in range(len(text))]
     assert a.statistics(text) == want
+
+
+def test_crowded_passage(spark, monkeypatch):
+    """One passage in many surroundings, some of which are shared too: no shard gathers them, and nothing changes."""
+    monkeypatch.setattr(substring, "CROWD", 3)
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(24)]
+    around = [[f"s{rng.randrange(40)}" for _ in range(25)] for _ in range(30)]
+    docs = {i: " ".join(rng.choice(around)[rng.randrange(25) :] + passage[rng.randrange(6) :] + rng.choice(around)[: rng.randrange(25)]) for i in range(200)}
+    bitmaps, real = [], substring.repeated_runs
+    monkeypatch.setattr(substring, "repeated_runs", lambda marked, n, parts, crowded: bitmaps.append(crowded) or real(marked, n, parts, crowded))
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(4)
+    agree(substring.dedup_substrings(df, 20).collect(), docs)
+    assert any(bitmaps[0])

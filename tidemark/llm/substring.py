@@ -24,6 +24,10 @@ CHUNK = 400_000
 FILTER = 1 << 20
 #: Rows without an id are ordered by hashes from here on.
 LAST = 1 << 62
+#: A minimizer with more different runs than this in one task's chunk is crowded: a common passage whose surroundings differ.
+CROWD = 32
+#: Stands among places for: the row's doc is the slot of a crowded minimizer.
+CROWDED = -(1 << 31)
 
 SEEN = np.dtype([("key", "<u4"), ("at", "<i4"), ("doc", "<i8")])
 RUN = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
@@ -103,6 +107,11 @@ def minimizers(w: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, start + least, g
 
 
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    """Slots of minimizers in the bitmap of crowded ones, whose size is fixed."""
+    return (mix(keys ^ U(0x5DEECE66D)) >> U(44)).astype(np.int64)
+
+
 def whole_texts(docs: DataFrame) -> DataFrame:
     """(doc, named, n_words, whole): the number of words and the digest of the words joined by a space."""
 
@@ -119,7 +128,7 @@ def whole_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_minimizers(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """(doc, at): places of minimizers whose hash the table has more than once. A task tells repetitions within its chunks by itself and
+    """(doc, at): places of minimizers whose hash the table has more than once, and (slot, CROWDED) for crowded ones. A task tells repetitions within its chunks by itself and
     sends on two places of a hash at most to the part that knows the other tasks'; the rest only passes through, evenly spread. Of texts with the
     same words a task sends the first it reads and those of smaller ids."""
 
@@ -139,11 +148,15 @@ def repeated_minimizers(docs: DataFrame, n: int, parts: int) -> DataFrame:
                     fresh[i] = before is None or ids[a + i] < before
                     if fresh[i]:
                         copies[name] = ids[a + i]
-                place = np.unique(place)
+                head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
+                last = np.append(head[1:], len(place)) - 1
+                edge = windows(w.hash, n)
+                content = edge[start[head]] * U(0x9E3779B97F4A7C15) ^ mix(edge[start[last]])
+                place = place[head]
                 text = np.searchsorted(w.first, place, side="right") - 1
-                place, text = place[fresh[text]], text[fresh[text]]
-                e = np.empty(len(place), [("hash", U), ("doc", np.int64), ("at", np.int64)])
-                e["hash"], e["doc"], e["at"] = g[place], ids[a + text], place - w.first[text]
+                content, place, text = content[fresh[text]], place[fresh[text]], text[fresh[text]]
+                e = np.empty(len(place), [("hash", U), ("content", U), ("doc", np.int64), ("at", np.int64)])
+                e["hash"], e["content"], e["doc"], e["at"] = g[place], content, ids[a + text], place - w.first[text]
                 held.append(e)
             if sum(map(len, held)) > CHUNK:
                 yield flush(np.concatenate(held))
@@ -152,29 +165,37 @@ def repeated_minimizers(docs: DataFrame, n: int, parts: int) -> DataFrame:
             yield flush(np.concatenate(held))
 
     def flush(e):
-        e = e[np.argsort(e["hash"], kind="stable")]
+        e = e[np.lexsort((e["content"], e["hash"]))]
+        differs = np.append(True, (e["hash"][1:] != e["hash"][:-1]) | (e["content"][1:] != e["content"][:-1]))[: len(e)]
+        keys, runs = np.unique(e["hash"][differs], return_counts=True)
+        crowded = np.unique(slots_of(keys[runs > CROWD]))
         place = np.arange(len(e))
         rank = place - np.maximum.accumulate(np.where(np.append(True, e["hash"][1:] != e["hash"][:-1])[: len(e)], place, 0))
         rows = np.empty(len(e), SEEN)
         rows["key"], rows["doc"] = (e["hash"] & U(0xFFFFFFFF)).astype(np.uint32), e["doc"]
         rows["at"] = np.where(rank > 1, -1 - e["at"], e["at"])  # below 0: known to be repeated
-        return packed(np.where(rank > 1, place % parts, (e["hash"] >> U(32)) * U(parts) >> U(32)).astype(np.int32), rows)
+        extra = np.zeros(len(crowded), SEEN)
+        extra["doc"], extra["at"] = crowded, CROWDED
+        part = np.where(rank > 1, place % parts, (e["hash"] >> U(32)) * U(parts) >> U(32))
+        return packed(np.append(part, crowded % parts).astype(np.int32), np.append(rows, extra))
 
     def meet(group: pa.Table) -> pa.Table:
         e = unpacked(group.column("block"), SEEN)
         known, e = e[e["at"] < 0], e[e["at"] >= 0]
         _, back, count = np.unique(e["key"], return_inverse=True, return_counts=True)
         e = e[count[back] > 1]
-        return pa.table({"doc": pa.array(np.append(e["doc"], known["doc"]), pa.int64()), "at": pa.array(np.append(e["at"], -1 - known["at"]), pa.int32())})
+        at = np.where(known["at"] == CROWDED, CROWDED, -1 - known["at"])
+        return pa.table({"doc": pa.array(np.append(e["doc"], known["doc"]), pa.int64()), "at": pa.array(np.append(e["at"], at), pa.int32())})
 
     return docs.mapInArrow(show, PACKED).groupBy("part").applyInArrow(meet, "doc bigint, at int")
 
 
-def repeated_runs(marked: DataFrame, n: int, parts: int) -> DataFrame:
-    """(doc, start, stop): spans of words in windows that also start earlier; marked is (doc, text, at) with at the marked minimizers' places.
+def repeated_runs(marked: DataFrame, n: int, parts: int, crowded: bytes) -> DataFrame:
+    """(doc, start, stop): spans of words in windows that also start earlier; marked is (doc, text, at) with at the marked minimizers' places,
+    crowded a bitmap of slots.
 
-    A run sends its window hashes to its minimizer's shard. Of equal runs in a chunk only the first does; the later ones are repeated in
-    any case, and pass through evenly spread."""
+    Each window of a crowded minimizer is a run and a shard of its own, so that no shard gathers all surroundings of a passage. A run sends its window hashes to its minimizer's shard. Of equal runs in a chunk only the first does; the later ones are repeated in
+    any case, and pass through evenly spread, neighbours as one."""
 
     def show(batches):
         held: list = []
@@ -192,12 +213,13 @@ def repeated_runs(marked: DataFrame, n: int, parts: int) -> DataFrame:
                 start, place = start[take], place[take]
                 if not len(start):
                     continue
-                symbol = windows(w.hash, n)[start]
-                head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
+                symbol, slot = windows(w.hash, n)[start], slots_of(g[place])
+                alone = (np.frombuffer(crowded, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | alone[1:]))
                 size = np.diff(np.append(head, len(start)))
                 text = np.searchsorted(w.first, start[head], side="right") - 1
                 r = np.empty(len(head), RUN)
-                r["key"], r["doc"], r["start"], r["count"] = g[place[head]], ids[a + text], start[head] - w.first[text], size
+                r["key"], r["doc"], r["start"], r["count"] = np.where(alone, symbol, g[place])[head], ids[a + text], start[head] - w.first[text], size
                 # equal runs have equal windows in a row, so the first window, the last and the count name the content
                 r["content"] = mix(symbol[head] * U(0x9E3779B97F4A7C15) ^ mix(symbol[head + size - 1] + size.astype(U)))
                 held.append((r, symbol))
@@ -221,12 +243,17 @@ def repeated_runs(marked: DataFrame, n: int, parts: int) -> DataFrame:
         # a run that stands in repeated rows of one document at one place isn't later than itself
         firsts = np.maximum.accumulate(np.where(~later, np.arange(len(r)), 0))
         later &= ~((r["doc"] == r["doc"][firsts]) & (r["start"] == r["start"][firsts]))
-        part[later] = np.arange(later.sum()) % parts
-        r, begin, part, size = r[~same], begin[~same], part[~same], r["count"][~same].astype(np.int64)
-        later = later[~same]
-        r["count"] = np.where(later, -size, size)
+        known, fresh = r[later & ~same], ~later & ~same
+        known = known[np.lexsort((known["start"], known["doc"]))]
+        joins = (known["doc"][1:] == known["doc"][:-1]) & (known["start"][1:] == known["start"][:-1] + known["count"][:-1])
+        head = np.flatnonzero(np.append(True, ~joins)[: len(known)])  # neighbours that are repeated anyway are one run
+        joined = known[head]
+        joined["count"] = -np.diff(np.append(0, np.cumsum(known["count"], dtype=np.int64))[np.append(head, len(known))])
+        r, begin = np.concatenate((r[fresh], joined)), np.append(begin[fresh], np.zeros(len(joined), np.int64))
+        part = np.append(part[fresh], np.arange(len(joined)) % parts)
+        size = np.maximum(r["count"].astype(np.int64), 0)
         move = np.argsort(part, kind="stable")
-        r, begin, part, size = r[move], begin[move], part[move], np.where(later[move], 0, size[move])
+        r, begin, part, size = r[move], begin[move], part[move], size[move]
         take = np.repeat(begin - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
         body, bound = symbols[take], np.append(0, np.cumsum(size))
         cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -299,8 +326,12 @@ def dedup_substrings(docs: DataFrame, n: int = 20) -> DataFrame:
     parts = parts_for(total[0] * 2 / (places + 1), 400_000, spark)
     marks = repeated_minimizers(docs.select("doc", "text"), n, parts).distinct().groupBy("doc").agg(F.collect_list("at").alias("at"))
     marks = cut(marks)
+    crowded = np.zeros(FILTER, bool)  # at most FILTER slots come to the driver
+    crowded[marks.where(F.array_contains("at", F.lit(CROWDED))).select("doc").toArrow().column("doc").to_numpy()] = True
+    bitmap = np.packbits(crowded, bitorder="little").tobytes()
+    marks = marks.withColumn("at", F.filter("at", lambda x: x != CROWDED)).where(F.size("at") > 0)
     texts = _only(docs.select("doc", "text"), marks).join(marks.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "text", "at")
-    spans = cut(repeated_runs(texts, n, parts).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    spans = cut(repeated_runs(texts, n, parts, bitmap).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
     firsts = cut(whole.groupBy("whole").agg(F.min("doc").alias("first")))  # a join of its own, whose hot texts Spark can split
     state = whole.join(firsts.withColumnRenamed("whole", "_whole"), F.col("whole") == F.col("_whole")).select("doc", "named", "n_words", "whole", (F.col("first") < F.col("doc")).alias("copy"))
