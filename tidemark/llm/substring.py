@@ -176,7 +176,8 @@ def repeated_minimizers(docs: DataFrame, n: int, parts: int) -> DataFrame:
         rows["at"] = np.where(rank > 1, -1 - e["at"], e["at"])  # below 0: known to be repeated
         extra = np.zeros(len(crowded), SEEN)
         extra["doc"], extra["at"] = crowded, CROWDED
-        part = np.where(rank > 1, place % parts, (e["hash"] >> U(32)) * U(parts) >> U(32))
+        # least hashes are small numbers: stirred again, they spread over the parts
+        part = np.where(rank > 1, place % parts, (mix(e["hash"]) >> U(32)) * U(parts) >> U(32))
         return packed(np.append(part, crowded % parts).astype(np.int32), np.append(rows, extra))
 
     def meet(group: pa.Table) -> pa.Table:
