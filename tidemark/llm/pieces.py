@@ -15,10 +15,12 @@ from tidemark.functions.shipping import ship_package
 
 #: The visible space of the vocabulary.
 META = "▁"
-#: Distinct words whose encodings a worker keeps.
-CACHE_WORDS = 400_000
+#: Distinct words that a worker gathers, with a space before them or not, until they push out those gathered before.
+CACHE_WORDS = 40_000
+#: Code points of the longest word that is kept.
+LONGEST = 256
 #: Token pairs whose compatibility a worker keeps.
-CACHE_PAIRS = 1_000_000
+CACHE_PAIRS = 400_000
 
 SCHEMA = "doc_id bigint, ids binary, decoded string"
 
@@ -68,8 +70,9 @@ class PieceTable:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.with_space: dict[str, tuple[bytes, bytes]] = {}
-        self.plain: dict[str, tuple[bytes, bytes]] = {}
+        # by whether a space stands before the word; what is used stays, what isn't goes with its generation
+        self.recent: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
+        self.earlier: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """BPE from characters, the best and then leftmost pair first: the symbols, and the halves of the last merge."""
@@ -167,28 +170,31 @@ class PieceTable:
         return b"".join([self.raw[i] for i in ids])
 
     def word(self, text: str, space: bool) -> tuple[bytes, bytes]:
-        """(ids, decoded) of a word, with a space before it or not; line by line, so words at line ends are known again."""
-        keep = self.with_space if space else self.plain
-        got = keep.get(text)
+        """(ids, decoded) of a word, with a space before it or not."""
+        got = self.recent[space].get(text)
         if got is None:
-            head, *more = text.split("\n")
-            ids = self.tokens(META + head if space else head)
-            got = struct.pack(f"<{len(ids)}I", *ids), self.text_of(ids)
-            for x in more:
-                ids_x, text_x = self.word(x, False)
-                got = got[0] + struct.pack("<I", self.byte[10]) + ids_x, got[1] + b"\n" + text_x
-            if len(keep) >= CACHE_WORDS:
-                keep.clear()
-            keep[text] = got
+            got = self.earlier[space].get(text) or self.word_anew(text, space)
+            if len(text) > LONGEST:
+                return got
+            if len(self.recent[space]) >= CACHE_WORDS:
+                self.earlier[space], self.recent[space] = self.recent[space], {}
+            self.recent[space][text] = got
         return got
 
+    def word_anew(self, text: str, space: bool) -> tuple[bytes, bytes]:
+        """Line by line, so words at line ends are known again."""
+        head, *more = text.split("\n")
+        ids = self.tokens(META + head if space else head)
+        lines = [(struct.pack(f"<{len(ids)}I", *ids), self.text_of(ids)), *[self.word(x, False) for x in more]]
+        return struct.pack("<I", self.byte[10]).join([x for x, _ in lines]), b"\n".join([x for _, x in lines])
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers with begin and end, decoded UTF-8) of a text."""
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         if not text:
             return begin + end, b""
         parts = text.replace(META, " ").split(" ")
-        get, word = self.with_space.get, self.word
+        get, word = self.recent[True].get, self.word
         if all(parts):
             got = [get(p) or word(p, True) for p in parts]
         else:
