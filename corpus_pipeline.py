@@ -21,17 +21,46 @@ from tidemark.llm.substring import dedup_substrings
 FILTER = 1 << 20
 
 
-def _slot(doc_id):
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER)).alias("_tm_slot")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _tm_row, what names a row in all stages: a 64-bit hash of its id, which may be null or repeated, and its text."""
+    return docs.withColumn("_tm_row", F.xxhash64("doc_id", "text"))
 
 
-def _parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may be among ids, docs that surely aren't): by slots of doc_id, at most FILTER rows, which are broadcast."""
-    slots = F.broadcast(ids.select(_slot("doc_id")).distinct())
-    keyed = docs.withColumn("_tm_slot", _slot("doc_id"))
+def _slot(row):
+    return F.pmod(F.xxhash64(row), F.lit(FILTER)).alias("_tm_slot")
+
+
+def _parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that may be among rows, docs that surely aren't): by slots of _tm_row, at most FILTER rows, which are broadcast."""
+    slots = F.broadcast(rows.select(_slot("_tm_row")).distinct())
+    keyed = docs.withColumn("_tm_slot", _slot("_tm_row"))
     return keyed.join(slots, "_tm_slot", "left_semi").drop("_tm_slot"), keyed.join(slots, "_tm_slot", "left_anti").drop("_tm_slot")
 
 
+def _once(docs: DataFrame, least: int) -> DataFrame:
+    """docs with _tm_row; of rows that repeat id and text, the first in the order of their columns if they have least words or more, else all.
+    Repeats are told within each task before a shuffle, so one row that is there very often isn't one task."""
+    keyed = _keyed(docs)
+    again = cut(keyed.groupBy("_tm_row").agg(F.count("*").alias("m")).where("m > 1").select("_tm_row"))
+    if again.isEmpty():
+        return keyed
+    maybe, sure = _parted(keyed, again)
+    long = F.size(words(F.col("text"))) >= least
+    one = maybe.where(long).groupBy("_tm_row").agg(F.min(F.struct(*docs.columns)).alias("_tm_first")).select("_tm_first.*", "_tm_row")
+    return cut(sure.unionByName(maybe.where(~long)).unionByName(one))
+
+
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """keyed with _tm_number, in the order of ids, null ones last, and of _tm_row within an id. Where ids are neither null nor repeated,
+    they are the numbers; else narrow rows are sorted by range and numbered, and meet their texts again."""
+    names = keyed.select("_tm_row", "doc_id").distinct()
+    if names.where("doc_id IS NULL").isEmpty() and names.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return keyed.withColumn("_tm_number", F.col("doc_id").cast("bigint"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("_tm_row").asc()]
+    numbers = cut(names.repartitionByRange(*order).sortWithinPartitions(*order).select("_tm_row", F.monotonically_increasing_id().alias("_tm_number")))
+    return cut(keyed.join(numbers.hint("shuffle_hash"), "_tm_row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the newest policy keeps. Null and empty texts go."""
     kept = ledger(docs.select(F.struct(*docs.columns).alias("_row"), "text")).where(verdict(F.col("fail_bits")))
@@ -39,30 +68,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group linked by five-word shingle similarities of 0.8 or more. Rows without an id and
-    repeated rows of one id stay as they are."""
-    gone = cut(ngram_components(docs, n=5, num=80, den=100).where("doc_id <> component_id").select("doc_id").distinct())
-    maybe, sure = _parted(docs, gone)
-    return sure.unionByName(maybe.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"))
+    """One row, that of the smallest id, of each group linked by five-word shingle similarities of 0.8 or more. Rows without an id come
+    after those with one, rows of one id in the order of their hashes; repeated rows are one. Texts without words stay as they are."""
+    keyed = _once(docs, 1)
+    sets = ngram_components(keyed.select(F.col("_tm_row").alias("doc_id"), "text"), n=5, num=80, den=100).where("n_shingles > 0")
+    sets = cut(sets.select(F.col("doc_id").alias("_tm_row"), "component_id"))
+    named = sets.join(keyed.select("_tm_row", F.col("doc_id").alias("_tm_id")), "_tm_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_tm_id").isNull(), "_tm_id", "_tm_row")).alias("f")).select("f._tm_row")
+    gone = cut(sets.join(first, "_tm_row", "left_anti").select("_tm_row"))
+    maybe, sure = _parted(keyed, gone)
+    return sure.unionByName(maybe.join(gone.hint("shuffle_hash"), "_tm_row", "left_anti")).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages of twenty words or more that stand earlier; n_chars follows. A document that loses all words
-    goes. Unchanged texts keep their white space; rows without an id stay as they are."""
-    out = dedup_substrings(docs, n=20).where("n_removed > 0 AND doc_id IS NOT NULL")
-    changed = cut(out.select("doc_id", F.col("kept_text").alias("_tm_kept")).dropDuplicates(["doc_id"]))
-    maybe, sure = _parted(docs, changed)
-    new = maybe.join(changed.hint("shuffle_hash"), "doc_id", "left").where("_tm_kept IS NULL OR _tm_kept <> ''")
+    goes. Unchanged texts keep their white space. Rows without an id come after those with one, rows of one id in the order of their
+    hashes; of repeated rows of twenty words or more one stays."""
+    keyed = _numbered(_once(docs, 20)).drop("_tm_row")
+    out = dedup_substrings(keyed.select(F.col("_tm_number").alias("doc_id"), "text"), n=20).where("n_removed > 0")
+    changed = cut(out.select(F.col("doc_id").alias("_tm_row"), F.col("kept_text").alias("_tm_kept")))
+    maybe, sure = _parted(keyed.withColumnRenamed("_tm_number", "_tm_row"), changed)
+    new = maybe.join(changed.hint("shuffle_hash"), "_tm_row", "left").where("_tm_kept IS NULL OR _tm_kept <> ''")
     text = F.coalesce("_tm_kept", "text")
     new = new.withColumn("n_chars", F.when(F.col("_tm_kept").isNull(), F.col("n_chars")).otherwise(F.length("_tm_kept").cast("bigint"))).withColumn("text", text)
-    return sure.unionByName(new.select(docs.columns))
+    return sure.select(docs.columns).unionByName(new.select(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them. Rows that share id and source are one unit."""
-    sizes = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
+    """Documents as often as the mix takes them. Rows that share id, text and source are one unit."""
+    keyed = _keyed(docs)
+    sizes = keyed.select(F.col("_tm_row").alias("doc_id"), "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
     copies = cut(mix(cut(sizes.groupBy("doc_id", "source").agg(F.sum("size").alias("size")))).where("copies > 0").select(F.col("copies").alias("_tm_copies"), F.col("doc_id").alias("_tm_id"), F.col("source").alias("_tm_source")))
-    taken = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_tm_id")) & F.col("source").eqNullSafe(F.col("_tm_source")))
+    taken = keyed.join(copies.hint("shuffle_hash"), (F.col("_tm_row") == F.col("_tm_id")) & F.col("source").eqNullSafe(F.col("_tm_source")))
     return taken.withColumn("_tm_copy", F.explode(F.sequence(F.lit(1), "_tm_copies"))).select(docs.columns)
 
 

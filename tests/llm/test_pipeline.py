@@ -73,6 +73,42 @@ def test_extra_columns_with_clashing_names(spark, odd, tmp_path):
             assert f(spark, f"{tmp_path}/x").count() == len(odd[0])
 
 
+def test_rows_of_one_id_and_without_id(spark, tmp_path):
+    import random
+
+    import conftest
+
+    rng = random.Random(3)
+    fresh = iter(range(10**6))
+
+    def text(n):
+        return " ".join(f"v{next(fresh)}" for _ in range(n))
+
+    near, other, shared, copy, bare, once, short = text(90), text(50), text(30), text(60), text(70), text(40), "a few short words"
+    late, own, tail = text(25), text(25), text(25)
+    rows = [(1, near, "a"), (2, near + " x", "a"), (2, other, "a")]  # a near copy and an unrelated row of one id
+    rows += [(3, shared, "a"), (4, f"{late} {shared}", "a"), (4, own, "a"), (4, f"{shared} {tail}", "b")]  # spans of rows of one id
+    rows += [(5, copy, "a"), (5, copy, "a"), (None, copy, "b")]  # repeats of one id, a copy without an id
+    rows += [(None, bare, "a")] * 30 + [(None, f"{once} {shared}", "c"), (None, f"{bare} y", "a"), (None, short, "a"), (None, short, "a")]
+    rng.shuffle(rows)
+    folder = conftest.write(spark, f"{tmp_path}/rows", rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
+    cp.ngram_join(spark, docs, folder).write.parquet(f"{tmp_path}/joined")
+    joined = spark.read.parquet(f"{tmp_path}/joined").collect()
+    one = [r for r in joined if r.text in (bare, f"{bare} y")]
+    assert len(one) == 1 and one[0].doc_id is None
+    rest = sorted((r.doc_id or 0, r.text) for r in joined if r is not one[0])
+    assert rest == sorted([(1, near), (2, other), (3, shared), (4, f"{late} {shared}"), (4, own), (4, f"{shared} {tail}"), (5, copy), (0, f"{once} {shared}"), (0, short)])
+    got = cp.substring_dedup(spark, spark.read.parquet(f"{tmp_path}/joined"), folder).collect()
+    assert all(r.n_chars == len(r.text) for r in got)
+    want = [(1, near), (2, other), (3, shared), (4, late), (4, own), (4, tail), (5, copy), (0, one[0].text), (0, once), (0, short)]
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted(want)
+    alone = cp.substring_dedup(spark, docs, folder).collect()  # repeats and rows without an id, as they are
+    assert collections.Counter(r.text for r in alone) == collections.Counter([near, "x", other, shared, late, own, tail, copy, bare, "y", once, short, short])
+    mixed = cp.mixing(spark, docs, folder).collect()
+    assert max(collections.Counter((r.doc_id, r.text, r.source) for r in mixed if r.text != bare).values()) <= 6
+
+
 def test_empty(spark, empty, tmp_path):
     assert [len(x) for x in stages(spark, empty, tmp_path)] == [0] * 5
 
