@@ -62,6 +62,17 @@ def test_pivotal_keeps_the_sum(spark):
     assert 1200 < sum(r.copies for r in got) < 1800
 
 
+def test_small_source_beside_a_hot_one(spark):
+    small = [("s", i, 0, 8000 if i == 9 else (i * 37) % 400 + 20, 0.4) for i in range(60)]
+    alike = [("t", i, 0, 100 + i % 3, 0.37) for i in range(40)]
+    hot = [("h", i, 0, 50 + i % 7, 0.3) for i in range(64 * 64 + 900)]
+    schema = "g string, id bigint, twin int, size bigint, p double"
+    some, every = ({(r.g, r.id): r.copies for r in mixing.pivotal(spark.createDataFrame(x, schema), "g", 5).collect()} for x in (small + alike, small + alike + hot))
+    assert some == {k: v for k, v in every.items() if k[0] != "h"} and len(every) == len(small + alike + hot)
+    for rows, most in ((small, 210), (alike, 60), (hot, 60)):
+        assert abs(sum(size * (every[g, i] - p) for g, i, _, size, p in rows)) <= most, rows[0]
+
+
 def test_repeated_rows_and_empty(spark, empty):
     assert mixing.op7_mixing(spark, empty).count() == 0
     df = spark.createDataFrame([(1, "a", 10)] * 30 + [(None, "b", 5)] * 3 + [(2, None, 0)], "doc_id bigint, source string, size bigint")

@@ -90,26 +90,25 @@ def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
     """units (group, id, twin, size, p with 0 < p < 1) with p rounded to 0 or 1: (group, id, twin, copies).
 
     Each level deals the units of a group, those of like size together, into nodes of about FAN_IN units by a hash of their id; a node
-    rounds all but one. Those residuals, 1 / FAN_IN of the units, form the next level until a group has one node; see _last_node.
+    rounds all but one. Those residuals, 1 / FAN_IN of the units, form the next level until a group has one node; see _last_node. Each
+    group ends at the level where one node holds all its units, FAN_IN or fewer, whatever the others have; at the first level too.
     No node grows with the data, the levels with its logarithm; a hot group only has more nodes. The words taken in a group differ from the
     sum of p times size by less than one document, the last. Draws are hashes of seed and ids, so reruns agree."""
     out, level, now = None, 0, units
     while True:
         band = F.floor(F.log2(F.col("size") + 1) * 2).cast("int") if level == 0 else F.lit(0)
         now = now.withColumn("_band", band)
-        nodes = now.groupBy(group, "_band").agg(F.greatest(F.ceil(F.count("*") / F.lit(FAN_IN)), F.lit(1)).alias("_nodes"))
-        last = level > 0 and nodes.where(F.col("_nodes") > 1).isEmpty()
+        nodes = now.groupBy(group, "_band").agg(F.count("*").alias("_units"))
+        nodes = nodes.withColumn("_last", F.sum("_units").over(W.partitionBy(group)) <= FAN_IN).withColumn("_nodes", F.ceil(F.col("_units") / F.lit(FAN_IN))).drop("_units")
         key = F.pmod(F.xxhash64(F.lit(seed + level), "id", "twin"), F.col("_nodes"))
         joined = now.join(nodes.withColumnRenamed(group, "_g").withColumnRenamed("_band", "_b"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_band") == F.col("_b")))
-        dealt = joined.groupBy(group, "_band", key.alias("_node")).agg(F.sort_array(F.collect_list(F.struct("size", "id", "twin", "p"))).alias("u"))
-        rounded = dealt.select(group, _round_node(F.col("u"), seed + level).alias("r"))
-        if last:
-            ends = rounded.select(group, F.explode(_last_node(F.col("r"))).alias("d")).select(group, "d.id", "d.twin", F.col("d.p").cast("int").alias("copies"))
-            return ends if out is None else out.unionByName(ends)
-        rounded = cut(rounded)
-        settled = rounded.select(group, F.explode("r.done").alias("d")).select(group, "d.id", "d.twin", F.col("d.p").cast("int").alias("copies"))
+        dealt = joined.groupBy(group, F.when(~F.col("_last"), F.col("_band")).alias("_band"), "_last", F.when(~F.col("_last"), key).alias("_node")).agg(F.sort_array(F.collect_list(F.struct("size", "id", "twin", "p"))).alias("u"))
+        rounded = cut(dealt.select(group, "_last", _round_node(F.col("u"), seed + level).alias("r")))
+        settled = rounded.select(group, F.explode(F.when(F.col("_last"), _last_node(F.col("r"))).otherwise(F.col("r.done"))).alias("d")).select(group, "d.id", "d.twin", F.col("d.p").cast("int").alias("copies"))
         out = settled if out is None else out.unionByName(settled)
-        now = rounded.select(group, "r.rest.id", "r.rest.twin", "r.rest.size", "r.rest.p")
+        now = rounded.where(~F.col("_last")).select(group, "r.rest.id", "r.rest.twin", "r.rest.size", "r.rest.p")
+        if now.isEmpty():
+            return out
         level += 1
 
 
