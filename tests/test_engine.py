@@ -373,3 +373,11 @@ def test_coregistration(spark):
     got = {r.image_id: (r.level, r.dr, r.dc) for r in site.coregister(df, grid_res=20).collect()}
     assert got == {"clear": (2, 2, -3), "cloudy": (0, 0, 0)}
     assert site.still_to_do(df.select("image_id").distinct(), site.coregister(df, 20).where("image_id = 'clear'")).first().image_id == "cloudy"
+
+
+def test_pad_never_crops(spark):
+    pixels = spark.createDataFrame([("a", r, c, 7) for r in range(9) for c in (0, 4)] + [("b", 0, 0, 5)], "image_id string, r int, c int, b int")
+    got = raster.pad(pixels, ["b"], 3, 2, 6, 8).collect()
+    cells = {(x.image_id, x.r, x.c): x.b for x in got}
+    assert len(got) == len(cells) == 12 * 8 + 6 * 8
+    assert {k for k, v in cells.items() if v} == {("a", r + 3, c + 2) for r in range(9) for c in (0, 4)} | {("b", 3, 2)}

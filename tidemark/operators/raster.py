@@ -155,7 +155,9 @@ def rescale(pixels: DataFrame, columns: list[str], prob: float = 0.999) -> DataF
 
 
 def pad(pixels: DataFrame, columns: list[str], top: int, left: int, h: int, w: int) -> DataFrame:
-    """The image moved by (top, left) into an h x w grid, 0 where it has no pixel."""
-    grid = pixels.select("image_id").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
+    """The image moved by (top, left) into an h x w grid, 0 where it has no pixel. The grid is larger where the moved image needs it: nothing is
+    cropped."""
+    size = pixels.groupBy("image_id").agg(F.greatest(F.lit(h), F.max("r") + 1 + top).alias("_h"), F.greatest(F.lit(w), F.max("c") + 1 + left).alias("_w"))
+    grid = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("_w") - 1))).drop("_h", "_w")
     moved = pixels.select("image_id", (F.col("r") + top).alias("r"), (F.col("c") + left).alias("c"), *columns)
     return grid.join(moved, ["image_id", "r", "c"], "left").fillna(0, columns)
