@@ -16,7 +16,11 @@ from tidemark.llm import quality, queries  # noqa: E402
 def kept_by_rules(text):
     n, chars, symbols, dup, repeat, base = brute.quality(text)
     lines = len([x for x in (text or "").split("\n") if brute.words(x)])
-    return not (base or symbols > n or 100 * dup > 50 * lines or 10 * chars < 15 * n or chars > 25 * n)
+    rows, w = [x for x in (text or "").split("\n") if brute.words(x)], brute.words(text)
+    form = 10 * sum(x.strip(" \t\v\f\r")[0] in "-*•‣◦" for x in rows) > 9 * lines or 10 * sum(x.rstrip(" \t\v\f\r").endswith(("...", "…")) for x in rows) > 3 * lines
+    odd = 10 * sum(any(c.isalpha() for c in x) for x in w) < 5 * n or max(map(len, w), default=0) > 1000
+    odd = odd or 10 * sum(c in "\x7f\ufffd" or (c < " " and c not in "\t\n\v\f\r") for c in text or "") > n
+    return not (base or form or odd or symbols > n or 100 * dup > 50 * lines or 10 * chars < 15 * n or chars > 25 * n)
 
 
 def stages(spark, folder, tmp_path):
@@ -59,7 +63,7 @@ def test_odd(spark, odd, tmp_path):
 def test_given(spark, sf, tmp_path):
     _, kept, mixed = check(spark, sf, tmp_path)
     size = sum(len(brute.words(r.text)) for r in mixed)
-    assert size > 1000 and quality.POLICIES[2]
+    assert size > 1000 and quality.POLICIES[quality.NEWEST]
 
 
 def test_extra_columns_with_clashing_names(spark, odd, tmp_path):

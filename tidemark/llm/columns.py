@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,8 +52,10 @@ def shingle_hashes(word_list: Column, n: int) -> Column:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own only where it says nothing, as in tests."""
+    """Checkpoints go where the cluster says; a folder of our own only where it says nothing and driver and executors are one process."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
 
 
@@ -62,6 +65,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def run_folder(spark: SparkSession, what: str) -> str:
+    """A new folder for tables that live as long as the application; see forget."""
+    return f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}/{what}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder, checkpoints included. Call it when no result is read any more; caches and
+    maps in folders that callers name stay."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    for folder in {f"{shared_folder(spark)}/tidemark-{context.applicationId}", context.getCheckpointDir()} - {None}:
+        where = path(folder)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared checkpoint folder; what follows doesn't compute them again."""
     prepare(df.sparkSession)
@@ -70,3 +88,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Slots of the largest filter (a bigint holds 64 of them, so 2^20 rows are broadcast at most), slots a wanted key, and
+#: the wanted keys beyond which a filter lets most rows through and isn't worth its broadcast.
+MOST_SLOTS, SLOTS_A_KEY, MOST_WANTED = 1 << 26, 8, 1 << 26
+
+
+def parted(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of df whose key may be in wanted, rows whose key surely isn't), told without a shuffle of df by a bitmap over hashes of the keys.
+
+    The bitmap has SLOTS_A_KEY slots for each wanted row, which are counted, at most MOST_SLOTS: what is broadcast never exceeds 2^20 rows
+    of two numbers. Above MOST_WANTED wanted rows there is no bitmap: all of df may be in wanted, and the second part is None. The
+    join that follows is the same in either case. A null key is never wanted."""
+    many = wanted.count()
+    if many > MOST_WANTED:
+        return df, None
+    slots = 64
+    while slots < min(MOST_SLOTS, many * SLOTS_A_KEY):
+        slots *= 2
+
+    def slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(slots))
+
+    bit = F.shiftleft(F.lit(1).cast("bigint"), slot(F.col(wanted_key)).bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.where(F.col(wanted_key).isNotNull()).groupBy(F.shiftright(slot(F.col(wanted_key)), 6).alias("_tm_word")).agg(F.bit_or(bit).alias("_tm_bits"))
+    mine = F.shiftleft(F.lit(1).cast("bigint"), slot(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    joined = df.join(F.broadcast(bits), F.shiftright(slot(F.col(key)), 6) == F.col("_tm_word"), "left")
+    hit = F.coalesce(F.col("_tm_bits").bitwiseAND(mine) != 0, F.lit(False)) & F.col(key).isNotNull()
+    return joined.where(hit).select(df.columns), joined.where(~hit).select(df.columns)

@@ -6,15 +6,21 @@ from tidemark.llm.chat import END, MAPPINGS, START, fingerprint
 
 _WORDS = r"w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)"
 
-OP10 = rf"""WITH {_WORDS},
+_LEDGER = rf"""{_WORDS},
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest(range(5)) AS k) q WHERE n > 1 GROUP BY 1),
-l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) q WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
-m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
-b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN 10 * word_chars < 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE regexp_matches(line, '^[\x20\x09-\x0D]*[-*•‣◦]')) AS n_bullet_lines, count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS n_ellipsis_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w) q WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_alpha_words, coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word, length(regexp_replace(t, '[^\x00-\x08\x0E-\x1F\x7F\x{{FFFD}}]', '', 'g')) AS n_control FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN l ON l.doc_id = w.doc_id),
+b AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN 10 * word_chars < 15 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) + (CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 64 ELSE 0 END) + (CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 128 ELSE 0 END) + (CASE WHEN 10 * n_alpha_words < 5 * n_words THEN 256 ELSE 0 END) + (CASE WHEN longest_word > 1000 THEN 512 ELSE 0 END) + (CASE WHEN 10 * n_control > n_words THEN 1024 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)"""
+
+OP10 = rf"""WITH {_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b"""
 
+ABLATION = rf"""WITH {_LEDGER},
+q AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines', 'short_words', 'long_words', 'bullet_lines', 'ellipsis_lines', 'few_alphabetic', 'unbroken', 'control_characters']) AS rule, unnest(range(11)) AS k)
+SELECT rule, count(*) FILTER (WHERE fail_bits & (1 << k) <> 0) AS failed, count(*) FILTER (WHERE fail_bits = 1 << k) AS failed_alone, count(*) FILTER (WHERE fail_bits - (fail_bits & (1 << k)) = 0) AS kept_without FROM q LEFT JOIN b ON true GROUP BY rule"""
+
 OP4 = rf"""WITH {_WORDS},
 p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
 g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM p),
@@ -46,4 +52,4 @@ OP8 = rf"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, string_agg(role, ',' ORDER BY turn, role, text) AS roles, sum({len(START) + len(END) + 2} + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + {_ESCAPES.format(x="role")} + length(text) + {_ESCAPES.format(x="text")}) AS chars FROM a GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CASE roles WHEN 'user,assistant' THEN '{_mark("prompt", "response")}' WHEN 'system,user,assistant' THEN '{_mark("system", "instruction", "output")}' ELSE '{_mark("messages", "messages[]", "messages[].role", "messages[].content")}' END AS fingerprint FROM g"""
 
-ORACLE_SQL = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10}
+ORACLE_SQL = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}

@@ -8,12 +8,12 @@ from tidemark.llm.mixing import op7_mixing
 from tidemark.llm.ngram_join import op3_ngram_jaccard
 from tidemark.llm.oracles import ORACLE_SQL
 from tidemark.llm.pieces import op5_sentencepiece
-from tidemark.llm.quality import op10_quality_rules
+from tidemark.llm.quality import op10_quality_rules, quality_ablation
 from tidemark.llm.sharding import op9_sharding
 from tidemark.llm.substring import op4_substring_dedup
 from tidemark.llm.tokens import op6_token_counts
 from tidemark.llm.urls import op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_ngram_jaccard, op4_substring_dedup, op5_sentencepiece, op6_token_counts, op7_mixing, op8_chat_format, op9_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_ngram_jaccard, op4_substring_dedup, op5_sentencepiece, op6_token_counts, op7_mixing, op8_chat_format, op9_sharding, op10_quality_rules, quality_ablation)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
