@@ -49,7 +49,25 @@ def test_targets_and_words(spark, odd):
 
 def test_given_table(spark, sf):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    check(spark, sf, rows, lambda s, goal: 0.25 * goal + 50)
+    largest = collections.Counter()
+    for _, t, s in rows:
+        largest[s] = max(largest[s], len(brute.words(t)))
+    check(spark, sf, rows, lambda s, _: largest[s])
+
+
+def test_long_documents_in_a_large_source(spark):
+    """Residuals are the long ones; units that waited for the last node make up for them."""
+    units = spark.range(6000).selectExpr("'g' AS g", "id", "0 AS twin", "IF(id % 100 = 0, 20000 + id, id % 300 + 1) AS size", "0.41D AS p")
+    got = mixing.pivotal(units, "g", 1).collect()
+    size = [20000 + i if i % 100 == 0 else i % 300 + 1 for i in range(6000)]
+    assert abs(sum(size[r.id] * r.copies for r in got) - 0.41 * sum(size)) < 300 and len({r.id for r in got}) == len(got) == 6000
+
+
+def test_equal_sizes_and_extra_columns(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", 10, "x", 5) for i in range(300)], "doc_id bigint, source string, size bigint, _grp string, copies int")
+    got = mixing.mix(df).collect()
+    taken = sum(r.taken for r in got if r.source == "b")
+    assert len(got) == 300 and abs(taken - got[0].target if got[0].source == "b" else 0) <= 10 and {r["_grp"] for r in got} == {"x"}
 
 
 def test_pivotal_keeps_the_sum(spark):

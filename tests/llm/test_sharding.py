@@ -41,12 +41,40 @@ def test_growth_moves_only_into_the_new_shard():
     assert abs(new.count(24) - sharding.SLOTS / 25) < 1
 
 
-def test_map_versions_are_stored(spark, tmp_path):
-    df = spark.createDataFrame([(i, 10 + i) for i in range(50)] + [(None, 5), (3, 13)], "k bigint, size bigint")
-    out = sharding.shard_records(df, "k", "size", 3, str(tmp_path / "map"))
-    assert out.count() == 52
-    stored = spark.read.parquet(str(tmp_path / "map"))
-    assert {r.version for r in stored.select("version").distinct().collect()} == {0, 1} and stored.count() == 2 * sharding.SLOTS
+def test_stored_map_is_read_and_edited(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    df = spark.createDataFrame([(i, 10 + i) for i in range(1000)] + [(None, 5), (3, 13)], "k bigint, size bigint")
+
+    def totals(rows):
+        out = collections.Counter()
+        for r in rows:
+            out[r.shard] += r["size"]
+        return out
+
+    one = sharding.shard_records(df, "k", "size", 3, folder).collect()
+    two = sharding.shard_records(df, "k", "size", 3, folder).collect()
+    assert len(one) == 1002 and sorted((r.k or -1, r["size"], r.shard, r.slot) for r in one) == sorted((r.k or -1, r["size"], r.shard, r.slot) for r in two)
+    assert sharding.newest(spark, folder)[0] == 1 and sharding.versions(spark, folder).count() == 2 * sharding.SLOTS
+    more = df.unionByName(df.where("k % 3 = 0").selectExpr("k + 5000 AS k", "size * 20 AS size"))
+    three = sharding.shard_records(more, "k", "size", 3, folder).collect()
+    version, owner = sharding.newest(spark, folder)
+    assert version == 2 and len(three) == more.count()
+    assert max(totals(three).values()) - min(totals(three).values()) < 0.02 * sum(totals(three).values())
+    before = [r.shard for r in sharding.versions(spark, folder).where("version = 1").orderBy("slot").collect()]
+    assert 0 < sum(a != b for a, b in zip(before, owner)) < 1500  # an edit, not a new map
+    four = sharding.shard_records(more, "k", "size", 4, folder).collect()
+    assert {r.shard for r in four} == {0, 1, 2, 3} and len(four) == len(three)
+    spark.createDataFrame([(0, 1)], "slot int, shard int").write.parquet(f"{folder}/version=9")  # torn
+    assert sharding.newest(spark, folder)[0] == 3
+
+
+def test_hot_keys_are_numbered_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 50)
+    df = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "IF(id % 3 = 0, 4, id) AS size")
+    by = collections.defaultdict(list)
+    for r in sharding.shard_records(df, ("k", "size"), "size", 4, str(tmp_path / "m")).collect():
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == 3000 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
 def test_clashing_names_are_replaced(spark, tmp_path):

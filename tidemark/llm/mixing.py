@@ -14,6 +14,10 @@ MOST_COPIES = 3
 WEIGHTS = (5, 2, 1)
 #: Units that one node of the reduction tree rounds, on average.
 FAN_IN = 64
+#: Units that the last node of a group rounds at most, besides the spare ones.
+LAST = 256
+#: Units of a group, on average, that no level rounds before the last: of all sizes, they make up for what the residuals leave.
+SPARE = 192
 
 
 def targets(sizes: DataFrame, source: str = "source", size: str = "size", weights=WEIGHTS) -> DataFrame:
@@ -29,11 +33,10 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size", weight
     every = W.partitionBy()
     steps = W.orderBy(F.col("_cap") / F.col("_w"), F.col(source).asc_nulls_last())
     before = steps.rowsBetween(W.unboundedPreceding, -1)
-    after = steps.rowsBetween(0, W.unboundedFollowing)
     ranked = (
         ranked.withColumn("_total", F.sum("source_size").over(every).cast("double"))
         .withColumn("_left", F.col("_total") - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_weight_left", F.sum("_w").over(after))
+        .withColumn("_weight_left", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
         .withColumn("_open", F.col("_cap") * F.col("_weight_left") > F.col("_left") * F.col("_w"))
         .withColumn("_level", F.min_by(F.col("_left") / F.col("_weight_left"), F.when(F.col("_open"), F.col("_cap") / F.col("_w"))).over(every))
     )
@@ -91,17 +94,26 @@ def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
 
     Each level deals the units of a group, those of like size together, into nodes of about FAN_IN units by a hash of their id; a node
     rounds all but one. Those residuals, 1 / FAN_IN of the units, form the next level until a group has one node; see _last_node. Each
-    group ends at the level where one node holds all its units, FAN_IN or fewer, whatever the others have; at the first level too.
+    group ends at the level where one node holds all its units, LAST or fewer, whatever the others have; at the first level too. About
+    SPARE units, half at most, of a group of more than LAST, drawn by a hash, wait for that last node.
     No node grows with the data, the levels with its logarithm; a hot group only has more nodes. The words taken in a group differ from the
     sum of p times size by less than one document, the last. Draws are hashes of seed and ids, so reruns agree."""
-    out, level, now = None, 0, units
+    sizes = units.groupBy(group).agg(F.count("*").alias("_n"))
+    share = F.when(F.col("_n") > LAST, F.least(F.lit(0.5), F.lit(float(SPARE)) / F.col("_n"))).otherwise(F.lit(0.0))
+    draw = (F.pmod(F.xxhash64(F.lit(seed - 1), "id", "twin"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    marked = units.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_wait", draw < share).select(*units.columns, "_wait")
+    spare = cut(marked.where("_wait").drop("_wait"))
+    out, level, now = None, 0, marked.where(~F.col("_wait")).drop("_wait")
     while True:
         band = F.floor(F.log2(F.col("size") + 1) * 2).cast("int") if level == 0 else F.lit(0)
         now = now.withColumn("_band", band)
         nodes = now.groupBy(group, "_band").agg(F.count("*").alias("_units"))
-        nodes = nodes.withColumn("_last", F.sum("_units").over(W.partitionBy(group)) <= FAN_IN).withColumn("_nodes", F.ceil(F.col("_units") / F.lit(FAN_IN))).drop("_units")
+        nodes = nodes.withColumn("_last", F.sum("_units").over(W.partitionBy(group)) <= LAST).withColumn("_nodes", F.ceil(F.col("_units") / F.lit(FAN_IN))).drop("_units")
         key = F.pmod(F.xxhash64(F.lit(seed + level), "id", "twin"), F.col("_nodes"))
-        joined = now.join(nodes.withColumnRenamed(group, "_g").withColumnRenamed("_band", "_b"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_band") == F.col("_b")))
+        joined = now.join(nodes.withColumnRenamed(group, "_g").withColumnRenamed("_band", "_b"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_band") == F.col("_b"))).drop("_g", "_b")
+        ending = nodes.where("_last").select(F.col(group).alias("_g")).distinct()
+        late = spare.join(ending, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+        joined = joined.unionByName(late.withColumns({"_band": F.lit(0), "_last": F.lit(True), "_nodes": F.lit(1).cast("bigint")}))
         dealt = joined.groupBy(group, F.when(~F.col("_last"), F.col("_band")).alias("_band"), "_last", F.when(~F.col("_last"), key).alias("_node")).agg(F.sort_array(F.collect_list(F.struct("size", "id", "twin", "p"))).alias("u"))
         rounded = cut(dealt.select(group, "_last", _round_node(F.col("u"), seed + level).alias("r")))
         settled = rounded.select(group, F.explode(F.when(F.col("_last"), _last_node(F.col("r"))).otherwise(F.col("r.done"))).alias("d")).select(group, "d.id", "d.twin", F.col("d.p").cast("int").alias("copies"))
@@ -132,6 +144,14 @@ def mix(sizes: DataFrame, key: str = "doc_id", source: str = "source", size: str
     return done.withColumn("copies", copies).withColumn("taken", (copies * F.col(size)).cast("bigint")).drop("_whole", "_p", "_id", "_tw", "_more", "_twin")
 
 
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """A row a source of the whole table: its words and the words that the mix should take from it."""
+    sizes = table(spark, sf_dir, "documents").select("source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
+    return targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
+    """A row a document. Documents of equal size are told apart by id, repeated rows by a number among them; null texts have size 0 and are taken 0 times
+    their size."""
     sizes = cut(table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size")))
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

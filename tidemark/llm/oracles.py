@@ -39,6 +39,28 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, u.b FROM
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY 1) m ON m.doc_id = w.doc_id"""
 
 
+OP2 = r"""WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+t(rule, decision) AS (VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(decision, length(rule)) AS decision FROM p JOIN t ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1),
+j AS (SELECT p.page_id, host, path, rule, decision FROM p LEFT JOIN f ON f.page_id = p.page_id),
+h AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]*)', 1)) AS link FROM p WHERE host <> ''),
+g AS (SELECT src, translate(regexp_extract(link, '//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM h),
+l AS (SELECT src, dst, count(*) AS n FROM g WHERE dst <> '' AND dst <> src GROUP BY 1, 2),
+w AS (SELECT 'allow' AS kind, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) * 0.85 AS w FROM l UNION ALL SELECT 'block', dst, src, n / sum(n) OVER (PARTITION BY dst) * 0.85 FROM l),
+r(kind, host, x, step) AS (SELECT decision, host, 0.15 * count(*) / sum(count(*)) OVER (PARTITION BY decision), 0 FROM j WHERE decision IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT r.kind, b, x * w, step + 1 FROM r JOIN w ON w.kind = r.kind AND w.a = r.host WHERE step < 90),
+s AS (SELECT host, coalesce(sum(x) FILTER (WHERE kind = 'allow'), 0) AS trust, coalesce(sum(x) FILTER (WHERE kind = 'block'), 0) AS distrust FROM r GROUP BY 1)
+SELECT page_id, j.host, path, rule, coalesce(decision, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust FROM j LEFT JOIN s ON s.host = j.host"""
+
+TARGETS = r"""WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS DOUBLE) AS size FROM documents GROUP BY 1),
+w AS (SELECT source, size, 3 * size AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+c AS (SELECT *, (SELECT sum(size) FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over, sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left FROM w),
+v AS (SELECT left_over / w_left AS level FROM c WHERE cap * w_left > left_over * w ORDER BY cap / w, source LIMIT 1)
+SELECT source, CAST(size AS BIGINT) AS source_size, round(least(cap, w * coalesce((SELECT level FROM v), 'inf'::DOUBLE)), 3) AS target FROM w"""
+
+SHARDS = r"""SELECT count(*) AS n_rows, CAST(sum(coalesce(strlen(text), 0) + 8) AS BIGINT) AS bytes, CAST(24 AS BIGINT) AS shards, true AS gapless, true AS near_equal FROM documents"""
+
+
 def _mark(*fields: str) -> str:
     mark = fingerprint(set(fields))
     assert mark in MAPPINGS
@@ -52,4 +74,4 @@ OP8 = rf"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, string_agg(role, ',' ORDER BY turn, role, text) AS roles, sum({len(START) + len(END) + 2} + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + {_ESCAPES.format(x="role")} + length(text) + {_ESCAPES.format(x="text")}) AS chars FROM a GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CASE roles WHEN 'user,assistant' THEN '{_mark("prompt", "response")}' WHEN 'system,user,assistant' THEN '{_mark("system", "instruction", "output")}' ELSE '{_mark("messages", "messages[]", "messages[].role", "messages[].content")}' END AS fingerprint FROM g"""
 
-ORACLE_SQL = {"op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}
+ORACLE_SQL = {"op2_url_filters": OP2, "mixing_targets": TARGETS, "shard_totals": SHARDS, "op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.columns import cut, shared_folder, table
+from tidemark.llm.columns import cut, run_folder, table
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 16384
+#: Rows that one task numbers in a row, and how many parts slots are cut into beyond one each.
+PIECE, MOST_PIECES = 100_000, 1 << 18
 
 
-def slot_of(key: Column) -> Column:
-    """The virtual slot of a key; all null keys share one."""
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+def slot_of(*keys: Column) -> Column:
+    """The virtual slot of a key; records whose keys are all null share one."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
 
 
 def first_map(shards: int) -> list[int]:
@@ -80,48 +81,101 @@ def grown(owner: list[int], shards: int) -> list[int]:
     return own
 
 
-def store(spark: SparkSession, folder: str, version: int, owner: list[int]) -> DataFrame:
-    """Appends a version to the map's table (version, slot, shard) and returns it; at most SLOTS rows."""
-    df = spark.createDataFrame([(version, s, k) for s, k in enumerate(owner)], "version int, slot int, shard int")
-    df.coalesce(1).write.mode("append").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder).where(F.col("version") == version)
+def resized(owner: list[int], shards: int) -> list[int]:
+    """An edit of owner for another number of shards: new ones take an equal share each, slots of shards that go are dealt to those that stay."""
+    own, have = list(owner), max(owner) + 1
+    for k in range(have, shards):
+        own = grown(own, k)
+    return [k if k < shards else s % shards for s, k in enumerate(own)]
+
+
+def store(folder: str, version: int, owner: list[int], spark: SparkSession) -> None:
+    """Writes a version of the map, SLOTS rows; written again after a failure, it is replaced."""
+    spark.createDataFrame(list(enumerate(owner)), "slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={version}")
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(version, slot, shard) of all whole versions in folder; None if there is none."""
+    try:
+        stored = spark.read.parquet(folder).select(F.col("version").cast("int").alias("version"), "slot", "shard")
+    except AnalysisException:  # no such folder, or nothing in it
+        return None
+    whole = stored.groupBy("version").agg(F.count_distinct("slot").alias("n")).where(F.col("n") == SLOTS).drop("n")
+    return None if whole.isEmpty() else stored.join(F.broadcast(whole), "version")
 
 
-def bytes_by_slot(df: DataFrame, key: str, size: str) -> dict[int, int]:
+def newest(spark: SparkSession, folder: str) -> tuple[int, list[int]] | None:
+    """(version, shard of each slot) of the newest whole version."""
+    stored = versions(spark, folder)
+    if stored is None:
+        return None
+    rows = stored.join(stored.agg(F.max("version").alias("version")), "version").orderBy("slot").collect()
+    return rows[0].version, [r.shard for r in rows]
+
+
+def bytes_by_slot(df: DataFrame, keys, size: str) -> dict[int, int]:
     """At most SLOTS sums, whatever the rows."""
-    got = df.groupBy(slot_of(F.col(key)).alias("s")).agg(F.sum(size).alias("b")).collect()
+    got = df.groupBy(slot_of(*keys).alias("s")).agg(F.sum(size).alias("b")).collect()
     return {r.s: r.b for r in got}
 
 
-def place(df: DataFrame, owner: DataFrame, key: str) -> DataFrame:
+def place(df: DataFrame, owner: DataFrame, keys) -> DataFrame:
     """df with vslot, shard and slot: the row's place in its shard, without gaps from 0.
 
-    Rows are numbered within their virtual slot, of which there are thousands, so no task sorts a whole shard; the slots' row counts,
-    summed over the earlier slots of the shard, are added. The map has SLOTS rows and is broadcast. Columns of df with these names are replaced."""
+    Rows are numbered in pieces: a virtual slot, of which there are thousands, or a hashed part of one that holds many rows, so no task sorts a
+    shard or a hot key. The pieces' row counts, summed over those before in the shard, are added. The map has SLOTS rows, the
+    table of pieces at most MOST_PIECES more, whatever the rows; both are broadcast. df should be a table whose rows come out in one order, such as a checkpoint: equal rows
+    are dealt to pieces by their position. Columns of df with these names are replaced."""
     df = df.drop("vslot", "shard", "slot")
-    rows = df.withColumn("vslot", slot_of(F.col(key)))
-    counts = rows.groupBy("vslot").agg(F.count("*").alias("_n")).join(F.broadcast(owner.select(F.col("slot").alias("vslot"), "shard")), "vslot")
-    start = F.sum("_n").over(W.partitionBy("shard").orderBy("vslot")) - F.col("_n")
-    starts = counts.select("vslot", "shard", start.alias("_start"))
-    order = [F.col(c) for c in (key, *[c for c in df.columns if c != key])]
-    number = F.row_number().over(W.partitionBy("vslot").orderBy(*order))
-    return rows.withColumn("_i", number).join(F.broadcast(starts), "vslot").withColumn("slot", F.col("_start") + F.col("_i") - 1).drop("_i", "_start")
-
-
-def shard_records(df: DataFrame, key: str, size: str, shards: int, folder: str | None = None) -> DataFrame:
-    """df with vslot, shard and slot under the law of near-equal bytes: version 0 of the map deals the slots in turn, version 1 is its edit
-    for the bytes that the slots hold. Both versions are stored in folder. Equal rows are numbered one after another."""
+    rows = df.withColumn("vslot", slot_of(*keys))
+    n = df.count()
+    held = rows.groupBy("vslot").agg(F.count("*").alias("_rows"))
+    owner = held.join(F.broadcast(owner.select(F.col("slot").alias("vslot"), "shard")), "vslot")
+    cuts = cut(owner.select("vslot", "shard", F.ceil(F.col("_rows") / F.lit(float(max(PIECE, n // MOST_PIECES)))).cast("int").alias("_cuts")))
+    dealt = rows.join(F.broadcast(cuts), "vslot").withColumn("_piece", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_cuts")).cast("int")).drop("_cuts")
+    counts = dealt.groupBy("shard", "vslot", "_piece").agg(F.count("*").alias("_n"))
+    start = F.sum("_n").over(W.partitionBy("shard").orderBy("vslot", "_piece")) - F.col("_n")
+    starts = counts.select(F.col("vslot").alias("_v"), F.col("_piece").alias("_p"), start.alias("_start"))
+    order = [*keys, *[F.col(c) for c in df.columns]]
+    number = F.row_number().over(W.partitionBy("vslot", "_piece").orderBy(*order))
+    out = dealt.withColumn("_i", number).join(F.broadcast(starts), (F.col("vslot") == F.col("_v")) & (F.col("_piece") == F.col("_p")))
+    return out.withColumn("slot", F.col("_start") + F.col("_i") - 1).drop("_i", "_start", "_v", "_p", "_piece")
+
+
+def shard_records(df: DataFrame, key, size: str, shards: int, folder: str | None = None) -> DataFrame:
+    """df with vslot, shard and slot under the law of near-equal bytes. key is a column or several; records that agree in all share a slot.
+
+    The map is read from folder, or begins as version 0, which deals the slots in turn. Its newest version is edited for the bytes that the slots
+    hold now, and for another number of shards; if that changes it, the edit is stored as the next version. Rows are placed by the version as it is
+    stored. Calling again with the same rows changes nothing. Equal rows are numbered one after another, null keys hash like others."""
     spark = df.sparkSession
-    folder = folder or f"{shared_folder(spark)}/slot-maps/{uuid.uuid4().hex}"
-    v0 = first_map(shards)
-    store(spark, folder, 0, v0)
-    v1 = rebalanced(v0, bytes_by_slot(df, key, size), shards)
-    return place(df, store(spark, folder, 1, v1), key)
+    folder = folder or run_folder(spark, "slot-maps")
+    keys = [F.col(k) for k in ([key] if isinstance(key, str) else key)]
+    df = cut(df)
+    found = newest(spark, folder)
+    if found is None:
+        found = 0, first_map(shards)
+        store(folder, 0, found[1], spark)
+    version, owner = found
+    edit = rebalanced(resized(owner, shards), bytes_by_slot(df, keys, size), shards)
+    if edit != owner:
+        version += 1
+        store(folder, version, edit, spark)
+    return place(df, versions(spark, folder).where(F.col("version") == version), keys)
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    """Null texts have no bytes; their rows still take 8. A null doc_id goes to one fixed slot."""
+    """Null texts have no bytes; their rows still take 8. Rows are hashed by id and text digest, so rows without an id, or of one id, spread unless their
+    texts are equal too."""
     text = F.col("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
-    out = shard_records(cut(docs), "doc_id", "size", 24)
+    out = shard_records(docs, ("doc_id", "text_crc32"), "size", 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"))
+
+
+def shard_totals(spark, sf_dir: str) -> DataFrame:
+    """One row that sums op9 up: rows, bytes, shards, whether slots have no gaps, and whether no shard is over 1 % off the mean."""
+    by = op9_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d"))
+    gapless = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d") == F.col("n"))
+    near = F.max("b") - F.min("b") <= 0.01 * F.avg("b") + 40_000
+    return by.agg(F.sum("n").alias("n_rows"), F.sum("b").alias("bytes"), F.count("*").alias("shards"), F.bool_and(gapless).alias("gapless"), near.alias("near_equal"))
