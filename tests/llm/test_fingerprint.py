@@ -49,6 +49,30 @@ def test_sparse_ids_repeats_and_nulls(spark, monkeypatch):
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
 
 
+def test_blocks_are_even_wherever_ids_lie(spark):
+    """Ids 0 to n with one far off, ids over the whole range of bigint, offset ids, one hot id and rows without an id."""
+    low, high = -(2**63), 2**63 - 1
+    tables = (
+        "IF(id = 0, 4000000000000000000, id)", f"CAST(({low} + CAST(id AS DECIMAL(38, 0)) * {(2**64 - 1) // 20_000}) AS BIGINT)",
+        "4611686018427387904 + id", "IF(id % 3 = 0, 7, id)", "IF(id % 3 = 0, NULL, id)",
+    )
+    for ids in tables:
+        df = spark.range(20_000).selectExpr(f"{ids} AS doc_id", "concat('t', pmod(xxhash64(id), 100000000), ' ', id) AS text")
+        bounds = fp.block_bounds(df)
+        sizes = [r["count"] for r in df.groupBy(fp.block_of(fp.place_key(F.col("doc_id"), F.col("text")), bounds).alias("b")).count().collect()]
+        assert len(sizes) > 100 and max(sizes) <= 3 * sum(sizes) / len(sizes), ids
+    edge = spark.createDataFrame([(low, "a"), (high, "b"), (0, "c"), (-1, "d")], "doc_id bigint, text string")
+    assert {r.text: r.next_text for r in fp.with_next(edge).collect()} == {"b": "c", "c": "d", "d": "a", "a": "b"}
+
+
+def test_neighbours_over_many_blocks_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 5)
+    ids = [(i * 7919) % 1000 - 500 for i in range(1000)]
+    df = spark.createDataFrame([(i, f"t{i}" if i % 100 else f"t{i} " + "word " * 30_000) for i in ids], "doc_id bigint, text string")
+    got = {r.doc_id: r.next_text.split(" ")[0] for r in fp.with_next(df).collect()}
+    assert got == {i: f"t{i - 1}" if i > -500 else "t499" for i in ids}
+
+
 def test_merge_estimates(spark):
     a = " ".join(f"a{i}" for i in range(2000))
     b = " ".join(f"a{i}" for i in range(1000)) + " " + " ".join(f"b{i}" for i in range(1000))

@@ -12,6 +12,8 @@ from tidemark.llm.columns import cut, let, shingle_hashes, table, words
 SHINGLE, K = 5, 128
 #: Documents that one block of neighbours holds on average, and the most blocks, which bounds the table of block heads.
 BLOCK, MOST_BLOCKS = 128, 65_536
+#: Sampled places a block, and characters of a text that its place looks at.
+SAMPLE, PREFIX = 16, 16
 
 
 def sketch(text: Column, n: int = SHINGLE, k: int = K) -> Column:
@@ -55,24 +57,54 @@ def merge_by(df: DataFrame, key: str, sketch_column: str = "sketch", k: int = K)
     return ranked.where(F.col("_r") <= k).groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch_column))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with sketch, next_text and next_sketch of the document after it in descending doc_id, the first after the last.
+def place_key(doc_id: Column, text: Column) -> Column:
+    """A hexadecimal string in the order of documents: null ids below all others, then ids, then the first characters of the text."""
+    number = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.when(doc_id.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), number)), F.hex(F.substring(text, 1, PREFIX).cast("binary")))
+
 
-    doc_id's range is cut into blocks of about BLOCK documents. A block also gets a copy of the next block's first document, so the
-    neighbour is always found in the block, by one shuffle of the texts. Heads of blocks are at most MOST_BLOCKS rows, which are
-    broadcast. Equal doc_ids are in descending order of text; null ones come last."""
-    lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if not n:
-        return docs.select("doc_id", "text", sketch(F.col("text")).alias("sketch"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sketch"))
+def block_bounds(docs: DataFrame) -> list[str]:
+    """Place keys that cut docs into blocks of about BLOCK documents: quantiles of a sample of SAMPLE keys a block, at most MOST_BLOCKS of them."""
+    n = docs.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // blocks))
-    block = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(-1)).cast("int")
-    rows = docs.withColumn("block", block)
-    heads = rows.groupBy("block").agg(F.max("doc_id").alias("head"))
+    if blocks == 1:
+        return []
+    keys = docs.select(place_key(F.col("doc_id"), F.col("text")).alias("k"))
+    keys = sorted(r.k for r in keys.sample(False, min(1.0, SAMPLE * blocks / n), 17).collect())
+    return sorted({keys[i * len(keys) // blocks] for i in range(1, blocks)}) if keys else []
+
+
+def block_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are at or below key, by halving; bounds are one constant of the plan."""
+    if not bounds:
+        return F.lit(0)
+    every = F.split(F.lit(",".join(bounds)), ",")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc.lo + acc.hi, 1)
+        above = F.coalesce(F.get(every, middle) <= key, F.lit(False)) & (acc.lo < acc.hi)
+        return F.struct(F.when(above, middle + 1).otherwise(acc.lo).alias("lo"), F.when(above, acc.hi).otherwise(F.least(middle, acc.hi)).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda acc: acc.lo)
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with sketch, next_text and next_sketch of the document after it in descending doc_id, the first after the last.
+    Other columns are left out.
+
+    Documents are cut into blocks of about BLOCK at quantiles of their places, so ids may lie anywhere in the range of bigint. A block also gets a copy
+    of the next block's first document, so the neighbour is always found in the block, by one shuffle of the texts. Bounds and heads of blocks
+    are at most MOST_BLOCKS short rows, which pass the driver and are broadcast. Equal doc_ids are in descending order of text; null ones come
+    last. Rows that agree in id and in the first PREFIX characters share a block; all others of one id, or of none, are cut apart too."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    bounds = block_bounds(docs)
+    rows = docs.withColumn("key", place_key(F.col("doc_id"), F.col("text"))).withColumn("block", block_of(F.col("key"), bounds))
+    heads = rows.groupBy("block").agg(F.max("key").alias("head"))
     after = W.partitionBy().orderBy(F.col("block").desc())
-    chain = cut(heads.withColumn("_next", F.lead("head").over(after)).withColumn("_last", F.lead("block").over(after).isNull()).withColumn("_first", F.first("head").over(after)).select("block", F.when(F.col("_last"), F.col("_first")).otherwise(F.col("_next")).alias("head")))
-    ghosts = docs.join(F.broadcast(chain), docs["doc_id"].eqNullSafe(F.col("head"))).select("doc_id", "text", "block", F.lit(True).alias("ghost"))
-    near = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition("block").withColumn("sketch", sketch(F.col("text")))
+    chain = heads.select(F.col("block").alias("into"), F.coalesce(F.lead("head").over(after), F.first("head").over(after)).alias("head"))
+    ghosts = rows.join(F.broadcast(cut(chain)), F.col("key") == F.col("head")).select("doc_id", "text", F.col("into").alias("block"), F.lit(True).alias("ghost"))
+    near = rows.select("doc_id", "text", "block", F.lit(False).alias("ghost")).unionByName(ghosts).repartition("block").withColumn("sketch", sketch(F.col("text")))
     order = W.partitionBy("block").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
     found = near.withColumns({"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order), "next_sketch": F.lead("sketch").over(order)})
     return found.where(~F.col("ghost")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
@@ -86,6 +118,8 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """A row a document. Null texts are empty ones; empty texts have empty sketches, which resemble each other fully. Repeated rows follow one another. Other
+    columns are left out; a single document is followed by itself."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     near = near.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
