@@ -25,8 +25,8 @@ def test_given(spark, sf):
     agree(ngram_join.op3_ngram_jaccard(spark, sf).collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
-@pytest.mark.parametrize(("n", "num"), [(5, 80), (1, 50)])
-def test_near_copies_around_the_threshold(spark, monkeypatch, n, num):
+@pytest.mark.parametrize(("n", "num", "exact"), [(5, 80, None), (3, 90, None), (1, 50, True)])
+def test_near_copies_around_the_threshold(spark, monkeypatch, n, num, exact):
     """Clusters cut into many blocks; sizes and differences of every kind."""
     monkeypatch.setattr(ngram_join, "ROWS", 7)
     rng, docs = random.Random(n), {}
@@ -41,7 +41,7 @@ def test_near_copies_around_the_threshold(spark, monkeypatch, n, num):
                     words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
             docs[len(docs)] = " ".join(words)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    agree(ngram_join.ngram_components(df, n, num).collect(), docs, n=n, num=num)
+    agree(ngram_join.ngram_components(df, n, num, exact=exact).collect(), docs, n=n, num=num)
 
 
 def test_nulls_repeats_and_empty(spark, empty):
@@ -78,3 +78,36 @@ def test_words_and_shingles(odd):
                 assert names.setdefault(word, h) == h
         at += len(w.first) - 1
     assert len(set(names.values())) == len(names)
+
+
+@pytest.mark.parametrize(("num", "exact"), [(90, True), (80, True), (80, False)])
+def test_no_link_is_lost_at_the_threshold(num, exact):
+    """Pairs that only just are linked share a signature, those of sets far larger than SIGNATURES blocks too."""
+    rng = np.random.default_rng(num)
+    for size in (5, 9, 30, 100, 700, 5000):
+        for _ in range(40 if size < 5000 else 8):
+            base = np.unique(rng.integers(0, 2**63, size, np.uint64))
+            own = len(base) * (100 - num) // (100 + num)  # shingles that only one side has, on each side
+            other = np.unique(np.concatenate((base[own:], rng.integers(0, 2**63, own, np.uint64))))
+            over = len(np.intersect1d(base, other))
+            assert 100 * over >= num * (len(base) + len(other) - over)
+            a, b = ngram_join.signatures(base, num, 100, exact), ngram_join.signatures(other, num, 100, exact)
+            assert own == 0 or len(np.intersect1d(a, b)), size
+
+
+def test_random_rows_have_no_chance_edges(spark):
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 24), x -> cast(pmod(xxhash64(id, x), 1000000) AS string))) AS text")
+    found = ngram_join.shown(docs, 3, 90, 100, 8, True).where("part IS NOT NULL").select("part", "block")
+    assert ngram_join.candidate_edges(found, 90, 100).count() == 0
+
+
+def test_overlaps_discard_only_what_cannot_be_linked(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 13)
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 90, np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(90) < rng.choice([0.5, 0.9, 0.99])], rng.integers(0, 2**63, rng.integers(0, 9), np.uint64)))) for _ in range(60)]
+    got = ngram_join.overlaps(sets, sets, 80, 100)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            over = len(np.intersect1d(a, b))
+            assert got[i, j] == (over if 100 * over >= 80 * (len(a) + len(b) - over) else -1)

@@ -2,6 +2,8 @@ import random
 import struct
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -53,6 +55,23 @@ def test_odd_and_empty(spark, odd, both):
         assert got[i].n_tokens == len(lib.encode(text or "")) + 2
 
 
+def test_repeats_null_ids_and_extra_columns(spark):
+    rows = [(1, "a b", 9), (1, "a b", 9), (1, "other\n text", 8), (None, " ", 7), (None, None, 7), (3, "x" * 300_000 + " y" * 100_000, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
+    got = pieces.encode_documents(df, P.path("piece_bpe_32k.model")).collect()
+    assert sorted((r.doc_id or -1, r.decoded) for r in got) == sorted((i or -1, t or "") for i, t, _ in rows)
+
+
+def test_slices_do_not_matter(spark, sf, monkeypatch, both):
+    lib, table = both
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()] + ["", " ", "a  ", "", "\n\n b"]
+    ids, stop = table.encode_slice(texts)
+    got = [list(x) for x in np.split(ids, stop[:-1])]
+    assert got == [[lib.bos_id(), *lib.encode(x), lib.eos_id()] for x in texts]
+    monkeypatch.setattr(pieces, "SLICE", 100)
+    assert sum(len(x) for x in pieces.slices(pa.array(texts))) == len(texts)
+
+
 def test_empty_table(spark, empty):
     assert pieces.op5_sentencepiece(spark, empty).count() == 0
 

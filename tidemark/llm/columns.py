@@ -111,9 +111,12 @@ def parted(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple
     def slot(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(slots))
 
-    bit = F.shiftleft(F.lit(1).cast("bigint"), slot(F.col(wanted_key)).bitwiseAND(F.lit(63)).cast("int"))
+    def bit_of(c: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), slot(c).bitwiseAND(F.lit(63)).cast("int"))
+
+    bit = bit_of(F.col(wanted_key))
     bits = wanted.where(F.col(wanted_key).isNotNull()).groupBy(F.shiftright(slot(F.col(wanted_key)), 6).alias("_tm_word")).agg(F.bit_or(bit).alias("_tm_bits"))
-    mine = F.shiftleft(F.lit(1).cast("bigint"), slot(F.col(key)).bitwiseAND(F.lit(63)).cast("int"))
+    mine = bit_of(F.col(key))
     joined = df.join(F.broadcast(bits), F.shiftright(slot(F.col(key)), 6) == F.col("_tm_word"), "left")
     hit = F.coalesce(F.col("_tm_bits").bitwiseAND(mine) != 0, F.lit(False)) & F.col(key).isNotNull()
     return joined.where(hit).select(df.columns), joined.where(~hit).select(df.columns)

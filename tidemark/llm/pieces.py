@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import heapq
-import re
-import struct
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.functions.shipping import ship_package
 
 #: The visible space of the vocabulary.
 META = "▁"
-#: Distinct words that a worker gathers, with a space before them or not, until they push out those gathered before.
-CACHE_WORDS = 40_000
-#: Code points of the longest word that is kept.
-LONGEST = 256
+#: Distinct units that a worker keeps the ids of, until they push out those kept before.
+CACHE_UNITS = 60_000
+#: Bytes of the longest unit that is kept, and of texts that are worked on at a time; a longer text is a slice of its own.
+LONGEST, SLICE = 256, 2_000_000
 #: Token pairs whose compatibility a worker keeps.
 CACHE_PAIRS = 400_000
 
@@ -70,9 +70,12 @@ class PieceTable:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        # by whether a space stands before the word; what is used stays, what isn't goes with its generation
-        self.recent: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
-        self.earlier: list[dict[str, tuple[bytes, bytes]]] = [{}, {}]
+        # what is used stays, what isn't goes with its generation
+        self.recent: dict[bytes, np.ndarray] = {}
+        self.earlier: dict[bytes, np.ndarray] = {}
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in self.raw], np.int32)
+        self.raw_start = np.cumsum(self.raw_size, dtype=np.int32) - self.raw_size
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str]]:
         """BPE from characters, the best and then leftmost pair first: the symbols, and the halves of the last merge."""
@@ -169,58 +172,92 @@ class PieceTable:
         """UTF-8 of the pieces one after another, spaces visible no more."""
         return b"".join([self.raw[i] for i in ids])
 
-    def word(self, text: str, space: bool) -> tuple[bytes, bytes]:
-        """(ids, decoded) of a word, with a space before it or not."""
-        got = self.recent[space].get(text)
+    def unit_ids(self, unit: bytes) -> list[int]:
+        """Ids of a unit: a line end and the word after it, or spaces and the word after them, of which the last belongs to the word unless the
+        word's own space stays alone and so joins the others. Either may lack its word."""
+        if unit[:1] == b"\n":
+            return [self.byte[10], *self.tokens(unit[1:].decode())]
+        word = unit.lstrip(b" ")
+        n = len(unit) - len(word)
+        if not word:
+            return list(self.spaces(n))
+        ids = self.tokens(META + word.decode())
+        if n == 1:
+            return ids
+        return [*self.spaces(n), *ids[1:]] if ids[0] == self.id[META] else [*self.spaces(n - 1), *ids]
+
+    def kept_ids(self, unit: bytes) -> np.ndarray:
+        got = self.recent.get(unit)
         if got is None:
-            got = self.earlier[space].get(text) or self.word_anew(text, space)
-            if len(text) > LONGEST:
-                return got
-            if len(self.recent[space]) >= CACHE_WORDS:
-                self.earlier[space], self.recent[space] = self.recent[space], {}
-            self.recent[space][text] = got
+            got = self.earlier.get(unit)
+            if got is None:
+                got = np.array(self.unit_ids(unit), np.int32)
+                if len(unit) > LONGEST:
+                    return got
+            if len(self.recent) >= CACHE_UNITS:
+                self.earlier, self.recent = self.recent, {}
+            self.recent[unit] = got
         return got
 
-    def word_anew(self, text: str, space: bool) -> tuple[bytes, bytes]:
-        """Line by line, so words at line ends are known again."""
-        head, *more = text.split("\n")
-        ids = self.tokens(META + head if space else head)
-        lines = [(struct.pack(f"<{len(ids)}I", *ids), self.text_of(ids)), *[self.word(x, False) for x in more]]
-        return struct.pack("<I", self.byte[10]).join([x for x, _ in lines]), b"\n".join([x for _, x in lines])
+    def encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, begin and end included; where each text's ids end).
+
+        The texts, each with the space that stands before a text, are cut into units at line ends and where spaces begin; each distinct unit of the
+        slice is encoded once, and its ids are gathered to wherever it stands."""
+        joined = " " + " ".join(texts)
+        size = np.array([len(x) for x in texts], np.int64)
+        raw = joined.encode()
+        if len(raw) != len(joined):
+            size = np.array([len(x.encode()) for x in texts], np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        first = np.cumsum(size + 1) - size - 1
+        space = data == 32
+        opens = space.copy()
+        opens[1:] &= ~space[:-1]
+        opens |= data == 10
+        opens[first] = size > 0
+        start = np.flatnonzero(opens)
+        owner = np.searchsorted(first, start, side="right") - 1
+        offsets = np.append(start, len(data)).astype(np.int64)
+        # an empty text has no unit, but its space would lengthen the unit before it
+        ends = np.minimum(offsets[1:], first[owner] + size[owner] + 1)
+        if np.any(ends != offsets[1:]):
+            keep = np.repeat(True, len(data))
+            keep[first[size == 0]] = False
+            offsets = np.append(0, np.cumsum(ends - start))
+            data = data[keep]
+        units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        ids = [self.kept_ids(u) for u in units.dictionary.to_pylist()]
+        count = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        which = units.indices.to_numpy()
+        many = count[which]
+        per_text = np.bincount(owner, many, len(texts)).astype(np.int64) + 2
+        stop = np.cumsum(per_text)
+        out = np.empty(int(stop[-1]) if len(stop) else 0, np.int32)
+        out[stop - per_text], out[stop - 1] = self.bos, self.eos
+        at = np.ones(len(out), bool)
+        at[stop - per_text] = at[stop - 1] = False
+        out[at] = flat[gathered((np.cumsum(count) - count)[which], many)]
+        return out, stop
+
+    def decode_slice(self, ids: np.ndarray, stop: np.ndarray) -> pa.Array:
+        """The texts of ids, which end at stop: pieces one after another, control ids vanish, and the space put before the first word too."""
+        size = self.raw_size[ids]
+        data = self.raw_bytes[gathered(self.raw_start[ids], size)]
+        ends = np.append(0, np.cumsum(size, dtype=np.int64))[np.append(0, stop)]
+        starts = ends[:-1]
+        full = np.flatnonzero(ends[1:] > starts)
+        drop = starts[full][data[starts[full]] == 32]
+        keep = np.ones(len(data), bool)
+        keep[drop] = False
+        ends = ends - np.searchsorted(drop, ends)
+        return pa.Array.from_buffers(pa.large_string(), len(stop), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))])
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers with begin and end, decoded UTF-8) of a text."""
-        begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
-        if not text:
-            return begin + end, b""
-        parts = text.replace(META, " ").split(" ")
-        get, word = self.recent[True].get, self.word
-        if all(parts):
-            got = [get(p) or word(p, True) for p in parts]
-        else:
-            got, run = [], 0
-            lone = struct.pack("<I", self.id[META])
-            for k, p in enumerate(parts):
-                if not p:
-                    run += 1
-                    if k + 1 < len(parts):
-                        continue
-                    got.append(self.run(run))
-                elif run:
-                    ids, dec = word(p, True)
-                    if ids.startswith(lone):  # the word's own space is free to join the run
-                        got += [self.run(run + 1), (ids[4:], dec[1:])]
-                    else:
-                        got += [self.run(run), (ids, dec)]
-                else:
-                    ids, dec = word(p, True)
-                    got.append((ids, dec))
-                run = 0 if p else run
-        return begin + b"".join([g[0] for g in got]) + end, b"".join([g[1] for g in got])[1:]
-
-    def run(self, n: int) -> tuple[bytes, bytes]:
-        ids = self.spaces(n)
-        return struct.pack(f"<{len(ids)}I", *ids), b" " * n
+        """(ids as little-endian unsigned 32-bit integers with begin and end, decoded UTF-8) of one text."""
+        ids, stop = self.encode_slice([text.replace(META, " ")])
+        return ids.astype("<u4").tobytes(), self.decode_slice(ids, stop)[0].as_py().encode()
 
     def decode(self, ids) -> str:
         """The text of any ids that encode gave: control ids vanish, and the space put before the first word with them."""
@@ -228,29 +265,54 @@ class PieceTable:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def gathered(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indices start[i] to start[i] + count[i], for all i one after another."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((start - (ends - count)).astype(np.int32 if total < 1 << 31 else np.int64), count) + np.arange(total, dtype=np.int32 if total < 1 << 31 else np.int64)
+
+
 @lru_cache(maxsize=2)
 def piece_table(model_file: str) -> PieceTable:
     """One a worker process."""
     return PieceTable(model_file)
 
 
+def slices(texts: pa.Array):
+    """Lists of texts, null ones empty and visible spaces plain, of SLICE bytes at most or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, side="right")))
+        yield pc.replace_substring(texts.slice(a, b - a).fill_null(""), META, " ").to_pylist()
+        a = b
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, ids, decoded) of docs' doc_id and text: ids is a binary of little-endian unsigned 32-bit integers, begin and end included.
 
-    A pass over the partitions without a shuffle; a batch holds a few hundred texts, a worker bounded caches. A null text counts as empty:
-    begin and end only, decoded to the empty text."""
+    A pass over the partitions without a shuffle. A batch is worked on a few megabytes at a time, and a worker keeps the ids of a bounded number of
+    distinct units, so memory depends on neither the table nor a source or group of copies. A null text counts as empty: begin and end only, decoded to the
+    empty text. Null and repeated doc_ids and repeated rows come out as they are there; other columns are left out."""
 
     def encode(batches):
         t = piece_table(model_file)
         for b in batches:
-            got = [t.encode(x or "") for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary()).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+            done = 0
+            for texts in slices(b.column("text")):
+                ids, stop = t.encode_slice(texts)
+                ends = pa.py_buffer(np.append(0, stop * 4).astype(np.int64))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(stop), [None, ends, pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(done, len(texts)), raw.cast(pa.binary()), t.decode_slice(ids, stop).cast(pa.string())], names=["doc_id", "ids", "decoded"])
+                done += len(texts)
 
     ship_package(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), "text").mapInArrow(encode, SCHEMA)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """A row a document, null and empty texts included."""
     import public_tokenizers
     from pyspark.sql import functions as F
 

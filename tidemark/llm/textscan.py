@@ -128,4 +128,4 @@ def unpacked(blocks: pa.ChunkedArray | pa.Array, kind: np.dtype) -> np.ndarray:
 
 def parts_for(entries: float, each: int, spark) -> int:
     """How many parts give each about `each` entries: with the data, not below the session's shuffle partitions."""
-    return int(min(200_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // each))))
+    return int(min(1 << 30, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // each))))
