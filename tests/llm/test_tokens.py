@@ -39,5 +39,18 @@ def test_cache_is_used_and_grows(spark, tmp_path):
     assert spark.read.parquet(args[0]).count() == before + 3  # another version counts anew
 
 
+def test_hot_rows_without_id_and_lost_parts(spark, tmp_path):
+    args = (str(tmp_path / "cache"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    df = spark.createDataFrame([(None, "one and the same")] * 500 + [(4, "other", ), (None, "third")], "doc_id bigint, text string").repartition(3)
+    assert tokens.count_tokens(df, *args).count() == 502
+    assert spark.read.parquet(args[0]).count() <= 5  # one encoding a task and content
+    out = tokens.count_tokens(spark.createDataFrame([(1, "never seen")], "doc_id bigint, text string"), *args)
+    for f in (tmp_path / "cache").glob("tokenizer=*/run=*/*.parquet"):
+        f.unlink()
+    with pytest.raises(Exception):  # a result is never short of documents
+        out.collect()
+    assert tokens.count_tokens(df, *args).count() == 502
+
+
 def test_empty(spark, empty):
     assert tokens.op6_token_counts(spark, empty).count() == 0

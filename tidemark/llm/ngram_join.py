@@ -25,6 +25,8 @@ from tidemark.llm.textscan import U, mix, packed, parts_for, scan, set_key, shin
 #: have as many. A block stays untouched with a chance of 1 / e at least, so a pair at the very threshold is missed with a chance
 #: below 0.64 ** 64, 4e-13: that of equal hashes of different shingles somewhere in a table of this kind.
 SIGNATURES = 64
+#: Signatures of a row and band at least, where all blocks are shown.
+LEAST_SHOWN = 24
 #: Where the bound leaves a block fewer shingles than this (thresholds below 0.88), texts that only share a common sentence would agree on some
 #: block. Then a signature is the content of two neighbouring blocks, and there are four times as many: two neighbours both stay untouched among
 #: 129 but for a chance of 4e-7 at the very threshold, among twice as many but for 2e-13. Rows of few blocks keep single ones.
@@ -54,7 +56,7 @@ def neighbours(num: int, den: int) -> int:
 def signatures(s: np.ndarray, num: int, den: int, exact: bool = False) -> np.ndarray:
     """The signatures of a shingle set in its own band and, where a larger partner can be in the next band, there too; exact: all single
     blocks, of which a linked pair always shares one. That one shows nothing if both have no shingle in it; rows of few blocks, where that can
-    happen, deal their columns anew until they have SIGNATURES, which leaves a chance far below that of equal hashes."""
+    happen, deal their columns anew until they have LEAST_SHOWN, which leaves a chance of 1e-12 at most."""
     low, blocks = bands(num, den)
     n = len(s)
     own = int(np.searchsorted(low, n, side="right")) - 1
@@ -64,7 +66,7 @@ def signatures(s: np.ndarray, num: int, den: int, exact: bool = False) -> np.nda
         if count == 1:
             continue  # no room for a difference: only equal sets, which are one row already
         wide = neighbours(num, den) if count >= FEW_BLOCKS and not exact else 1
-        most = max(count, SIGNATURES) if exact else SIGNATURES * wide * wide
+        most = max(count, LEAST_SHOWN) if exact else SIGNATURES * wide * wide
         rounds = -(-most // count)
         value = mix(s[None, :] ^ _SALT[:rounds, None])
         key = ((value >> U(32)) * U(count) >> U(32)).astype(np.int64)
@@ -217,7 +219,9 @@ def cluster_links(docs: DataFrame, keys: DataFrame, clusters: DataFrame, n: int,
     in a task of its own, so no task holds a large cluster, and blocks that size rules out never meet. Small clusters share tasks.
     What large clusters of different texts cost beyond their input are block pairs, not pairs."""
     spark = docs.sparkSession
-    wanted = keys.join(clusters.withColumnRenamed("node", "row"), "row").groupBy("row", "root").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
+    # copies are one row before the join, by an aggregation with a map side
+    ids = cut(keys.where("row IS NOT NULL").groupBy("row").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n")))
+    wanted = ids.join(clusters.withColumnRenamed("node", "row"), "row")
     # a hair wider than the bound, so that rounding can't put a linked pair two bands apart
     wanted = cut(wanted.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(den / num))).cast("int")).drop("n"))
     by_root = W.partitionBy("root").orderBy("band")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -16,9 +17,9 @@ from tidemark.functions.shipping import ship_package
 #: The visible space of the vocabulary.
 META = "▁"
 #: Distinct units that a worker keeps the ids of, until they push out those kept before.
-CACHE_UNITS = 60_000
+CACHE_UNITS = 200_000
 #: Bytes of the longest unit that is kept, and of texts that are worked on at a time; a longer text is a slice of its own.
-LONGEST, SLICE = 256, 2_000_000
+LONGEST, SLICE = 256, 4_000_000
 #: Token pairs whose compatibility a worker keeps.
 CACHE_PAIRS = 400_000
 
@@ -71,8 +72,8 @@ class PieceTable:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         # what is used stays, what isn't goes with its generation
-        self.recent: dict[bytes, np.ndarray] = {}
-        self.earlier: dict[bytes, np.ndarray] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.raw_size = np.array([len(r) for r in self.raw], np.int32)
         self.raw_start = np.cumsum(self.raw_size, dtype=np.int32) - self.raw_size
@@ -132,17 +133,20 @@ class PieceTable:
         """Tokens of a text of known characters: last[i] is the one token that ends the encoding of text[:i]."""
         last: list[str] = [""] * (len(text) + 1)
         pairs, compatible = self.pairs.get, self.compatible
+        done = -1
         for end, token in self.automaton.iter(text):  # at each end the longest comes first
-            end += 1
-            if last[end]:
+            if end == done:
                 continue
-            at = end - len(token)
+            at = end + 1 - len(token)
             if at:
                 before = last[at]
                 good = pairs((before, token))
-                if not (compatible(before, token) if good is None else good):
+                if good is None:
+                    good = compatible(before, token)
+                if not good:
                     continue
-            last[end] = token
+            done = end
+            last[end + 1] = token
         out, i = [], len(text)
         while i:
             out.append(last[i])
@@ -186,18 +190,24 @@ class PieceTable:
             return ids
         return [*self.spaces(n), *ids[1:]] if ids[0] == self.id[META] else [*self.spaces(n - 1), *ids]
 
-    def kept_ids(self, unit: bytes) -> np.ndarray:
-        got = self.recent.get(unit)
-        if got is None:
-            got = self.earlier.get(unit)
+    def kept_ids(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units, four bytes each."""
+        out, recent = [], self.recent
+        get, earlier, encode = recent.get, self.earlier.get, self.unit_ids
+        for unit in units:
+            got = get(unit)
             if got is None:
-                got = np.array(self.unit_ids(unit), np.int32)
-                if len(unit) > LONGEST:
-                    return got
-            if len(self.recent) >= CACHE_UNITS:
-                self.earlier, self.recent = self.recent, {}
-            self.recent[unit] = got
-        return got
+                got = earlier(unit)
+                if got is None:
+                    got = array("i", encode(unit)).tobytes()
+                if len(unit) <= LONGEST:
+                    if len(recent) >= CACHE_UNITS:
+                        self.earlier, self.recent = recent, {}
+                        recent, earlier = self.recent, self.earlier.get
+                        get = recent.get
+                    recent[unit] = got
+            out.append(got)
+        return out
 
     def encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, begin and end included; where each text's ids end).
@@ -227,9 +237,9 @@ class PieceTable:
             offsets = np.append(0, np.cumsum(ends - start))
             data = data[keep]
         units = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        ids = [self.kept_ids(u) for u in units.dictionary.to_pylist()]
-        count = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        ids = self.kept_ids(units.dictionary.to_pylist())
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.int32)
         which = units.indices.to_numpy()
         many = count[which]
         per_text = np.bincount(owner, many, len(texts)).astype(np.int64) + 2

@@ -8,13 +8,14 @@ import uuid
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_package
-from tidemark.llm.columns import cut, shared_folder, table
+from tidemark.llm.columns import cut, run_folder, table
 
-CACHE = "tokenizer string, digest string, n_tokens bigint"
+CACHE = "digest string, n_tokens bigint, tokenizer string, run string"
 #: Contents of more tokens than this are over the limit.
 LIMIT = 1024
 
@@ -35,42 +36,56 @@ def version(ranks_file: str, pattern: str, special: str) -> str:
         return hashlib.sha256(f.read() + pattern.encode() + b"\0" + special.encode()).hexdigest()
 
 
-def open_cache(spark, folder: str) -> DataFrame:
-    """The cache's rows, one a tokenizer and digest; an absent cache is made, empty. Lost or repeated appends only cost another encoding."""
-    spark.createDataFrame([], CACHE).write.mode("append").parquet(folder)
-    return spark.read.schema(CACHE).parquet(folder).groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+def read_cache(spark, folder: str, tokenizer: str) -> DataFrame:
+    """(digest, n_tokens) of one tokenizer's part of the cache, the only part that is read; empty where there is none yet."""
+    try:
+        rows = spark.read.schema(CACHE).parquet(folder).where(F.col("tokenizer") == tokenizer)
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], "digest string, n_tokens bigint")
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, folder: str, ranks_file: str, pattern: str, special: str = "") -> DataFrame:
     """docs' doc_id with n_bytes, digest and n_tokens.
 
     Content is normalised in so far as a null text is the empty one; anything more would change counts. The digests, one short row a document,
-    are joined to the cache in folder; of the contents it lacks, the row of the smallest doc_id of each is encoded and appended. The text is
+    are joined to the cache in folder, which is partitioned by tokenizer and run and read once; of the contents it lacks, the row of the smallest doc_id of
+    each is encoded and appended as this run's part. The text is
     shuffled once, by doc_id and digest, so that copies of one text, however many, spread; the missing side is hashed in the join, texts are
-    not sorted. Extra columns are left out; repeated rows come out as often as they are there."""
+    not sorted, and a task encodes a content once, however many rows without an id or of one id have it. Appends of other runs that were lost cost
+    another encoding; should this run's own be incomplete, reading the result fails rather than leave a document out. Extra columns are
+    left out; repeated rows come out as often as they are there, null ids too."""
     spark, name = docs.sparkSession, version(ranks_file, pattern, special)
     ship_package(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     digests = cut(rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest"))
-    cached = open_cache(spark, folder).where(F.col("tokenizer") == name)
-    missing = digests.groupBy("digest").agg(F.min("doc_id").alias("_doc")).join(cached.select("digest"), "digest", "left_anti")
+    each = cut(digests.groupBy("digest").agg(F.min("doc_id").alias("_doc")).join(read_cache(spark, folder, name), "digest", "left"))
+    missing = each.where("n_tokens IS NULL").select(F.col("digest").alias("_digest"), "_doc")
 
     def encode(batches):
-        e = encoder(ranks_file, pattern, special)
+        e, seen = encoder(ranks_file, pattern, special), set()
         for b in batches:
+            fresh = []
+            for i, d in enumerate(b.column("digest").to_pylist()):
+                if d not in seen:
+                    seen.add(d)
+                    fresh.append(i)
+            b = b.take(pa.array(fresh, pa.int64()))
             n = [len(e.encode(x, allowed_special="all")) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), b.column("digest"), pa.array(n, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    first = rows.join(missing.withColumnRenamed("digest", "_digest").hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    first.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(folder)
-    counts = open_cache(spark, folder).where(F.col("tokenizer") == name).select("digest", "n_tokens")
-    return digests.join(counts, "digest").select("doc_id", "n_bytes", "digest", "n_tokens")
+    first = rows.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+    mine = f"{folder}/tokenizer={name}/run={uuid.uuid4().hex}"
+    first.select("digest", "text").mapInArrow(encode, "digest string, n_tokens bigint").write.parquet(mine)
+    fresh = spark.read.schema("digest string, n_tokens bigint").parquet(mine).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = each.where("n_tokens IS NOT NULL").select("digest", "n_tokens").unionByName(fresh)
+    whole = F.coalesce("n_tokens", F.raise_error(F.concat(F.lit("no token count for "), "digest")).cast("bigint"))
+    return digests.join(counts, "digest", "left").select("doc_id", "n_bytes", "digest", whole.alias("n_tokens"))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Starts from a new cache, so that each call counts every distinct text of the table."""
+    """Starts from a new cache, so that each call counts every distinct text of the table. Null and empty texts have no tokens."""
     import public_tokenizers
 
-    folder = f"{shared_folder(spark)}/token-counts/{uuid.uuid4().hex}"
-    got = count_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "<|endoftext|>")
+    got = count_tokens(table(spark, sf_dir, "documents"), run_folder(spark, "token-counts"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "<|endoftext|>")
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
