@@ -1,6 +1,7 @@
 import random
 
 import brute
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,6 +40,35 @@ def test_few_words_much_repetition(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(5)
     agree(substring.dedup_substrings(df, 20).collect(), docs)
     agree(substring.dedup_substrings(df, 8).collect(), docs, 8)
+    agree(substring.dedup_substrings(df, 20, "broadcast").collect(), docs)
+
+
+def test_broadcast_shards(spark, odd, monkeypatch):
+    """Many small shards; the same rows by the other way."""
+    real = substring.broadcast_spans
+    monkeypatch.setattr(substring, "broadcast_spans", lambda marked, n: real(marked, n, 300))
+    df = spark.read.parquet(f"{odd[1]}/documents.parquet").where("doc_id <> 5")
+    agree(substring.dedup_substrings(df, 20, "broadcast").collect(), {i: t for i, t, _ in odd[0] if i != 5})
+
+
+@pytest.mark.parametrize("way", ["shards meet", "broadcast"])
+def test_rows_of_one_id_with_different_texts(spark, way):
+    """By row, in the order of ids and of hashes of id and text; a row that only shares an id keeps its words."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(30))
+
+    def text(n):
+        return " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+
+    rows = [(0, f"{text(9)} {passage}"), (1, f"{passage} {text(12)}"), (1, text(40)), (1, f"{text(30)} {passage} {text(5)}"), (1, text(3)), (None, f"{passage} {text(2)}"), (None, text(50)), (2, text(33))]
+    rows += [rows[2], rows[6], (3, rows[2][1]), (3, f"{text(4)} {rows[6][1]}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    hashed = df.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS h", "doc_id IS NULL AS last").distinct().orderBy("last", "doc_id", "h")
+    order = [(r.doc_id, r.text) for r in hashed.collect()]
+    kept = brute.repeats({k: t for k, (_, t) in enumerate(order)})
+    want = sorted((i or -1, kept[order.index((i, t))][0], brute.sha(" ".join(kept[order.index((i, t))][1]))) for i, t in rows)
+    got = sorted((r.doc_id or -1, r.n_words, r.kept_sha256) for r in substring.dedup_substrings(df, 20, way).collect())
+    assert got == want
 
 
 def test_nulls_repeats_and_empty(spark, empty):

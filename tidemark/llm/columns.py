@@ -120,3 +120,15 @@ def parted(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> tuple
     joined = df.join(F.broadcast(bits), F.shiftright(slot(F.col(key)), 6) == F.col("_tm_word"), "left")
     hit = F.coalesce(F.col("_tm_bits").bitwiseAND(mine) != 0, F.lit(False)) & F.col(key).isNotNull()
     return joined.where(hit).select(df.columns), joined.where(~hit).select(df.columns)
+
+
+def numbered(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """rows with a bigint number in the order of doc_id, null ones last, and of key within an id; rows that agree in both share it. key tells rows of one id, or of
+    none, apart. Where ids are neither null nor shared by several keys, they are the numbers; else narrow rows are sorted by range and numbered, and
+    meet their texts again."""
+    names = rows.select(key, "doc_id").distinct()
+    if names.where("doc_id IS NULL").isEmpty() and names.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows.withColumn(number, F.col("doc_id").cast("bigint"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col(key).asc()]
+    numbers = cut(names.repartitionByRange(*order).sortWithinPartitions(*order).select(key, F.monotonically_increasing_id().alias(number)))
+    return cut(rows.join(numbers.hint("shuffle_hash"), key))

@@ -8,6 +8,7 @@ document order, pass through a suffix automaton of the runs before them, whose m
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.shipping import ship_package
-from tidemark.llm.columns import cut, table
+from tidemark.llm.columns import cut, numbered, parted, table
 from tidemark.llm.textscan import PACKED, U, Words, mix, packed, parts_for, scan, unpacked, windows
 
 #: Rows that a task gathers before it looks for repetitions among them and sends the rest on.
 CHUNK = 400_000
-#: Slots of the filter that keeps other documents' texts out of a shuffle; its size is fixed.
-FILTER = 1 << 20
-#: Rows without an id are ordered by hashes from here on.
-LAST = 1 << 62
+#: Slots of the bitmap of crowded minimizers.
+SLOTS = 1 << 20
+#: Words of a reference shard whose automaton is broadcast.
+SHARD_WORDS = 200_000
 #: A minimizer with more different runs than this in one task's chunk is crowded: a common passage whose surroundings differ.
 CROWD = 32
 #: Stands among places for: the row's doc is the slot of a crowded minimizer.
@@ -40,6 +41,7 @@ class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
+        self.twin_of: tuple[int, int] | None = None  # the state that the last step made from another, and that one
 
     def add(self, symbols) -> None:
         last = 0
@@ -53,6 +55,7 @@ class SuffixAutomaton:
         return len(self.next) - 1
 
     def _extend(self, last: int, c) -> int:
+        self.twin_of = None
         to = self.next[last].get(c)
         if to is not None:
             return to if self.length[to] == self.length[last] + 1 else self._split(last, c, to)
@@ -68,11 +71,18 @@ class SuffixAutomaton:
     def _split(self, p: int, c, to: int) -> int:
         twin = self._state(self.length[p] + 1, dict(self.next[to]), self.link[to])
         self.link[to] = twin
+        self.twin_of = twin, to
         while p >= 0 and self.next[p].get(c) == to:
             self.next[p][c] = twin
             p = self.link[p]
         return twin
 
+    def end(self, state: int, n: int) -> int:
+        """The state of the last n symbols of what state was reached by, if n of them matched."""
+        while self.length[self.link[state]] >= n:
+            state = self.link[state]
+        return state
+
     def statistics(self, symbols) -> list[int]:
         """For each place, the length of the longest substring ending there that some added sequence has."""
         state, length, out = 0, 0, []
@@ -113,7 +123,7 @@ def slots_of(keys: np.ndarray) -> np.ndarray:
 
 
 def whole_texts(docs: DataFrame) -> DataFrame:
-    """(doc, named, n_words, whole): the number of words and the digest of the words joined by a space."""
+    """(doc, n_words, whole): the number of words and the digest of the words joined by a space."""
 
     def run(batches):
         for b in batches:
@@ -122,9 +132,9 @@ def whole_texts(docs: DataFrame) -> DataFrame:
                 words = x.encode().split() if x else []
                 size.append(len(words))
                 digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("named"), pa.array(size, pa.int64()), pa.array(digest, pa.string())], names=["doc", "named", "n_words", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(size, pa.int64()), pa.array(digest, pa.string())], names=["doc", "n_words", "whole"])
 
-    return docs.mapInArrow(run, "doc bigint, named boolean, n_words bigint, whole string")
+    return docs.mapInArrow(run, "doc bigint, n_words bigint, whole string")
 
 
 def repeated_minimizers(docs: DataFrame, n: int, parts: int) -> DataFrame:
@@ -303,67 +313,160 @@ def repeated_runs(marked: DataFrame, n: int, parts: int, crowded: bytes) -> Data
     return marked.mapInArrow(show, "part int, runs binary, body binary").groupBy("part").applyInArrow(meet, SPANS)
 
 
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs that can have a partner in wanted: a semi-join on slots of ids, of which there are at most FILTER."""
-    slots = wanted.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER)).alias("_slot")).distinct()
-    return docs.withColumn("_slot", F.pmod(F.xxhash64("doc"), F.lit(FILTER))).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+class Reference:
+    """One shard of the reference: a suffix automaton over the ids of its words, and of every state the place where what leads to it ends first.
+    Passages (doc, start, words) come in the order of their places."""
+
+    def __init__(self, passages):
+        self.ids: dict[bytes, int] = {}
+        self.automaton, self.first = SuffixAutomaton(), [(-1, -1)]
+        for doc, start, words in passages:
+            last = 0
+            for k, w in enumerate(words):
+                before = len(self.automaton.next)
+                last = self.automaton._extend(last, self.ids.setdefault(w, len(self.ids)))
+                for state in range(before, len(self.automaton.next)):  # a new state ends here first, its twin where the state ended that it came from
+                    self.first.append((doc, start + k))
+                if len(self.automaton.next) > before and self.automaton.twin_of is not None:
+                    twin, of = self.automaton.twin_of
+                    self.first[twin] = self.first[of]
+
+    def repeated(self, doc: int, words, n: int) -> list[tuple[int, int]]:
+        """Maximal spans (start, stop) of n words or more that stand here earlier, from the matching statistics of the words."""
+        a, state, length, out = self.automaton, 0, 0, []
+        step, link, size, known = a.next, a.link, a.length, self.ids.get
+        for j, w in enumerate(words):
+            c = known(w, -1)
+            while state and c not in step[state]:
+                state = link[state]
+                length = size[state]
+            to = step[state].get(c)
+            state, length = (to, length + 1) if to is not None else (0, 0)
+            if length >= n and self.first[a.end(state, n)] < (doc, j):
+                if out and out[-1][1] > j - n:
+                    out[-1] = (out[-1][0], j + 1)
+                else:
+                    out.append((j - n + 1, j + 1))
+        return out
+
+
+def broadcast_spans(marked: DataFrame, n: int, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc, start, stop) of words in windows that also start earlier; marked is (doc, text, at) with at the places of repeated minimizers.
 
+    The passages of marked windows, each content once at its earliest place, are the reference. They are dealt into shards of about shard_words words by
+    hash, a bound that is checked; executors build the shards' suffix automata. One after another these are broadcast, and all marked documents
+    are streamed through each for their matching statistics: shards times documents, which grows as the square of a corpus."""
+    spark = marked.sparkSession
+    k, places = minimizer_parts(n)
 
-def dedup_substrings(docs: DataFrame, n: int = 20) -> DataFrame:
+    def passages(batches):
+        for b in batches:
+            out = []
+            for doc, text, at in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "at")), strict=True):
+                words, inside = text.encode().split(), []
+                for p in sorted(set(at)):
+                    lo, hi = max(0, p - places + 1), min(len(words), p + k + places - 1)
+                    if inside and lo <= inside[-1][1] - n:
+                        inside[-1][1] = max(hi, inside[-1][1])
+                    else:
+                        inside.append([lo, hi])
+                out += [(doc, lo, b" ".join(words[lo:hi])) for lo, hi in inside if hi - lo >= n]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["doc", "start", "words"])
+
+    marked = cut(marked)
+    found = marked.mapInArrow(passages, "doc bigint, start int, words binary").groupBy("words").agg(F.min(F.struct("doc", "start")).alias("p"))
+    found = cut(found.select("p.*", "words", F.size(F.split(F.col("words").cast("string"), " ")).cast("bigint").alias("size")))
+    shards = max(1, -(-(found.agg(F.sum("size")).first()[0] or 0) // shard_words))
+    found = found.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    largest = found.groupBy("shard").agg(F.sum("size").alias("m")).agg(F.max("m")).first()[0] or 0
+    if largest > 8 * shard_words:
+        raise ValueError(f"a shard of {largest} words is too large to be broadcast")
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("doc", "start", "words")), strict=True))
+        return pa.table({"shard": group.column("shard")[:1], "automaton": pa.array([pickle.dumps(Reference((d, s, w.split()) for d, s, w in rows))], pa.binary())})
+
+    built = cut(found.groupBy("shard").applyInArrow(build, "shard bigint, automaton binary"))
+    out = None
+    for shard in range(shards):
+        blob = built.where(F.col("shard") == shard).select("automaton").first()
+        if blob is None:
+            continue
+        value = spark.sparkContext.broadcast(bytes(blob[0]))
+
+        def stream(batches, value=value):
+            reference = pickle.loads(value.value)
+            for b in batches:
+                rows = [(doc, *span) for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True) for span in reference.repeated(doc, text.encode().split(), n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2))], names=["doc", "start", "stop"])
+
+        one = cut(marked.select("doc", "text").mapInArrow(stream, SPANS))
+        value.destroy()
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], SPANS) if out is None else out
+
+
+def dedup_substrings(docs: DataFrame, n: int = 20, way: str = "shards meet") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text) of docs (doc_id, text): every word in an n-word window whose words also start earlier (in
     a document of a smaller id, or earlier in the same) is removed, judged on the input; kept words are joined by one space.
     kept_text is null where nothing is removed: the text stays as it is.
 
     Texts with the same words as one of a smaller id lose all words, or none below n; only the first of them goes on. Null
-    texts have no words. Rows with a null id count as documents after those with ids below LAST, in an order of their texts' hashes. Repeated rows of
-    one id aren't earlier than each other; rows of one id with different texts share their spans. Other columns are left out."""
+    texts have no words. Rows without an id are documents after those with one. Rows of one id, or of none, with different texts are different documents, in
+    the order of hashes of id and text; repeated rows aren't earlier than each other. Other columns are left out.
+
+    way: "shards meet" brings the runs of a shard to its automaton by a shuffle; "broadcast" takes the shards to the documents, see
+    broadcast_spans. Both give the same rows."""
     spark = docs.sparkSession
     ship_package(spark)
-    nameless = F.lit(LAST) + F.pmod(F.xxhash64("text"), F.lit(LAST))
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), nameless).alias("doc"), F.col("doc_id").isNotNull().alias("named"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = numbered(docs, "key", "doc")
+    ids, docs = docs.select("doc", "doc_id").distinct(), docs.select("doc", "text")
+    plain_ids = ids.where(~F.col("doc").eqNullSafe(F.col("doc_id"))).isEmpty()
     k, places = minimizer_parts(n)
     whole = cut(whole_texts(docs))
     total = whole.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
     parts = parts_for(total[0] * 2 / (places + 1), 400_000, spark)
     marks = repeated_minimizers(docs.select("doc", "text"), n, parts).distinct().groupBy("doc").agg(F.collect_list("at").alias("at"))
     marks = cut(marks)
-    crowded = np.zeros(FILTER, bool)  # at most FILTER slots come to the driver
+    crowded = np.zeros(SLOTS, bool)  # at most SLOTS slots come to the driver
     crowded[marks.where(F.array_contains("at", F.lit(CROWDED))).select("doc").toArrow().column("doc").to_numpy()] = True
     bitmap = np.packbits(crowded, bitorder="little").tobytes()
     marks = marks.withColumn("at", F.filter("at", lambda x: x != CROWDED)).where(F.size("at") > 0)
-    texts = _only(docs.select("doc", "text"), marks).join(marks.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "text", "at")
-    spans = cut(repeated_runs(texts, n, parts, bitmap).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+    texts = parted(docs, "doc", marks, "doc")[0].join(marks.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc")).select("doc", "text", "at")
+    found = broadcast_spans(texts, n) if way == "broadcast" else repeated_runs(texts, n, parts, bitmap)
+    spans = cut(found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
 
     firsts = cut(whole.groupBy("whole").agg(F.min("doc").alias("first")))  # a join of its own, whose hot texts Spark can split
-    state = whole.join(firsts.withColumnRenamed("whole", "_whole"), F.col("whole") == F.col("_whole")).select("doc", "named", "n_words", "whole", (F.col("first") < F.col("doc")).alias("copy"))
+    state = whole.join(firsts.withColumnRenamed("whole", "_whole"), F.col("whole") == F.col("_whole")).select("doc", "n_words", "whole", (F.col("first") < F.col("doc")).alias("copy"))
     state = cut(state)
 
     def remove(batches):
         for b in batches:
             rows = []
-            for i, (text, whole, spans) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "whole", "spans")), strict=True)):
+            for text, spans in zip(*(b.column(c).to_pylist() for c in ("text", "spans")), strict=True):
                 words = (text or "").encode().split()
-                if hashlib.sha256(b" ".join(words)).hexdigest() != whole:
-                    continue  # another text of the same id
                 keep = np.ones(len(words), bool)
                 for s in spans:
                     keep[s["start"] : s["stop"]] = False
                 kept = b" ".join([words[j] for j in np.flatnonzero(keep)])
-                rows.append((i, len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            at = pa.array([r[0] for r in rows], pa.int64())
+                rows.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("named").take(at), *(pa.array([r[k + 1] for r in rows], x) for k, x in enumerate(kinds))], names=["doc", "named", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array([r[k] for r in rows], x) for k, x in enumerate(kinds))], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     empty = hashlib.sha256(b"").hexdigest()
     gone = F.col("copy") & (F.col("n_words") >= n)
     plain = state.join(spans.select(F.col("doc").alias("_d")), (F.col("doc") == F.col("_d")) & ~F.col("copy"), "left_anti").select(
-        "doc", "named", "n_words", F.when(gone, F.col("n_words")).otherwise(F.lit(0)).cast("bigint").alias("n_removed"), F.when(gone, F.lit(empty)).otherwise(F.col("whole")).alias("kept_sha256"), F.when(gone, F.lit("")).alias("kept_text")
+        "doc", "n_words", F.when(gone, F.col("n_words")).otherwise(F.lit(0)).cast("bigint").alias("n_removed"), F.when(gone, F.lit(empty)).otherwise(F.col("whole")).alias("kept_sha256"), F.when(gone, F.lit("")).alias("kept_text")
     )
-    changes = cut(state.where(~F.col("copy")).select("doc", "whole").distinct().join(spans, "doc"))
-    changed = _only(docs, changes).join(changes.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc"))
-    changed = changed.select("doc", "named", "text", "whole", "spans").mapInArrow(remove, "doc bigint, named boolean, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
-    return plain.unionByName(changed).select(F.when(F.col("named"), F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
+    changes = cut(state.where(~F.col("copy")).select("doc").distinct().join(spans, "doc"))
+    changed = parted(docs, "doc", changes, "doc")[0].join(changes.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), F.col("doc") == F.col("_doc"))
+    changed = changed.select("doc", "text", "spans").mapInArrow(remove, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    out = plain.unionByName(changed)
+    out = out.withColumn("doc_id", F.col("doc")) if plain_ids else out.join(cut(ids), "doc")
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """A row a document, copies included, in the general case of dedup_substrings."""
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
