@@ -5,36 +5,27 @@ the last return the columns of docs."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.columns import cut, shared_folder, table, words
+from tidemark.llm.columns import cut, numbered, parted, run_folder, table, words
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.pieces import encode_documents
 from tidemark.llm.quality import ledger, verdict
 from tidemark.llm.substring import dedup_substrings
 
-#: Slots of the filters that spare unchanged texts a shuffle.
-FILTER = 1 << 20
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _tm_row, what names a row in all stages: a 64-bit hash of its id, which may be null or repeated, and its text."""
+    """docs with _tm_row, what names a row in all stages: a 64-bit hash of its id, which may be null or repeated, and its text. Names that begin with
+    _tm_ are the stages' own: a column of docs with such a name is an error."""
+    if any(c.startswith("_tm_") for c in docs.columns):
+        raise ValueError("column names that begin with _tm_ are taken")
     return docs.withColumn("_tm_row", F.xxhash64("doc_id", "text"))
 
 
-def _slot(row):
-    return F.pmod(F.xxhash64(row), F.lit(FILTER)).alias("_tm_slot")
-
-
-def _parted(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may be among rows, docs that surely aren't): by slots of _tm_row, at most FILTER rows, which are broadcast."""
-    slots = F.broadcast(rows.select(_slot("_tm_row")).distinct())
-    keyed = docs.withColumn("_tm_slot", _slot("_tm_row"))
-    return keyed.join(slots, "_tm_slot", "left_semi").drop("_tm_slot"), keyed.join(slots, "_tm_slot", "left_anti").drop("_tm_slot")
+def _both(sure: DataFrame | None, rest: DataFrame) -> DataFrame:
+    return rest if sure is None else sure.unionByName(rest)
 
 
 def _once(docs: DataFrame, least: int) -> DataFrame:
@@ -44,21 +35,10 @@ def _once(docs: DataFrame, least: int) -> DataFrame:
     again = cut(keyed.groupBy("_tm_row").agg(F.count("*").alias("m")).where("m > 1").select("_tm_row"))
     if again.isEmpty():
         return keyed
-    maybe, sure = _parted(keyed, again)
+    maybe, sure = parted(keyed, "_tm_row", again, "_tm_row")
     long = F.size(words(F.col("text"))) >= least
     one = maybe.where(long).groupBy("_tm_row").agg(F.min(F.struct(*docs.columns)).alias("_tm_first")).select("_tm_first.*", "_tm_row")
-    return cut(sure.unionByName(maybe.where(~long)).unionByName(one))
-
-
-def _numbered(keyed: DataFrame) -> DataFrame:
-    """keyed with _tm_number, in the order of ids, null ones last, and of _tm_row within an id. Where ids are neither null nor repeated,
-    they are the numbers; else narrow rows are sorted by range and numbered, and meet their texts again."""
-    names = keyed.select("_tm_row", "doc_id").distinct()
-    if names.where("doc_id IS NULL").isEmpty() and names.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return keyed.withColumn("_tm_number", F.col("doc_id").cast("bigint"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_tm_row").asc()]
-    numbers = cut(names.repartitionByRange(*order).sortWithinPartitions(*order).select("_tm_row", F.monotonically_increasing_id().alias("_tm_number")))
-    return cut(keyed.join(numbers.hint("shuffle_hash"), "_tm_row"))
+    return cut(_both(sure, maybe.where(~long)).unionByName(one))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,22 +56,22 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = sets.join(keyed.select("_tm_row", F.col("doc_id").alias("_tm_id")), "_tm_row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_tm_id").isNull(), "_tm_id", "_tm_row")).alias("f")).select("f._tm_row")
     gone = cut(sets.join(first, "_tm_row", "left_anti").select("_tm_row"))
-    maybe, sure = _parted(keyed, gone)
-    return sure.unionByName(maybe.join(gone.hint("shuffle_hash"), "_tm_row", "left_anti")).select(docs.columns)
+    maybe, sure = parted(keyed, "_tm_row", gone, "_tm_row")
+    return _both(sure, maybe.join(gone.hint("shuffle_hash"), "_tm_row", "left_anti")).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages of twenty words or more that stand earlier; n_chars follows. A document that loses all words
     goes. Unchanged texts keep their white space. Rows without an id come after those with one, rows of one id in the order of their
     hashes; of repeated rows of twenty words or more one stays."""
-    keyed = _numbered(_once(docs, 20)).drop("_tm_row")
+    keyed = numbered(_once(docs, 20), "_tm_row", "_tm_number").drop("_tm_row")
     out = dedup_substrings(keyed.select(F.col("_tm_number").alias("doc_id"), "text"), n=20).where("n_removed > 0")
     changed = cut(out.select(F.col("doc_id").alias("_tm_row"), F.col("kept_text").alias("_tm_kept")))
-    maybe, sure = _parted(keyed.withColumnRenamed("_tm_number", "_tm_row"), changed)
+    maybe, sure = parted(keyed.withColumnRenamed("_tm_number", "_tm_row"), "_tm_row", changed, "_tm_row")
     new = maybe.join(changed.hint("shuffle_hash"), "_tm_row", "left").where("_tm_kept IS NULL OR _tm_kept <> ''")
     text = F.coalesce("_tm_kept", "text")
     new = new.withColumn("n_chars", F.when(F.col("_tm_kept").isNull(), F.col("n_chars")).otherwise(F.length("_tm_kept").cast("bigint"))).withColumn("text", text)
-    return sure.select(docs.columns).unionByName(new.select(docs.columns))
+    return _both(None if sure is None else sure.select(docs.columns), new.select(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -118,7 +98,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/corpus-pipeline/{uuid.uuid4().hex}"
+    folder = run_folder(spark, "corpus-pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
