@@ -353,7 +353,7 @@ def scene_pixels(spark):
 
 
 def test_whole_site(spark):
-    s = site.Settings(georef=(0.0, 3.0, 0.0, 120.0, 0.0, -3.0), least_land=10, least_water=10, buffer_radius=10, reference=[(90.0, 117.0), (90.0, 3.0)])
+    s = site.Settings(georef=(0.0, 3.0, 0.0, 120.0, 0.0, -3.0), least_land=10, least_water=10, erosion=False, dilation=False, max_dist_from_ref=30.0, reference=[(90.0, 117.0), (90.0, 3.0)])
     t = spark.createDataFrame([("t0", 0.0, 60.0, 170.0, 60.0)], "name string, x0 double, y0 double, x1 double, y1 double")
     g = spark.createDataFrame([("gauge", dt.datetime(2024, 1, 1), 0.12), ("gauge", dt.datetime(2024, 1, 4), 0.12)], "series string, ts timestamp_ntz, sl double")
     out = site.site(scene_pixels(spark), lambda v: F.when(F.element_at(v, 4) < 1000, 1).otherwise(0), t, s, g)
@@ -381,3 +381,99 @@ def test_pad_never_crops(spark):
     cells = {(x.image_id, x.r, x.c): x.b for x in got}
     assert len(got) == len(cells) == 12 * 8 + 6 * 8
     assert {k for k, v in cells.items() if v} == {("a", r + 3, c + 2) for r in range(9) for c in (0, 4)} | {("b", 3, 2)}
+
+
+def test_crossing_against_plain_search(spark):
+    """Long segments, vertices far along the line but near the crossing, transects that only meet behind their origins, crossing ones."""
+    import math
+    import random
+
+    from tidemark.operators import vector
+
+    rng = random.Random(6)
+    transects = [(f"t{i}", *[rng.uniform(0, 2500) for _ in range(4)]) for i in range(12)]
+    transects += [("v1", 3000.0, 0.0, 3000.0, 500.0), ("v2", 3010.0, -5.0, 2990.0, -15.0), ("p", 0.0, 9000.0, 900.0, 9000.0)]  # v2 runs behind v1's origin
+    rows = []
+    for image in ("a", "b"):
+        line = [(rng.uniform(0, 3000), rng.uniform(0, 2500)) for _ in range(25)]
+        rows += [(image, k, x, y) for k, (x, y) in enumerate(line)]
+    rows += [("b", 25, 450.0, 8000.0), ("b", 26, 450.0, 9900.0), ("b", 27, 470.0, 9010.0)]  # crosses p far from both ends, near a later vertex
+    vertices = spark.createDataFrame(rows, "image_id string, seq int, x double, y double")
+
+    def cross(ax, ay, bx, by, cx, cy, dx, dy):
+        den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+        if den == 0:
+            return None
+        t, s = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+        return t if 0 <= t <= 1 and 0 <= s <= 1 else None
+
+    want = {}
+    for name, x0, y0, x1, y1 in transects:
+        bad = any(o[0] != name and cross(x0, y0, x1, y1, *o[1:]) is not None for o in transects)
+        n = math.hypot(x1 - x0, y1 - y0)
+        ex, ey = x0 - 20 * (x1 - x0) / n, y0 - 20 * (y1 - y0) / n
+        for image in ("a", "b"):
+            line = [(x, y) for i, _, x, y in rows if i == image]
+            at = [t for p, q in zip(line, line[1:]) if (t := cross(ex, ey, x1, y1, *p, *q)) is not None]
+            spots = [(ex + t * (x1 - ex), ey + t * (y1 - ey)) for t in at]
+            near = min((math.hypot(px - x, py - y) for px, py in spots for x, y in line), default=math.inf)
+            want[image, name] = None if bad or near > 35 else min(at) * (n + 20) - 20
+    got = {(r.image_id, r.name): r.dist for r in vector.transect_crossing(vertices, spark.createDataFrame(transects, "name string, x0 double, y0 double, x1 double, y1 double")).collect()}
+    assert got.keys() == want.keys() and want["b", "p"] is not None and any(v is not None for k, v in want.items() if k[1] != "p")
+    for k, v in want.items():
+        assert (got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-6), k
+
+
+def test_a_day_of_seconds_is_interpolated_quickly(spark):
+    import time
+
+    from tidemark.operators import series
+
+    gauge = spark.range(86_400).selectExpr("'h' AS series", "CAST(timestamp_seconds(1704067200 + id) AS TIMESTAMP_NTZ) AS ts", "CAST(id AS DOUBLE) AS sl")
+    obs = spark.range(500).selectExpr("'h' AS series", "CAST(timestamp_millis(1704067200000 + id * 150000 + 500) AS TIMESTAMP_NTZ) AS ts", "id")
+    began = time.perf_counter()
+    got = {r.id: r.sl for r in series.interpolate(obs, gauge).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(abs(got[i] - (i * 150 + 0.5)) < 1e-6 for i in range(500))
+
+
+def test_small_regions_against_the_array_version(spark):
+    from tidemark.operators import kernels, raster
+
+    rng = np.random.default_rng(4)
+    images = {name: rng.random((30, 40)) < share for name, share in (("a", 0.55), ("b", 0.2), ("c", 1.0))}
+    rows = [(n, r, c, int(m[r, c])) for n, m in images.items() for r in range(30) for c in range(40)]
+    df = spark.createDataFrame(rows, "image_id string, r int, c int, cls int")
+    for erosion in (False, True):
+        got = {n: np.zeros((30, 40), bool) for n in images}
+        for x in raster.clean(df, 9, 12, erosion, erosion).collect():
+            got[x.image_id][x.r, x.c] = x.cls == 1
+        for n, m in images.items():
+            assert (got[n] == kernels.clean_classes(m, 9, 12, erosion, erosion)).all()
+    assert raster.clean(df.limit(0)).count() == 0
+
+
+def test_images_masks_shifts_and_status(spark, tmp_path):
+    from tidemark.operators import raster
+    from tidemark.plans import site
+
+    pixels = spark.createDataFrame([(i, r, c, r * 3 + c) for i in ("x", "y") for r in range(2) for c in range(3)], "image_id string, r int, c int, b int")
+    masks = spark.createDataFrame([("x", 0, 1, True), ("x", 1, 1, False)], "image_id string, r int, c int, masked boolean")
+    both = raster.with_masks(pixels, masks, ["b"])
+    assert {(p.image_id, p.r, p.c) for p in both.where("masked").collect()} == {("x", 0, 1), ("y", 0, 0)}  # y has no mask: its zero pixel
+    assert raster.with_masks(pixels, masks).where("masked").count() == 1
+    moved = raster.apply_shift(both, spark.createDataFrame([("x", 1, -1)], "image_id string, dr int, dc int"), ["b"])
+    got = {(p.r, p.c): (p.b, p.masked) for p in moved.where("image_id = 'x'").collect()}
+    assert got == {(0, 0): (0, True), (0, 1): (0, True), (0, 2): (0, True), (1, 0): (1, True), (1, 1): (2, False), (1, 2): (0, True)}
+    assert moved.where("image_id = 'y'").count() == 6
+    done = spark.createDataFrame([("x", 1), ("y", 2)], "image_id string, level int")
+    site.write_status(done, f"{tmp_path}/status")
+    site.write_status(done.where("image_id = 'y'"), f"{tmp_path}/status")
+    status = spark.read.parquet(f"{tmp_path}/status")
+    assert [r.image_id for r in site.failed_images(status).collect()] == ["x"]
+    assert site.still_to_do(pixels.select("image_id").distinct(), status).count() == 0
+    site.write_wide(spark.createDataFrame([("2024-01-01", 1.5, None)], "ts string, t0 double, t1 double"), f"{tmp_path}/wide")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/wide").first().asDict() == {"ts": "2024-01-01", "t0": "1.5", "t1": None}
+    s = site.Settings((0.0, 3.0, 0.0, 0.0, 0.0, -3.0))
+    assert (s.erosion, s.dilation, s.buffer_radius) == (True, True, 34)
+    assert s.overridden({"max_dist_from_sl_ref": 50, "pixel_size": 4.0, "minBeachArea": 7, "beach_type": "x"}).buffer_radius == 13

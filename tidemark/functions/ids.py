@@ -59,3 +59,13 @@ def contains_any(name: Column, parts: list[str]) -> Column:
 def epsg_of(crs: Column) -> Column:
     """The number of urn:ogc:def:crs:EPSG::N or EPSG:N."""
     return F.regexp_extract(crs, r"(\d+)\D*$", 1).try_cast("int")
+
+
+def array_text(values: Column) -> Column:
+    """An array's elements as one string, parted by a space and a comma."""
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), " ,")
+
+
+def keep_keys(entries: Column, keys: list[str]) -> Column:
+    """A map without the entries whose keys aren't among keys."""
+    return F.map_filter(entries, lambda k, _: k.isin(keys))

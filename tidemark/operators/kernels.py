@@ -50,7 +50,7 @@ def dilate_square(mask: np.ndarray, radius: int = 2) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(p, (k, k)).any((2, 3))
 
 
-def clean_classes(water: np.ndarray, least_land: int = 1000, least_water: int = 1000, erosion: bool = False, dilation: bool = False) -> np.ndarray:
+def clean_classes(water: np.ndarray, least_land: int = 1000, least_water: int = 1000, erosion: bool = True, dilation: bool = True) -> np.ndarray:
     """Water mask after erosion and dilation, then without small land and then without small water regions."""
     if erosion:
         water = erode_cross(water)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.operators.regions import drop_small
+
 
 def wrap16(x: Column) -> Column:
     return F.pmod(x, F.lit(65536))
@@ -161,3 +163,33 @@ def pad(pixels: DataFrame, columns: list[str], top: int, left: int, h: int, w: i
     grid = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("_h") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("_w") - 1))).drop("_h", "_w")
     moved = pixels.select("image_id", (F.col("r") + top).alias("r"), (F.col("c") + left).alias("c"), *columns)
     return grid.join(moved, ["image_id", "r", "c"], "left").fillna(0, columns)
+
+
+def clean(classes: DataFrame, least_land: int = 1000, least_water: int = 1000, erosion: bool = True, dilation: bool = True) -> DataFrame:
+    """Water (cls 1) eroded and dilated, then without land regions of fewer than least_land pixels, then without small water regions."""
+    if erosion:
+        classes = erode_cross(classes)
+    if dilation:
+        classes = dilate_square(classes)
+    return drop_small(drop_small(classes, 0, least_land), 1, least_water)
+
+
+def with_masks(pixels: DataFrame, masks: DataFrame, zero_bands: list[str] | None = None) -> DataFrame:
+    """pixels (image_id, r, c, ...) with masked from masks (image_id, r, c, masked). An image without a mask has no masked pixel, or, with zero_bands, those
+    where one of these bands is 0. image_id is the stem that image and mask files share."""
+    known = masks.select("image_id").distinct().withColumn("_has", F.lit(True))
+    joined = pixels.drop("masked").join(masks.select("image_id", "r", "c", "masked"), ["image_id", "r", "c"], "left").join(F.broadcast(known), "image_id", "left")
+    zero = F.lit(False)
+    for b in zero_bands or ():
+        zero = zero | (F.col(b) == 0)
+    return joined.withColumn("masked", F.when(F.col("_has"), F.coalesce("masked", F.lit(False))).otherwise(zero)).drop("_has")
+
+
+def apply_shift(pixels: DataFrame, shifts: DataFrame, columns: list[str]) -> DataFrame:
+    """pixels moved by their image's (dr, dc) of shifts (image_id, dr, dc) on their own grid: what leaves it is gone, cells that nothing moves to are 0 and
+    masked. Images without a shift stay."""
+    dr, dc = F.coalesce("dr", F.lit(0)), F.coalesce("dc", F.lit(0))
+    moved = pixels.join(shifts.select("image_id", "dr", "dc"), "image_id", "left").select("image_id", (F.col("r") + dr).cast("int").alias("r"), (F.col("c") + dc).cast("int").alias("c"), *columns, "masked")
+    grid = pixels.select("image_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    joined = grid.join(moved, ["image_id", "r", "c"], "left")
+    return joined.select("image_id", "r", "c", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns], F.coalesce("masked", F.lit(True)).alias("masked"))

@@ -21,19 +21,21 @@ def interpolate(obs: DataFrame, gauge: DataFrame, key: str = "series", bucket: s
     """obs (key, ts, ...) with sl: the gauge's value at ts, on the line between the readings before and after; null outside its range.
 
     Readings and observations are put in order within a bucket of time, so no task holds a whole series; the last reading before a bucket
-    and the first after it come from a table with one row a bucket."""
+    and the first after it come from a table with one row a bucket. All windows grow from their first row, so a bucket costs what its rows cost, not
+    their square."""
     cols = [c for c in obs.columns if c not in (key, "ts")]
     g = gauge.select(key, "ts", F.lit(True).alias("_g"), "sl", *[F.lit(None).cast(obs.schema[c].dataType).alias(c) for c in cols])
     rows = obs.select(key, "ts", F.lit(False).alias("_g"), F.lit(None).cast("double").alias("sl"), *cols).unionByName(g).withColumn("_b", F.date_trunc(bucket, "ts"))
     point = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "sl")
     reading = F.when(F.col("_g") & F.col("sl").isNotNull(), point)
     edges = rows.groupBy(key, "_b").agg(F.min(reading).alias("_lo"), F.max(reading).alias("_hi"))
-    by = W.partitionBy(key).orderBy("_b")
-    edges = edges.select(key, "_b", F.last("_hi", True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_lo", True).over(by.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    inside = W.partitionBy(key, "_b").orderBy("ts")
+    by, back = W.partitionBy(key).orderBy("_b"), W.partitionBy(key).orderBy(F.col("_b").desc())
+    earlier = W.unboundedPreceding
+    edges = edges.select(key, "_b", F.last("_hi", True).over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.last("_lo", True).over(back.rowsBetween(earlier, -1)).alias("_after"))
+    inside, downward = W.partitionBy(key, "_b").orderBy("ts"), W.partitionBy(key, "_b").orderBy(F.col("ts").desc())
     found = rows.withColumns({
-        "_p": F.last(reading, True).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "_n": F.first(reading, True).over(inside.rangeBetween(W.currentRow, W.unboundedFollowing)),
+        "_p": F.last(reading, True).over(inside.rangeBetween(earlier, W.currentRow)),
+        "_n": F.last(reading, True).over(downward.rangeBetween(earlier, W.currentRow)),
     }).where(~F.col("_g")).join(edges, [key, "_b"])
     p, n = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
     t = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.geometry import distance, extend_start
 
 #: Up to so many transects are broadcast to the vertices; more meet them on a grid.
-BROADCAST_TRANSECTS = 5000
+BROADCAST_TRANSECTS = 200
 #: No vertex farther than this from a transect's origin counts, and the side of a grid cell.
 REACH = 1000.0
 
@@ -56,23 +56,44 @@ def crossing(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     return F.when(t.between(0, 1) & s.between(0, 1), t)
 
 
+def _cells(side: float, xa: Column, ya: Column, xb: Column, yb: Column) -> Column:
+    """The grid cells (gx, gy) of the box around a segment, as an array: few, unless the segment is many sides long."""
+    def span(a: Column, b: Column) -> Column:
+        return F.sequence(F.floor(F.least(a, b) / side), F.floor(F.greatest(a, b) / side))
+
+    return F.flatten(F.transform(span(xa, xb), lambda gx: F.transform(span(ya, yb), lambda gy: F.struct(gx.alias("gx"), gy.alias("gy")))))
+
+
 def transect_crossing(vertices: DataFrame, transects: DataFrame, landward: float = 20.0, along_dist: float = 35.0) -> DataFrame:
-    """(image_id, name, dist): distance along each transect, extended landward, to the first segment between consecutive vertices that it
-    crosses; null where there is none, the nearest vertex is over along_dist away from the crossing point, or the transect crosses another one."""
-    start = extend_start(landward, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    t = transects.select("name", start.x.alias("ex"), start.y.alias("ey"), "x1", "y1", distance(start.x, start.y, F.col("x1"), F.col("y1")).alias("n"))
-    a, b = t.alias("a"), t.alias("b")
-    over = crossing(*(F.col(f"a.{k}") for k in ("ex", "ey", "x1", "y1")), *(F.col(f"b.{k}") for k in ("ex", "ey", "x1", "y1")))
-    tangled = a.join(b, (F.col("a.name") != F.col("b.name")) & over.isNotNull(), "left_semi").select("name")
-    clear = t.join(tangled, "name", "left_anti")
+    """(image_id, name, dist): distance along each transect, extended landward, to the first crossing with the line through an image's vertices in
+    order; null where there is none, where no vertex of the image is within along_dist of any of the crossings, or where the transect, as it
+    is given, crosses or touches another one.
+
+    Transects meet each other and the segments on grid cells of REACH, crossings the vertices on cells of along_dist: equi-joins throughout. A crossing
+    whose own segment's ends are near needs no search."""
     w = W.partitionBy("image_id").orderBy("seq")
-    segments = vertices.withColumns({"xn": F.lead("x").over(w), "yn": F.lead("y").over(w)}).where("xn IS NOT NULL")
-    boxes = (F.least("x", "xn") <= F.greatest("ex", "x1")) & (F.greatest("x", "xn") >= F.least("ex", "x1")) & (F.least("y", "yn") <= F.greatest("ey", "y1")) & (F.greatest("y", "yn") >= F.least("ey", "y1"))
+    given = transects.select("name", "x0", "y0", "x1", "y1")
+    celled = given.withColumn("g", F.explode(_cells(REACH, *(F.col(k) for k in ("x0", "y0", "x1", "y1")))))
+    a, b = celled.alias("a"), celled.alias("b")
+    over = crossing(*(F.col(f"a.{k}") for k in ("x0", "y0", "x1", "y1")), *(F.col(f"b.{k}") for k in ("x0", "y0", "x1", "y1")))
+    tangled = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.name") != F.col("b.name")) & over.isNotNull(), "left_semi").select("name").distinct()
+    start = extend_start(landward, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    t = given.join(tangled, "name", "left_anti").select("name", start.x.alias("ex"), start.y.alias("ey"), "x1", "y1", distance(start.x, start.y, F.col("x1"), F.col("y1")).alias("n"))
+    t = t.withColumn("g", F.explode(_cells(REACH, *(F.col(k) for k in ("ex", "ey", "x1", "y1")))))
+    segments = vertices.withColumns({"xn": F.lead("x").over(w), "yn": F.lead("y").over(w)}).where("xn IS NOT NULL").select("image_id", "x", "y", "xn", "yn")
+    segments = segments.withColumn("g", F.explode(_cells(REACH, *(F.col(k) for k in ("x", "y", "xn", "yn")))))
     at = crossing(*(F.col(k) for k in ("ex", "ey", "x1", "y1", "x", "y", "xn", "yn")))
-    met = segments.join(clear, boxes).withColumn("at", at).where("at IS NOT NULL")
-    px, py = F.col("ex") + F.col("at") * (F.col("x1") - F.col("ex")), F.col("ey") + F.col("at") * (F.col("y1") - F.col("ey"))
-    near = F.least(distance(px, py, F.col("x"), F.col("y")), distance(px, py, F.col("xn"), F.col("yn")))
-    dists = met.where(near <= along_dist).groupBy("image_id", "name").agg((F.min(F.col("at") * F.col("n")) - landward).alias("dist"))
+    met = segments.join(t, "g").withColumn("at", at).where("at IS NOT NULL")
+    met = met.withColumns({"px": F.col("ex") + F.col("at") * (F.col("x1") - F.col("ex")), "py": F.col("ey") + F.col("at") * (F.col("y1") - F.col("ey"))})
+    ends = F.least(distance(F.col("px"), F.col("py"), F.col("x"), F.col("y")), distance(F.col("px"), F.col("py"), F.col("xn"), F.col("yn")))
+    points = met.select("image_id", "name", (F.col("at") * F.col("n") - landward).alias("dist"), "px", "py", (ends <= along_dist).alias("near"))
+    hits = points.groupBy("image_id", "name").agg(F.min("dist").alias("dist"), F.bool_or("near").alias("near"))
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    far = points.join(hits.where(~F.col("near")).select("image_id", "name"), ["image_id", "name"], "left_semi")
+    far = far.withColumn("gx", F.explode(F.transform(steps, lambda i: F.floor(F.col("px") / along_dist) + i))).withColumn("gy", F.explode(F.transform(steps, lambda i: F.floor(F.col("py") / along_dist) + i)))
+    spots = vertices.select("image_id", "x", "y", F.floor(F.col("x") / along_dist).alias("gx"), F.floor(F.col("y") / along_dist).alias("gy"))
+    found = far.join(spots, ["image_id", "gx", "gy"]).where(distance(F.col("px"), F.col("py"), F.col("x"), F.col("y")) <= along_dist).select("image_id", "name").distinct().withColumn("seen", F.lit(True))
+    dists = hits.join(found, ["image_id", "name"], "left").where(F.col("near") | F.col("seen")).select("image_id", "name", "dist")
     return vertices.select("image_id").distinct().crossJoin(transects.select("name")).join(dists, ["image_id", "name"], "left")
 
 

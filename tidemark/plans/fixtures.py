@@ -11,7 +11,7 @@ SQL = {
     "G": """SELECT 'G' AS image_id, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c, CAST(p_size * 20 AS INT) AS b, CAST(floor(p_retailprice) AS INT) AS g, CAST(p_size * 10 + 100 AS INT) AS red, CAST(floor((p_retailprice - 900) * 10 + CAST(0.5 AS DOUBLE)) AS INT) AS nir, (CASE WHEN (p_partkey * 7) % 23 = 0 THEN 2 WHEN p_partkey < 50 THEN 1 ELSE 0 END) <> 0 AS masked FROM {part}""",
     "L": """SELECT 'L' AS image_id, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c, CASE WHEN p_partkey % 50 >= 25 + (p_size - 25) / CAST(5 AS DOUBLE) THEN 1 ELSE 0 END AS cls FROM {part}""",
     "V": """SELECT c_nationkey AS image_id, c_custkey AS seq, CAST(621400 + c_custkey % 500 AS DOUBLE) AS x, 2352900 + c_acctbal / 20 AS y FROM {customer}""",
-    "T": """SELECT CAST(s_suppkey AS STRING) AS name, s_suppkey AS ord, CAST(621400 + 25 * s_suppkey AS DOUBLE) AS x0, CAST(2353300 AS DOUBLE) AS y0, CAST(621380 + 25 * s_suppkey AS DOUBLE) AS x1, CAST(2352950 AS DOUBLE) AS y1 FROM {supplier} WHERE s_suppkey < 20""",
+    "T": """SELECT CAST(s_suppkey AS STRING) AS name, s_suppkey AS ord, CAST(621400 + 25 * s_suppkey AS DOUBLE) AS x0, CAST(2353300 AS DOUBLE) AS y0, CAST(621380 + 25 * s_suppkey + CASE WHEN s_suppkey % 10 = 3 THEN 30 ELSE 0 END AS DOUBLE) AS x1, CAST(2352950 AS DOUBLE) AS y1 FROM {supplier}""",
     "O": """SELECT ts, event_id AS image_id, event_type AS transect, value AS dist FROM {events}""",
     "H": """SELECT 'h' AS series, ts, value / 100 AS sl FROM {events} WHERE event_type = 'view'""",
     "P": """SELECT 'h' AS series, ts, event_id, value AS dist FROM {events} WHERE event_type = 'purchase'""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
 from tidemark.functions import ids
-from tidemark.operators import catalog, ml, raster, series, vector
+from tidemark.operators import catalog, ml, raster, regions, series, vector
 from tidemark.plans.fixtures import CONSTITUENTS, REFERENCES, RING, duckdb, frame
 
 QUERIES: dict = {}
@@ -24,7 +24,7 @@ def query(name: str, sql: str, *fixtures: str):
         run.__name__ = name
         QUERIES[name] = run
         if sql:
-            ORACLE_SQL[name] = (duckdb(*fixtures) + " " + sql) if fixtures else sql
+            ORACLE_SQL[name] = (duckdb(*fixtures).replace("WITH ", "WITH RECURSIVE ", 1) + " " + sql) if fixtures else sql
         return f
 
     return put
@@ -55,11 +55,13 @@ def _(spark, v, t):
 @query(
     "transect_crossing",
     """, E AS (SELECT name, x0-20*(x1-x0)/sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS ex, y0-20*(y1-y0)/sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS ey, x1, y1 FROM T),
+    X AS (SELECT DISTINCT a.name FROM (SELECT a.name, b.name AS other, (a.x1-a.x0)*(b.y1-b.y0)-(a.y1-a.y0)*(b.x1-b.x0) AS den, (b.x0-a.x0)*(b.y1-b.y0)-(b.y0-a.y0)*(b.x1-b.x0) AS p, (b.x0-a.x0)*(a.y1-a.y0)-(b.y0-a.y0)*(a.x1-a.x0) AS q FROM T a JOIN T b ON a.name <> b.name) a WHERE den <> 0 AND p/den BETWEEN 0 AND 1 AND q/den BETWEEN 0 AND 1),
     S AS (SELECT * FROM (SELECT image_id, x, y, lead(x) OVER w AS xn, lead(y) OVER w AS yn FROM V WINDOW w AS (PARTITION BY image_id ORDER BY seq)) q WHERE xn IS NOT NULL),
-    D AS (SELECT image_id, name, ex, ey, x1, y1, x, y, xn, yn, (x1-ex)*(yn-y)-(y1-ey)*(xn-x) AS den, (x-ex)*(yn-y)-(y-ey)*(xn-x) AS a, (x-ex)*(y1-ey)-(y-ey)*(x1-ex) AS b FROM S, E),
+    D AS (SELECT image_id, name, ex, ey, x1, y1, (x1-ex)*(yn-y)-(y1-ey)*(xn-x) AS den, (x-ex)*(yn-y)-(y-ey)*(xn-x) AS a, (x-ex)*(y1-ey)-(y-ey)*(x1-ex) AS b FROM S, E WHERE name NOT IN (SELECT name FROM X)),
     K AS (SELECT *, a/den AS t FROM D WHERE den <> 0 AND a/den BETWEEN 0 AND 1 AND b/den BETWEEN 0 AND 1),
-    N AS (SELECT *, ex+t*(x1-ex) AS px, ey+t*(y1-ey) AS py FROM K),
-    M AS (SELECT image_id, name, min(t*sqrt((x1-ex)*(x1-ex)+(y1-ey)*(y1-ey)))-20 AS dist FROM N WHERE least(sqrt((px-x)*(px-x)+(py-y)*(py-y)), sqrt((px-xn)*(px-xn)+(py-yn)*(py-yn))) <= 35 GROUP BY 1, 2)
+    N AS (SELECT image_id, name, t*sqrt((x1-ex)*(x1-ex)+(y1-ey)*(y1-ey))-20 AS dist, ex+t*(x1-ex) AS px, ey+t*(y1-ey) AS py FROM K),
+    O AS (SELECT N.image_id, N.name, min(sqrt((px-x)*(px-x)+(py-y)*(py-y))) AS near FROM N JOIN V ON V.image_id = N.image_id GROUP BY 1, 2),
+    M AS (SELECT N.image_id, N.name, min(dist) AS dist FROM N JOIN O ON O.image_id = N.image_id AND O.name = N.name WHERE near <= 35 GROUP BY 1, 2)
     SELECT I.image_id, T.name, round(M.dist, 6) AS dist FROM (SELECT DISTINCT image_id FROM V) I CROSS JOIN T LEFT JOIN M ON M.image_id = I.image_id AND M.name = T.name""",
     "V", "T",
 )
@@ -601,3 +603,59 @@ def _(spark, x, g):
     pixels = g.drop("nir", "masked").join(x.select("r", "c", "cls"), ["r", "c"]).select(F.lit("20240101_101500_10_g").alias("image_id"), "r", "c", "b", "g", "red", F.when(F.col("cls") == 1, 100).otherwise(2000).alias("nir"), (F.col("r") < 2).alias("masked"))
     products = site(pixels, lambda v: F.when(F.element_at(v, 4) < 1000, 1).otherwise(0), _coast(spark), _settings())
     return products["filtered"].select("ts", "transect", "dist")
+
+
+@query(
+    "small_components",
+    """, R AS (SELECT r, cls, min(c) AS c0, max(c) AS c1, CAST(r * 1000 + min(c) AS BIGINT) AS node FROM (SELECT r, c, cls, sum(f) OVER (PARTITION BY r ORDER BY c) AS k FROM (SELECT r, c, cls, CASE WHEN lag(cls) OVER w = cls AND lag(c) OVER w = c - 1 THEN 0 ELSE 1 END AS f FROM L WINDOW w AS (PARTITION BY r ORDER BY c)) q) p GROUP BY r, k, cls),
+    E AS (SELECT a.node AS a, b.node AS b FROM R a JOIN R b ON abs(a.r - b.r) = 1 AND a.cls = b.cls AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+    W(node, root) AS (SELECT node, node FROM R UNION SELECT W.node, E.b FROM W JOIN E ON E.a = W.root),
+    Z AS (SELECT node, min(root) AS root FROM W GROUP BY 1),
+    Y AS (SELECT root, sum(c1 - c0 + 1) AS size FROM R JOIN Z ON Z.node = R.node GROUP BY 1)
+    SELECT L.r, L.c, CASE WHEN L.cls = 0 AND size < 20 THEN 1 ELSE L.cls END AS cls FROM L JOIN R ON R.r = L.r AND L.c BETWEEN R.c0 AND R.c1 JOIN Z ON Z.node = R.node JOIN Y ON Y.root = Z.root""",
+    "L",
+)
+def _(spark, x):
+    return regions.drop_small(x, 0, 20).select("r", "c", "cls")
+
+
+@query("image_masks", ", M AS (SELECT r, c, masked FROM G WHERE r >= 3) SELECT G.r, G.c, G.b, coalesce(M.masked, false) AS masked FROM G LEFT JOIN M ON M.r = G.r AND M.c = G.c", "G")
+def _(spark, g):
+    return raster.with_masks(g, g.where("r >= 3").select("image_id", "r", "c", "masked")).select("r", "c", "b", "masked")
+
+
+@query("zero_masks", "SELECT r, c, b % 40 = 0 AS masked FROM G", "G")
+def _(spark, g):
+    pixels = g.withColumn("b", F.col("b") % 40)
+    return raster.with_masks(pixels, g.limit(0).select("image_id", "r", "c", "masked"), ["b"]).select("r", "c", "masked")
+
+
+@query("apply_shift", "SELECT a.r, a.c, coalesce(b.b, 0) AS b, coalesce(b.masked, true) AS masked FROM G a LEFT JOIN G b ON b.r = a.r - 1 AND b.c = a.c + 2", "G")
+def _(spark, g):
+    shift = g.select("image_id").distinct().select("image_id", F.lit(1).alias("dr"), F.lit(-2).alias("dc"))
+    return raster.apply_shift(g, shift, ["b"]).select("r", "c", "b", "masked")
+
+
+@query("reference_image", "SELECT site, CASE WHEN site = '3' THEN 'stated' ELSE min(id) END AS reference FROM Q GROUP BY site", "Q")
+def _(spark, q):
+    from tidemark.plans.site import reference_image
+
+    return reference_image(q.withColumnRenamed("id", "image_id"), spark.createDataFrame([("3", "stated")], "site string, image_id string"))
+
+
+@query("resume_offset", "SELECT id FROM (SELECT id FROM Q ORDER BY id OFFSET 25) q", "Q")
+def _(spark, q):
+    from tidemark.plans.site import resume_from
+
+    return resume_from(q.select(F.col("id").alias("image_id")), 25).select(F.col("image_id").alias("id"))
+
+
+@query("array_text", "SELECT name, CAST(ord AS VARCHAR) || ' ,' || CAST(ord * 2 AS VARCHAR) AS t FROM T", "T")
+def _(spark, t):
+    return t.select("name", ids.array_text(F.array("ord", F.col("ord") * 2)).alias("t"))
+
+
+@query("keep_keys", "SELECT name, ord AS b FROM T", "T")
+def _(spark, t):
+    kept = ids.keep_keys(F.create_map(F.lit("a"), F.lit(1).cast("bigint"), F.lit("b"), F.col("ord")), ["b", "z"])
+    return t.select("name", F.explode(kept).alias("k", "b")).select("name", "b")

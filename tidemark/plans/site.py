@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ class Settings:
     georef: tuple
     least_land: int = 1000
     least_water: int = 1000
-    erosion: bool = False
-    dilation: bool = False
-    buffer_radius: int = 34
+    erosion: bool = True
+    dilation: bool = True
+    max_dist_from_ref: float = 100.0
+    pixel_size: float = 3.0
     min_length: float = 30.0
     max_gap: float = 10.0
     sigma: float | None = 0.1
@@ -31,6 +33,16 @@ class Settings:
     compat: bool = True
     reference: list[tuple[float, float]] = field(default_factory=list)
 
+    @property
+    def buffer_radius(self) -> int:
+        """Pixels of the buffer around the reference line."""
+        return math.ceil(self.max_dist_from_ref / self.pixel_size)
+
+    def overridden(self, info: dict) -> Settings:
+        """These settings with what a site's own information states: max_dist_from_sl_ref, minBeachArea, minWaterSize, pixel_size."""
+        names = {"max_dist_from_sl_ref": "max_dist_from_ref", "minBeachArea": "least_land", "minWaterSize": "least_water", "pixel_size": "pixel_size"}
+        return replace(self, **{names[k]: v for k, v in info.items() if k in names and v is not None})
+
 
 def inside_buffer(shape: tuple[int, int], s: Settings) -> np.ndarray | None:
     """The buffer of the reference line on the image's grid; None without a reference point in bounds."""
@@ -59,9 +71,8 @@ def inside_buffer(shape: tuple[int, int], s: Settings) -> np.ndarray | None:
 
 
 def shoreline(water: np.ndarray, masked: np.ndarray, s: Settings) -> np.ndarray | None:
-    """(n, 2) world vertices in order, or None: clean classes, contours of land, mask crop, georeference, buffer, sections."""
-    land = ~kernels.clean_classes(water, s.least_land, s.least_water, s.erosion, s.dilation)
-    lines = kernels.contour_lines(land)
+    """(n, 2) world vertices in order, or None, of clean classes: contours of land, mask crop, georeference, buffer, sections."""
+    lines = kernels.contour_lines(~water)
     if not lines:
         return None
     p = np.concatenate(lines)
@@ -85,8 +96,8 @@ def shoreline(water: np.ndarray, masked: np.ndarray, s: Settings) -> np.ndarray
 
 
 def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
-    """(image_id, seq, x, y) of class rasters (image_id, r, c, cls, masked). Regions and vertex order are an image's own, so an image is one
-    group; images spread over the cluster."""
+    """(image_id, seq, x, y) of class rasters (image_id, r, c, cls, masked). Morphology and regions are windows and joins over all images; what is left for
+    a group, one an image, is to bring its contour's vertices in order."""
 
     def run(group: pa.Table) -> pa.Table:
         r, c, cls, m = (group.column(k).to_numpy(zero_copy_only=False) if k == "masked" else group.column(k).to_numpy() for k in ("r", "c", "cls", "masked"))
@@ -98,7 +109,8 @@ def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
         return pa.table({"image_id": pa.array([group.column("image_id")[0].as_py()] * len(p), pa.string()), "seq": pa.array(np.arange(len(p)), pa.int32()), "x": p[:, 0], "y": p[:, 1]})
 
     ship_package(classes.sparkSession)
-    narrow = classes.select(F.col("image_id").cast("string").alias("image_id"), "r", "c", "cls", "masked")
+    clean = raster.clean(classes.withColumn("cls", (F.col("cls") == 1).cast("int")), s.least_land, s.least_water, s.erosion, s.dilation)
+    narrow = clean.select(F.col("image_id").cast("string").alias("image_id"), "r", "c", "cls", "masked")
     return narrow.groupBy("image_id").applyInArrow(run, "image_id string, seq int, x double, y double")
 
 
@@ -154,6 +166,37 @@ def coregister(pairs: DataFrame, grid_res: int = 50, least_peak: float = 0.03) -
     return pairs.groupBy("image_id").applyInArrow(run, COREG)
 
 
+def reference_image(scenes: DataFrame, explicit: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
+    """(site, reference): a site's reference image for co-registration; the stated one (site, image_id), else one among its inputs, else its first by id."""
+    out = scenes.groupBy("site").agg(F.min("image_id").alias("_first"))
+    picks = []
+    for k, df in enumerate((explicit, inputs)):
+        if df is not None:
+            out = out.join(df.groupBy("site").agg(F.min("image_id").alias(f"_pick{k}")), "site", "left")
+            picks.append(f"_pick{k}")
+    return out.select("site", F.coalesce(*picks, "_first").alias("reference"))
+
+
+def resume_from(scenes: DataFrame, start: int) -> DataFrame:
+    """Scenes in order of image_id without the first start of them."""
+    return scenes.orderBy("image_id").offset(start)
+
+
+def write_status(done: DataFrame, folder: str) -> None:
+    """Appends (image_id, level, failed) of co-registered images, which still_to_do reads. A row is written once the work it stands for is."""
+    done.select("image_id", F.col("level").cast("int").alias("level"), (F.col("level") < 2).alias("failed")).write.mode("append").parquet(folder)
+
+
+def failed_images(status: DataFrame) -> DataFrame:
+    """(image_id) whose newest row says that it failed; of several rows the best level counts."""
+    return status.groupBy("image_id").agg(F.max("level").alias("level")).where("level < 2").select("image_id")
+
+
+def write_wide(matrix: DataFrame, folder: str) -> None:
+    """A matrix, a row a time and a column a transect, as CSV with a header; empty cells are nulls. A matrix has one row a scene, so it is one file."""
+    matrix.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+
 def still_to_do(images: DataFrame, status: DataFrame) -> DataFrame:
     """Images without a status row: a run goes on where an earlier one stopped."""
     return images.join(status.select("image_id"), "image_id", "left_anti")
