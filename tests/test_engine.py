@@ -391,13 +391,15 @@ def test_crossing_against_plain_search(spark):
     from tidemark.operators import vector
 
     rng = random.Random(6)
-    transects = [(f"t{i}", *[rng.uniform(0, 2500) for _ in range(4)]) for i in range(12)]
+    transects = [(f"t{i}", x, y, x + rng.uniform(-300, 300), y + rng.uniform(-300, 300)) for i in range(40) for x, y in [(rng.uniform(0, 2500), rng.uniform(0, 2500))]]
     transects += [("v1", 3000.0, 0.0, 3000.0, 500.0), ("v2", 3010.0, -5.0, 2990.0, -15.0), ("p", 0.0, 9000.0, 900.0, 9000.0)]  # v2 runs behind v1's origin
     rows = []
     for image in ("a", "b"):
-        line = [(rng.uniform(0, 3000), rng.uniform(0, 2500)) for _ in range(25)]
+        line = [(rng.uniform(0, 2500), rng.uniform(0, 2500))]
+        for _ in range(60):
+            line.append((line[-1][0] + rng.uniform(-220, 220), line[-1][1] + rng.uniform(-220, 220)))
         rows += [(image, k, x, y) for k, (x, y) in enumerate(line)]
-    rows += [("b", 25, 450.0, 8000.0), ("b", 26, 450.0, 9900.0), ("b", 27, 470.0, 9010.0)]  # crosses p far from both ends, near a later vertex
+    rows += [("b", 61, 450.0, 8000.0), ("b", 62, 450.0, 9900.0), ("b", 63, 470.0, 9010.0)]  # crosses p far from both ends, near a later vertex
     vertices = spark.createDataFrame(rows, "image_id string, seq int, x double, y double")
 
     def cross(ax, ay, bx, by, cx, cy, dx, dy):
