@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from tidemark.functions.shipping import ship_package
 from tidemark.llm.columns import cut, parted, table
 from tidemark.llm.graph import components
-from tidemark.llm.textscan import U, mix, packed, parts_for, scan, set_key, shingle_sets, stream, unpacked
+from tidemark.llm.textscan import PACKED, U, mix, packed, parts_for, scan, set_key, shingle_sets, stream, unpacked
 
 #: Signatures of a row and band where not all are shown. Rows with more blocks show the first of them, rows with fewer deal their columns anew until they
 #: have as many. A block stays untouched with a chance of 1 / e at least, so a pair at the very threshold is missed with a chance
@@ -28,8 +28,8 @@ SIGNATURES = 64
 #: Signatures of a row and band at least, where all blocks are shown.
 LEAST_SHOWN = 24
 #: Where the bound leaves a block fewer shingles than this (thresholds below 0.88), texts that only share a common sentence would agree on some
-#: block. Then a signature is the content of two neighbouring blocks, and there are four times as many: two neighbours both stay untouched among
-#: 129 but for a chance of 4e-7 at the very threshold, among twice as many but for 2e-13. Rows of few blocks keep single ones.
+#: block. Then a signature is the content of two neighbouring blocks, and there are three times as many: two neighbours both stay untouched among
+#: 129 but for a chance of 4e-7 at the very threshold, among half as many again but for 3e-10. Rows of few blocks keep single ones.
 LEAST_GRAMS, FEW_BLOCKS = 8, 6
 #: Rows of a product's block, and columns.
 ROWS, COLUMNS = 256, 8192
@@ -66,7 +66,7 @@ def signatures(s: np.ndarray, num: int, den: int, exact: bool = False) -> np.nda
         if count == 1:
             continue  # no room for a difference: only equal sets, which are one row already
         wide = neighbours(num, den) if count >= FEW_BLOCKS and not exact else 1
-        most = max(count, LEAST_SHOWN) if exact else SIGNATURES * wide * wide
+        most = max(count, LEAST_SHOWN) if exact else SIGNATURES * (1 if wide == 1 else 3)
         rounds = -(-most // count)
         value = mix(s[None, :] ^ _SALT[:rounds, None])
         key = ((value >> U(32)) * U(count) >> U(32)).astype(np.int64)
@@ -90,27 +90,34 @@ def signatures(s: np.ndarray, num: int, den: int, exact: bool = False) -> np.nda
     return np.concatenate(out) if out else s[:0]
 
 
-SHOWN = "doc_id bigint, n_shingles bigint, row bigint, part int, block binary"
+def row_keys(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, row): row names the text's shingle set; null for an empty set or a null doc_id, which link with nothing."""
+
+    def run(batches):
+        for b in batches:
+            ids, size, key = b.column("doc_id"), [], []
+            known = ids.is_valid().to_pylist()
+            for a, _, w in scan(b.column("text"), lower=True):
+                for i, s in enumerate(shingle_sets(w, n)):
+                    size.append(len(s))
+                    key.append(set_key(s) if len(s) and known[a + i] else None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(key, pa.int64())], names=["doc_id", "n_shingles", "row"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, row bigint")
 
 
 def shown(docs: DataFrame, n: int, num: int, den: int, parts: int, exact: bool) -> DataFrame:
-    """One scan of the texts, which gives two kinds of rows. (doc_id, n_shingles, row): row names the text's shingle set; null for an empty set or a
-    null doc_id, which link with nothing. (part, block): packed signatures of the sets, with each set's row and size. A task shows a set once, however
-    many copies it reads, and for that keeps the names of its sets, eight bytes each."""
+    """(part, block): packed signatures of the texts' sets, with each set's row and size. They go straight into a shuffle: a second scan of the texts costs
+    less than to store them. A task shows a set once, however many copies it reads, and for that keeps the names of its sets, eight bytes each."""
 
     def run(batches):
         seen: set[int] = set()
         held: list = []
         count = 0
         for b in batches:
-            ids, size, key = b.column("doc_id"), [], []
-            known = ids.is_valid().to_pylist()
-            for a, _, w in scan(b.column("text"), lower=True):
-                for i, s in enumerate(shingle_sets(w, n)):
-                    name = set_key(s) if len(s) and known[a + i] else None
-                    size.append(len(s))
-                    key.append(name)
-                    if name is not None and name not in seen:
+            for _, _, w in scan(b.column("text"), lower=True):
+                for s in shingle_sets(w, n):
+                    if len(s) and (name := set_key(s)) not in seen:
                         seen.add(name)
                         sig = signatures(s, num, den, exact)
                         held.append((sig, name, len(s)))
@@ -118,7 +125,6 @@ def shown(docs: DataFrame, n: int, num: int, den: int, parts: int, exact: bool)
                 if count > 1_000_000:
                     yield flush(held)
                     held, count = [], 0
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=NAMES)
         if held:
             yield flush(held)
 
@@ -129,11 +135,9 @@ def shown(docs: DataFrame, n: int, num: int, den: int, parts: int, exact: bool)
         rows["sig"] = sig
         rows["row"] = np.repeat(np.array([k for _, k, _ in held], np.int64), many)
         rows["size"] = np.repeat(np.array([m for _, _, m in held], np.int32), many)
-        out = packed(((sig >> U(32)) * U(parts) >> U(32)).astype(np.int32), rows)
-        return pa.RecordBatch.from_arrays([*(pa.nulls(out.num_rows, pa.int64()) for _ in range(3)), *out.columns], names=NAMES)
+        return packed(((sig >> U(32)) * U(parts) >> U(32)).astype(np.int32), rows)
 
-    NAMES = [f.split()[0] for f in SHOWN.split(", ")]  # noqa: N806
-    return docs.mapInArrow(run, SHOWN)
+    return docs.where("doc_id IS NOT NULL").mapInArrow(run, PACKED)
 
 
 def candidate_edges(blocks: DataFrame, num: int, den: int) -> DataFrame:
@@ -294,7 +298,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     whose sets have a Jaccard similarity of num / den or more.
 
     exact shows all column blocks of a row as signatures, so no linked pair is missed but by chances below those of equal hashes; that is the default where blocks hold LEAST_GRAMS shingles or more
-    (thresholds of 0.88 and up). Otherwise rows show so many signatures that a pair is missed with a chance of 4e-13 at most, see SIGNATURES.
+    (thresholds of 0.88 and up). Otherwise rows show so many signatures that a pair is missed with a chance of 3e-10 at most, see SIGNATURES.
     Sets are named by 64-bit hashes: among 10^8 different ones two share a name with a chance of 3e-4, and would count as equal.
 
     Equal sets are one row of the matrix, so copies cost nothing after the first. Empty texts and null doc_ids link with nothing.
@@ -304,10 +308,9 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     exact = neighbours(num, den) == 1 if exact is None else exact
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    entries = size / 6 * 4 * (den - num) / (den + num) if exact else rows * 2 * SIGNATURES * neighbours(num, den) ** 2
-    found = cut(shown(docs, n, num, den, parts_for(entries, 250_000, spark), exact))
-    keys = found.where("part IS NULL").select("doc_id", "n_shingles", "row")
-    clusters = components(candidate_edges(found.where("part IS NOT NULL").select("part", "block"), num, den))
+    entries = size / 6 * 4 * (den - num) / (den + num) if exact else rows * 2 * SIGNATURES * (1 if neighbours(num, den) == 1 else 3)
+    keys = cut(row_keys(docs, n))
+    clusters = components(candidate_edges(shown(docs, n, num, den, parts_for(entries, 250_000, spark), exact), num, den))
     links = components(cluster_links(docs, keys, clusters, n, num, den))
     labelled = keys.join(links.select(F.col("node").alias("row"), "root"), "row", "left").select("doc_id", "n_shingles", F.coalesce("root", "row").alias("label"))
     labelled = cut(labelled)
