@@ -122,7 +122,7 @@ def shown(docs: DataFrame, n: int, num: int, den: int, parts: int, exact: bool)
                         sig = signatures(s, num, den, exact)
                         held.append((sig, name, len(s)))
                         count += len(sig)
-                if count > 1_000_000:
+                if count > 400_000:
                     yield flush(held)
                     held, count = [], 0
         if held:

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
