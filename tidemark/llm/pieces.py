@@ -16,11 +16,11 @@ from tidemark.functions.shipping import ship_package
 
 #: The visible space of the vocabulary.
 META = "▁"
-#: Distinct units that a worker keeps the ids of, until they push out those kept before.
+#: Distinct units that a task keeps the ids of, until they push out those kept before.
 CACHE_UNITS = 200_000
 #: Bytes of the longest unit that is kept, and of texts that are worked on at a time; a longer text is a slice of its own.
 LONGEST, SLICE = 256, 2_000_000
-#: Token pairs whose compatibility a worker keeps.
+#: Token pairs whose compatibility a task keeps.
 CACHE_PAIRS = 400_000
 
 SCHEMA = "doc_id bigint, ids binary, decoded string"
@@ -190,6 +190,12 @@ class PieceTable:
             return ids
         return [*self.spaces(n), *ids[1:]] if ids[0] == self.id[META] else [*self.spaces(n - 1), *ids]
 
+    def forget(self) -> None:
+        """Drops all that is kept of a task's texts, so that a worker between tasks holds the model alone."""
+        self.pairs.clear()
+        self.recent, self.earlier = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def kept_ids(self, units: list[bytes]) -> list[bytes]:
         """Ids of units, four bytes each."""
         out, recent = [], self.recent
@@ -302,12 +308,18 @@ def slices(texts: pa.Array):
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """(doc_id, ids, decoded) of docs' doc_id and text: ids is a binary of little-endian unsigned 32-bit integers, begin and end included.
 
-    A pass over the partitions without a shuffle. A batch is worked on a few megabytes at a time, and a worker keeps the ids of a bounded number of
+    A pass over the partitions without a shuffle. A batch is worked on a few megabytes at a time, and a task keeps the ids of a bounded number of
     distinct units, so memory depends on neither the table nor a source or group of copies. A null text counts as empty: begin and end only, decoded to the
     empty text. Null and repeated doc_ids and repeated rows come out as they are there; other columns are left out."""
 
     def encode(batches):
         t = piece_table(model_file)
+        try:
+            yield from encoded(t, batches)
+        finally:
+            t.forget()  # an idle worker's memory counts while later stages run
+
+    def encoded(t, batches):
         for b in batches:
             done = 0
             for texts in slices(b.column("text")):
