@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import json
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
 from tidemark.functions import ids
-from tidemark.operators import catalog, ml, raster, series, vector
+from tidemark.operators import catalog, ml, raster, regions, series, vector
 from tidemark.plans import site
 from tidemark.sources import geojson, geotiff, metadata
 from tidemark.streaming import scenes
@@ -175,6 +176,45 @@ def test_orders_are_tried_again(spark):
     assert sorted(r.order_id for r in out.collect()) == ["s_0", "s_1"] and c.calls == 3
 
 
+class Service(catalog.OrderClient):
+    """An order is its site and chunk; ids that end with 3 can't be had, chunk 1 fails."""
+
+    def __init__(self):
+        self.asked, self.fetched = {}, []
+
+    def place(self, request):
+        body = json.loads(request)
+        bad = catalog.refused_ids("".join(f'{{"message":"No access to assets: PSScene/{i}/ortho"}}' for p in body["products"] for i in p["item_ids"] if i.endswith("3")))
+        if bad:
+            raise catalog.NoAccess(bad)
+        return body["name"]
+
+    def state(self, order_id):
+        self.asked[order_id] = n = self.asked.get(order_id, 0) + 1
+        return "running" if n < 3 else "failed" if order_id.endswith("_1") else "success"
+
+    def results(self, order_id):
+        return {f"x/{order_id}.tif": "a", f"x/{order_id}_metadata.json": "b", "x/readme.txt": "c"}
+
+    def fetch(self, location):
+        self.fetched.append(location)
+        return location.encode()
+
+
+def test_orders_from_request_to_files(spark, tmp_path):
+    rows = [("s", "id0", 0), ("s", "id3", 0), ("s", "id1", 1), ("t", "id3", 0), ("t", "id13", 0)]
+    requests = catalog.order_requests(spark.createDataFrame(rows, "site string, id string, chunk long"), [(0, 0), (1, 0), (1, 1)])
+    for turn in range(2):
+        out = catalog.run_orders(spark, requests, c := Service(), str(tmp_path), wait=0.0)
+        assert sorted((r.site, r.chunk, r.order_id, r.state, r.n_files) for r in out.collect()) == [("s", 0, "s_0", "success", 2), ("s", 1, "s_1", "failed", 0), ("t", 0, None, None, 0)]
+        assert c.asked == {"s_0": 3, "s_1": 3} and sorted(c.fetched) == ([] if turn else ["a", "b"])
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["s_0.tif", "s_0_metadata.json"]
+
+
+def test_order_still_running():
+    assert catalog.await_order(c := Service(), "s_0", 0.0, most=2) == "running" and c.asked == {"s_0": 2}
+
+
 def test_upsert(spark):
     a, b = (spark.createDataFrame(x, "site string, v int") for x in ([("p", 1), ("q", 1)], [("q", 2), ("r", 2)]))
     assert {r.site: r.v for r in catalog.upsert_sites(a, b).collect()} == {"p": 1, "q": 2, "r": 2}
@@ -187,12 +227,13 @@ def grid(spark, a, name="v", image="i"):
     return spark.createDataFrame([(image, r, c, None if a[r, c] is None or a[r, c] != a[r, c] else float(a[r, c])) for r in range(a.shape[0]) for c in range(a.shape[1])], f"image_id string, r int, c int, {name} double")
 
 
+@pytest.mark.parametrize("tile", [3, 256])
 @pytest.mark.parametrize("radius", [1, 2, 3])
-def test_std_against_numpy(spark, radius):
+def test_std_against_numpy(spark, radius, tile):
     a = np.random.default_rng(radius).random((9, 7)) * 100
     a[4, 4] = np.nan
     p = np.pad(a, radius, mode="reflect")
-    for r in raster.image_std(grid(spark, a), ["v"], radius).collect():
+    for r in raster.image_std(grid(spark, a), ["v"], radius, tile=tile).collect():
         if (r.r, r.c) == (4, 4):
             assert r.std_v is None
         else:
@@ -479,3 +520,37 @@ def test_images_masks_shifts_and_status(spark, tmp_path):
     s = site.Settings((0.0, 3.0, 0.0, 0.0, 0.0, -3.0))
     assert (s.erosion, s.dilation, s.buffer_radius) == (True, True, 34)
     assert s.overridden({"max_dist_from_sl_ref": 50, "pixel_size": 4.0, "minBeachArea": 7, "beach_type": "x"}).buffer_radius == 13
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_flood_fill(spark, diagonal):
+    a = np.random.default_rng(5).integers(0, 10, (12, 15)).astype(float)
+    a[0, 0] = np.nan
+    seeds = [(2, 3), (11, 14), (0, 0), (40, 1)]
+    out = {}
+    for r in regions.flood_fill(grid(spark, a), spark.createDataFrame([("i", *s) for s in seeds], "image_id string, r int, c int"), "v", 3.0, diagonal).collect():
+        out.setdefault((r.seed_r, r.seed_c), []).append((r.r, r.c))
+    for s in seeds[:2]:
+        seen, todo = {s}, [s]
+        while todo:
+            r, c = todo.pop()
+            for i, j in itertools.product((-1, 0, 1), repeat=2):
+                q = (r + i, c + j)
+                if (diagonal or not i * j) and q not in seen and 0 <= q[0] < 12 and 0 <= q[1] < 15 and abs(a[q] - a[s]) <= 3:
+                    seen.add(q)
+                    todo.append(q)
+        assert sorted(out[s]) == sorted(seen)
+    assert set(out) == set(seeds[:2])
+
+
+def test_reprojection(spark):
+    df = spark.createDataFrame([(-157.8, 21.3), (-159.5, 22.0)], "x double, y double")
+    m = geo.reproject(F.col("x"), F.col("y"), 4326, 3857)
+    u = geo.reproject(m.x, m.y, 3857, 32604)
+    back = geo.reproject(u.x, u.y, 32604, 4326)
+    for r in df.select("x", "y", m.alias("m"), back.alias("b")).collect():
+        assert r.m.x == pytest.approx(r.x * 111319.49079327358, abs=1e-3)
+        assert (r.b.x, r.b.y) == pytest.approx((r.x, r.y), abs=1e-8)
+    for pair in ((4326, 2193), (32661, 4326)):
+        with pytest.raises(ValueError):
+            geo.reproject(F.col("x"), F.col("y"), *pair)

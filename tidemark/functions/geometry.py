@@ -80,3 +80,34 @@ def utm_to_lonlat(x: Column, y: Column, epsg: int) -> Column:
         lat = lat + d * F.sin(2 * j * chi)
     lon = F.lit(float((epsg % 100) * 6 - 183)) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
     return F.struct(lon.alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def lonlat_to_mercator(lon: Column, lat: Column) -> Column:
+    """struct(x, y) in metres of the web's spherical projection."""
+    return F.struct((_A * F.radians(lon)).alias("x"), (_A * F.ln(F.tan(math.pi / 4 + F.radians(lat) / 2))).alias("y"))
+
+
+def mercator_to_lonlat(x: Column, y: Column) -> Column:
+    """struct(lon, lat) in degrees."""
+    return F.struct(F.degrees(x / _A).alias("lon"), F.degrees(2 * F.atan(F.exp(y / _A)) - math.pi / 2).alias("lat"))
+
+
+def _is_utm(epsg: int) -> bool:
+    return epsg // 100 in (326, 327) and 1 <= epsg % 100 <= 60
+
+
+def reproject(x: Column, y: Column, source: int, target: int) -> Column:
+    """struct(x, y) of points in another projection; x is the longitude and y the latitude of 4326. Known are 4326, 3857 and the UTM zones 326zz and
+    327zz, other codes are an error."""
+    for epsg in (source, target):
+        if epsg not in (4326, 3857) and not _is_utm(epsg):
+            raise ValueError(f"unknown projection: {epsg}")
+    if source == target:
+        return F.struct(x.alias("x"), y.alias("y"))
+    lon, lat = x, y
+    if source != 4326:
+        at = mercator_to_lonlat(x, y) if source == 3857 else utm_to_lonlat(x, y, source)
+        lon, lat = at.lon, at.lat
+    if target == 4326:
+        return F.struct(lon.alias("x"), lat.alias("y"))
+    return lonlat_to_mercator(lon, lat) if target == 3857 else lonlat_to_utm(lon, lat, target)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -102,6 +108,14 @@ def upsert_sites(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(W.partitionBy("site").orderBy(F.desc("_v")))).where("_r = 1").drop("_v", "_r")
 
 
+class NoAccess(Exception):
+    """A service's refusal of a request because of some of its ids."""
+
+    def __init__(self, ids):
+        super().__init__(", ".join(ids))
+        self.ids = set(ids)
+
+
 class OrderClient:
     """What the engine needs of an imagery service; networks stay behind it."""
 
@@ -109,24 +123,96 @@ class OrderClient:
         raise NotImplementedError
 
     def place(self, request: str) -> str:
+        """The order's id; NoAccess names ids that can't be had, OSError may pass."""
         raise NotImplementedError
 
     def state(self, order_id: str) -> str:
         raise NotImplementedError
 
-    def download(self, order_id: str, folder: str) -> list[str]:
+    def results(self, order_id: str) -> dict[str, str]:
+        """Names of an order's files with their locations."""
+        raise NotImplementedError
+
+    def fetch(self, location: str) -> bytes:
         raise NotImplementedError
 
 
+def refused_ids(message: str) -> list[str]:
+    """The ids in a service's text on assets without access, each named as type/id/asset."""
+    return re.findall(r"No access to assets:\s*[^/\s]+/([^/\s\"]+)", message)
+
+
+def place_one(client: OrderClient, request: str, tries: int = 3) -> str | None:
+    """The id of the order; ids without access are taken out of it. None where no id is left or every try failed."""
+    body, failed = json.loads(request), 0
+    while body["products"]:
+        try:
+            return client.place(json.dumps(body))
+        except NoAccess as e:
+            if not any(e.ids.intersection(p["item_ids"]) for p in body["products"]):
+                raise
+            kept = [{**p, "item_ids": [i for i in p["item_ids"] if i not in e.ids]} for p in body["products"]]
+            body["products"] = [p for p in kept if p["item_ids"]]
+        except OSError:
+            failed += 1
+            if failed == tries:
+                return None
+    return None
+
+
+def await_order(client: OrderClient, order_id: str, wait: float = 10.0, most: int = 8640) -> str:
+    """The order's last state, asked for every wait seconds: success, partial, failed, or the state in which it still is after most times."""
+    state = client.state(order_id)
+    for _ in range(most - 1):
+        if state in ("success", "partial", "failed"):
+            break
+        time.sleep(wait)
+        state = client.state(order_id)
+    return state
+
+
+def download_order(client: OrderClient, order_id: str, folder: str, overwrite: bool = False) -> dict[str, str]:
+    """Paths in folder by name of the order's tif, json and xml files. A file that is there stays unless overwrite; a file is there only when whole."""
+    out = {}
+    os.makedirs(folder, exist_ok=True)
+    for name, location in client.results(order_id).items():
+        if not any(kind in name for kind in (".tif", ".json", ".xml")):
+            continue
+        out[name] = path = os.path.join(folder, name.rsplit("/", 1)[-1])
+        if overwrite or not os.path.exists(path):
+            with open(f"{path}.part", "wb") as f:
+                f.write(client.fetch(location))
+            os.replace(f"{path}.part", path)
+    return out
+
+
+#: Requests come to the driver, which waits for the network; more than these are an error.
+MOST_REQUESTS = 10_000
+
+
+def _requests(requests: DataFrame) -> list:
+    rows = requests.limit(MOST_REQUESTS + 1).collect()
+    if len(rows) > MOST_REQUESTS:
+        raise ValueError(f"more than {MOST_REQUESTS} requests")
+    return rows
+
+
 def place_all(spark: SparkSession, requests: DataFrame, client: OrderClient, tries: int = 3) -> DataFrame:
-    """(site, chunk, order_id): a driver loop over a few hundred requests, each tried again on failure."""
-    rows = []
-    for r in requests.toLocalIterator():
-        for k in range(tries):
-            try:
-                rows.append((r[0], r.chunk, client.place(r.request)))
-                break
-            except OSError:
-                if k + 1 == tries:
-                    rows.append((r[0], r.chunk, None))
+    """(site, chunk, order_id) of requests (site, chunk, request), each tried again on failure."""
+    rows = [(r[0], r.chunk, place_one(client, r.request, tries)) for r in _requests(requests)]
     return spark.createDataFrame(rows, "site string, chunk bigint, order_id string")
+
+
+def run_orders(spark: SparkSession, requests: DataFrame, client: OrderClient, folder: str, at_once: int = 4, wait: float = 10.0, overwrite: bool = False) -> DataFrame:
+    """(site, chunk, order_id, state, n_files): each request placed, awaited and downloaded to its site's folder, at_once at a time. state is null for
+    what could not be placed."""
+
+    def one(r) -> tuple:
+        order = place_one(client, r.request)
+        state = await_order(client, order, wait) if order is not None else None
+        files = download_order(client, order, os.path.join(folder, r[0]), overwrite) if state in ("success", "partial") else {}
+        return r[0], r.chunk, order, state, len(files)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(one, _requests(requests)))
+    return spark.createDataFrame(rows, "site string, chunk bigint, order_id string, state string, n_files int")

@@ -174,3 +174,21 @@ def phase_shift(ref: np.ndarray, img: np.ndarray) -> tuple[int, int, float]:
     r, c = np.unravel_index(power.argmax(), power.shape)
     h, w = power.shape
     return int(r - h if r > h // 2 else r), int(c - w if c > w // 2 else c), float(power.max())
+
+
+def box_deviation(a: np.ndarray, radius: int) -> np.ndarray:
+    """The population deviation over (2 radius + 1) squared cells around each cell of a but its margin of radius; nan cells don't count, nan centres
+    stay nan."""
+
+    def total(v: np.ndarray) -> np.ndarray:
+        across = sum(v[:, k : v.shape[1] - 2 * radius + k] for k in range(2 * radius + 1))
+        return sum(across[k : v.shape[0] - 2 * radius + k] for k in range(2 * radius + 1))
+
+    known = ~np.isnan(a)
+    x = np.where(known, a, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = total(known.astype(float))
+        mean = total(x) / n
+        out = np.sqrt(np.maximum(total(x * x) / n - mean * mean, 0.0))
+    inner = slice(radius, -radius) if radius else slice(None)
+    return np.where(known[inner, inner], out, np.nan)

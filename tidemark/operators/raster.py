@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tidemark.functions.shipping import ship_package
+from tidemark.operators import kernels
 from tidemark.operators.regions import drop_small
 
 
@@ -24,36 +29,49 @@ def nd_index(b1: Column, b2: Column, masked: Column) -> Column:
     return F.when(~masked, F.try_divide((b1 - b2).cast("double"), (b1 + b2).cast("double")))
 
 
-def image_std(pixels: DataFrame, columns: list[str], radius: int = 2, prefix: str = "std_") -> DataFrame:
+#: Rows and columns of the tiles that windows over pixels are counted in.
+TILE = 256
+
+
+def image_std(pixels: DataFrame, columns: list[str], radius: int = 2, prefix: str = "std_", tile: int = TILE) -> DataFrame:
     """pixels (image_id, r, c, ...) with the population deviation of each column over (2 radius + 1) squared pixels around each; the image is
     mirrored at its edge pixels, null neighbours don't count, null centres stay null.
 
-    Two windows in turn, along rows and then along columns of one image; only the border pixels are repeated for the mirror. Images must
-    have more than radius rows and columns."""
-    every = [(f"{prefix}{c}", c) for c in columns]
+    One shuffle: a pixel goes to its tile and, near a border, to the tiles beside it, so a task holds a tile with its margin however large the
+    image is. Images must have more than radius rows and columns, and radius is at most tile."""
+    names = [f"{prefix}{c}" for c in columns]
+    own = pixels.columns
+
+    def mirrored(first: int, n: int, size: int) -> np.ndarray:
+        at = np.abs(first + np.arange(size))
+        return np.clip(np.where(at > n - 1, 2 * (n - 1) - at, at) - first, 0, size - 1)
+
+    def run(group: pa.Table) -> pa.Table:
+        h, w, down, right = (group.column(k)[0].as_py() for k in ("_h", "_w", "_down", "_right"))
+        r, c = (group.column(k).to_numpy() for k in ("r", "c"))
+        top, left = down * tile, right * tile
+        shape = (min(tile, h - top) + 2 * radius, min(tile, w - left) + 2 * radius)
+        fit = (r - top + radius < shape[0]) & (c - left + radius < shape[1])
+        spots = np.ix_(mirrored(top - radius, h, shape[0]), mirrored(left - radius, w, shape[1]))
+        mine = (r // tile == down) & (c // tile == right)
+        out = group.filter(pa.array(mine)).select(own)
+        for name, column in zip(names, columns, strict=True):
+            a = np.full(shape, np.nan)
+            a[(r - top + radius)[fit], (c - left + radius)[fit]] = group.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)[fit]
+            v = kernels.box_deviation(a[spots], radius)[(r - top)[mine], (c - left)[mine]]
+            out = out.append_column(name, pa.array(v, mask=np.isnan(v)))
+        return out
+
+    ship_package(pixels.sparkSession)
     size = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("_h"), (F.max("c") + 1).alias("_w"))
-    rows = pixels.join(size, "image_id")
-
-    def mirrored(df: DataFrame, at: str, n: str) -> DataFrame:
-        x = F.col(at)
-        copies = F.array(x, F.when((x >= 1) & (x <= radius), -x), F.when((x <= F.col(n) - 2) & (x >= F.col(n) - 1 - radius), 2 * (F.col(n) - 1) - x))
-        return df.withColumn("_at", F.explode(F.array_compact(copies)))
-
-    def summed(df: DataFrame, part: list[str], at: str, n: str, terms: list[str]) -> DataFrame:
-        w = W.partitionBy("image_id", *part).orderBy("_at").rowsBetween(-radius, radius)
-        return mirrored(df, at, n).withColumns({t: F.sum(t).over(w) for t in terms}).where(F.col("_at") == F.col(at)).drop("_at")
-
-    terms = {}
-    for name, c in every:
-        x = F.col(c).cast("double")
-        terms |= {f"_s{name}": x, f"_q{name}": x * x, f"_n{name}": F.when(F.col(c).isNull(), 0.0).otherwise(1.0)}
-    wide = rows.withColumns(terms)
-    wide = summed(summed(wide, ["r"], "c", "_w", list(terms)), ["c"], "r", "_h", list(terms))
-    out = {}
-    for name, c in every:
-        mean = F.col(f"_s{name}") / F.col(f"_n{name}")
-        out[name] = F.when(F.col(c).isNotNull(), F.sqrt(F.greatest(F.col(f"_q{name}") / F.col(f"_n{name}") - mean * mean, F.lit(0.0))))
-    return wide.withColumns(out).drop(*terms, "_h", "_w")
+
+    def beside(x: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(x) + d) / tile).cast("int") for d in (-radius, 0, radius)])))
+
+    dealt = pixels.join(size, "image_id").withColumn("_down", beside("r")).withColumn("_right", beside("c"))
+    dealt = dealt.where((F.col("_down") >= 0) & (F.col("_right") >= 0) & (F.col("_down") * tile < F.col("_h")) & (F.col("_right") * tile < F.col("_w")))
+    schema = T.StructType([*pixels.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+    return dealt.groupBy("image_id", "_down", "_right").applyInArrow(run, schema)
 
 
 #: The order of the 18 features of a pixel.

@@ -38,11 +38,12 @@ def runs(classes: DataFrame) -> DataFrame:
     return found.select("image_id", "r", "c0", "c1", "cls", F.xxhash64("image_id", "r", "c0").alias("node"))
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """runs with region, the smallest node of the 4-connected region of one class, and its size in pixels."""
+def regions(classes: DataFrame, diagonal: bool = False) -> DataFrame:
+    """runs with region, the smallest node of the 4-connected region of one class, and its size in pixels. diagonal: corners connect, too."""
+    reach = int(diagonal)
     found = cut(runs(classes))
     above, below = found.alias("a"), found.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1"))
+    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("a.c0") <= F.col("b.c1") + reach) & (F.col("b.c0") <= F.col("a.c1") + reach)
     roots = components(above.join(below, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     named = cut(found.join(roots, "node", "left").withColumn("region", F.coalesce("root", "node")).drop("root"))
     sizes = named.groupBy("region").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("size"))
@@ -55,3 +56,15 @@ def drop_small(classes: DataFrame, cls: int, least: int) -> DataFrame:
     small = regions(classes).where((F.col("cls") == cls) & (F.col("size") < least)).select("image_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"), F.lit(True).alias("_small"))
     joined = classes.join(small, ["image_id", "r", "c"], "left")
     return joined.withColumn("cls", F.when(F.col("_small"), 1 - F.col("cls")).otherwise(F.col("cls"))).select(classes.columns)
+
+
+def flood_fill(pixels: DataFrame, seeds: DataFrame, column: str, tolerance: float = 0.0, diagonal: bool = True) -> DataFrame:
+    """(image_id, seed_r, seed_c, r, c): for each seed (image_id, r, c) the pixels connected to it whose column is within tolerance of the seed's.
+    A seed outside its image or on a null fills nothing."""
+    at = seeds.select("image_id", F.col("r").alias("seed_r"), F.col("c").alias("seed_c")).distinct()
+    spot = pixels.select("image_id", F.col("r").alias("seed_r"), F.col("c").alias("seed_c"), F.col(column).alias("_v"))
+    start = at.join(spot, ["image_id", "seed_r", "seed_c"]).withColumn("_fill", F.concat_ws(":", "image_id", "seed_r", "seed_c"))
+    near = pixels.join(start.select("image_id", "_fill", "_v"), "image_id").where(F.abs(F.col(column) - F.col("_v")) <= tolerance)
+    found = regions(near.select(F.col("_fill").alias("image_id"), "r", "c", F.lit(1).alias("cls")), diagonal).withColumnRenamed("image_id", "_fill")
+    hit = found.join(start, "_fill").where((F.col("r") == F.col("seed_r")) & F.col("seed_c").between(F.col("c0"), F.col("c1"))).select("region", "image_id", "seed_r", "seed_c")
+    return found.select("region", "r", "c0", "c1").join(hit, "region").select("image_id", "seed_r", "seed_c", "r", F.explode(F.sequence("c0", "c1")).alias("c"))

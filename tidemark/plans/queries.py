@@ -619,6 +619,23 @@ def _(spark, x):
     return regions.drop_small(x, 0, 20).select("r", "c", "cls")
 
 
+@query(
+    "flood_fill",
+    """, N AS (SELECT r, c FROM G WHERE abs(b - (SELECT b FROM G WHERE r = 3 AND c = 7)) <= 500),
+    W(r, c) AS (SELECT CAST(3 AS INT), CAST(7 AS INT) UNION SELECT N.r, N.c FROM W CROSS JOIN (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) d(i, j) JOIN N ON N.r = W.r + i AND N.c = W.c + j)
+    SELECT r, c FROM W""",
+    "G",
+)
+def _(spark, g):
+    return regions.flood_fill(g, spark.createDataFrame([("G", 3, 7)], "image_id string, r int, c int"), "b", 500).select("r", "c")
+
+
+@query("mercator", "SELECT seq, round(6378137.0 * radians(-159 + (x - 621650) / 200), 3) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(21 + (y - 2352900) / 500) / 2)), 3) AS y FROM V", "V")
+def _(spark, v):
+    p = geo.reproject(-159 + (F.col("x") - 621650) / 200.0, 21 + (F.col("y") - 2352900) / 500.0, 4326, 3857)
+    return v.select("seq", F.round(p.x, 3).alias("x"), F.round(p.y, 3).alias("y"))
+
+
 @query("image_masks", ", M AS (SELECT r, c, masked FROM G WHERE r >= 3) SELECT G.r, G.c, G.b, coalesce(M.masked, false) AS masked FROM G LEFT JOIN M ON M.r = G.r AND M.c = G.c", "G")
 def _(spark, g):
     return raster.with_masks(g, g.where("r >= 3").select("image_id", "r", "c", "masked")).select("r", "c", "b", "masked")
