@@ -87,3 +87,13 @@ def test_merge_estimates(spark):
 
 def test_empty(spark, empty):
     assert fp.op1_fingerprints(spark, empty).count() == 0
+
+
+def test_equal_rows_are_no_block(spark):
+    df = spark.range(100_000).selectExpr("IF(id % 3 = 0, id, NULL) AS doc_id", "IF(id % 3 = 0, concat('t', id), 'one and the same text of more than sixteen characters') AS text")
+    placed = fp.with_next(df)
+    assert placed.count() == 33_334 + 2
+    out = fp.expanded(placed.select("doc_id", "text", "next_text", "times"))
+    assert out.count() == 100_000
+    assert out.where("doc_id IS NULL AND next_text <> text").count() == 1  # the last is followed by the first document
+    assert out.where("doc_id IS NULL AND next_text = 't99999'").count() == 1

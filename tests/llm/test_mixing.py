@@ -1,6 +1,7 @@
 import collections
 
 import brute
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
 
@@ -96,3 +97,12 @@ def test_repeated_rows_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "a", 10)] * 30 + [(None, "b", 5)] * 3 + [(2, None, 0)], "doc_id bigint, source string, size bigint")
     got = mixing.mix(df).collect()
     assert len(got) == 34 and sum(r.taken for r in got if r.source == "a") > 0
+
+
+def test_many_equal_rows_without_id(spark):
+    df = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a' AS source", "CAST(5 AS BIGINT) AS size").unionByName(spark.range(1000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'b', NULL) AS source", "id % 40 AS size"))
+    got = mixing.mix(df).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert sum(r.n for r in got) == 101_000
+    assert all(abs(r.taken - r.target) < 40 and r.most <= 3 for r in got)
+    again = mixing.mix(df.repartition(7)).groupBy("source", "size", "copies").count().collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixing.mix(df).groupBy("source", "size", "copies").count().collect()))

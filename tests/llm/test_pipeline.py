@@ -72,9 +72,12 @@ def test_extra_columns_with_clashing_names(spark, odd, tmp_path):
     docs.withColumns({n: F.lit(k) for k, n in enumerate(names)}).write.parquet(f"{tmp_path}/x/documents.parquet")
     out = stages(spark, f"{tmp_path}/x", tmp_path)
     assert all(out) and all(r[n] == k for r in out[3] for k, n in enumerate(names))
-    for f in queries.QUERIES.values():
-        if f.__name__ not in ("op2_url_filters", "op8_chat_format"):
+    for name, f in queries.QUERIES.items():
+        if name.startswith("op") and name not in ("op2_url_filters", "op8_chat_format", "op12_ranked_search", "op13_toxicity"):
             assert f(spark, f"{tmp_path}/x").count() == len(odd[0])
+    assert queries.QUERIES["quality_ablation"](spark, f"{tmp_path}/x").count() == 11
+    assert queries.QUERIES["mixing_targets"](spark, f"{tmp_path}/x").count() == len({r[2] for r in odd[0]})
+    assert queries.QUERIES["shard_totals"](spark, f"{tmp_path}/x").count() == 1
 
 
 def test_rows_of_one_id_and_without_id(spark, tmp_path):

@@ -84,3 +84,12 @@ def test_clashing_names_are_replaced(spark, tmp_path):
 
 def test_empty(spark, empty):
     assert sharding.op9_sharding(spark, empty).count() == 0
+
+
+def test_law_holds_for_equal_rows(spark, tmp_path):
+    df = spark.range(100_000).selectExpr("IF(id % 3 = 0, NULL, id) AS k", "CAST(14 AS BIGINT) AS size")
+    by = collections.defaultdict(list)
+    for r in sharding.shard_records(df, ("k",), "size", 24, str(tmp_path / "m")).collect():
+        by[r.shard].append(r.slot)
+    held = sorted(map(len, by.values()))
+    assert len(by) == 24 and held[-1] - held[0] <= 0.01 * held[0] + 100 and all(sorted(v) == list(range(len(v))) for v in by.values())

@@ -54,3 +54,26 @@ def test_hot_rows_without_id_and_lost_parts(spark, tmp_path):
 
 def test_empty(spark, empty):
     assert tokens.op6_token_counts(spark, empty).count() == 0
+
+
+def test_white_space_runs(monkeypatch):
+    import random
+    import re
+
+    lib, e, rng = library(), tokens.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, "<|endoftext|>"), random.Random(1)
+    for c in (" ", "\n", "\t", " \n", "a", "\u3000"):
+        x = c * (10**6 // len(c))
+        assert tokens.encoded_length(e, x, "<|endoftext|>", {}) == len(lib.encode(x, add_special_tokens=False).ids)
+    assert tokens.encoded_length(e, "\n" * 10**7, "<|endoftext|>", {}) == 5 * 10**6
+    monkeypatch.setattr(tokens, "_LONG", re.compile(tokens._LONG.pattern.replace("10000", "10")))
+    parts = ["a", " ", "\t", "\x1c" * 12, "é", "1", "!", "<|endoftext|>", "\r\n" * 9]
+    for _ in range(800):
+        x = "".join(rng.choice([*parts, *(c * rng.randrange(1, 60) for c in (" ", "\n", "\xa0", " \n"))]) for _ in range(rng.randrange(1, 12)))
+        assert tokens.encoded_length(e, x, "<|endoftext|>", {}) == len(lib.encode(x, add_special_tokens=False).ids), x
+
+
+def test_long_white_space_in_a_table(spark, tmp_path):
+    import conftest
+
+    rows = [(1, "a" + "\n" * 1_000_000 + "b", "s"), (2, " " * 2_000_000, "s"), (3, "plain", "s")]
+    agree(spark, conftest.write(spark, tmp_path, rows), [r[:2] for r in rows])

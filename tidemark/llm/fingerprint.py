@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.columns import cut, let, shingle_hashes, table, words
+from tidemark.llm.columns import cut, let, parted, shingle_hashes, table, words
 
 #: Words of a shingle, and hashes that a sketch keeps: the standard error of a resemblance r is sqrt(r (1 - r) / K).
 SHINGLE, K = 5, 128
@@ -14,6 +14,8 @@ SHINGLE, K = 5, 128
 BLOCK, MOST_BLOCKS = 128, 65_536
 #: Sampled places a block, and characters of a text that its place looks at.
 SAMPLE, PREFIX = 16, 16
+#: Repeats of a row that one task writes out.
+REPEATS = 10_000
 
 
 def sketch(text: Column, n: int = SHINGLE, k: int = K) -> Column:
@@ -58,9 +60,10 @@ def merge_by(df: DataFrame, key: str, sketch_column: str = "sketch", k: int = K)
 
 
 def place_key(doc_id: Column, text: Column) -> Column:
-    """A hexadecimal string in the order of documents: null ids below all others, then ids, then the first characters of the text."""
+    """A hexadecimal string in the order of documents: null ids below all others, then ids, then the first characters of the text, then its digest."""
+    text = F.coalesce(text, F.lit(""))
     number = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return F.concat(F.when(doc_id.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), number)), F.hex(F.substring(text, 1, PREFIX).cast("binary")))
+    return F.concat(F.when(doc_id.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), number)), F.hex(F.substring(text, 1, PREFIX).cast("binary")), F.lit("."), F.sha2(text.cast("binary"), 256))
 
 
 def block_bounds(docs: DataFrame) -> list[str]:
@@ -70,7 +73,8 @@ def block_bounds(docs: DataFrame) -> list[str]:
     if blocks == 1:
         return []
     keys = docs.select(place_key(F.col("doc_id"), F.col("text")).alias("k"))
-    keys = sorted(r.k for r in keys.sample(False, min(1.0, SAMPLE * blocks / n), 17).collect())
+    short = F.concat(F.substring_index("k", ".", 1), F.lit("."), F.substring(F.substring_index("k", ".", -1), 1, 8))
+    keys = sorted(r.k for r in keys.sample(False, min(1.0, SAMPLE * blocks / n), 17).select(short.alias("k")).collect())
     return sorted({keys[i * len(keys) // blocks] for i in range(1, blocks)}) if keys else []
 
 
@@ -79,12 +83,13 @@ def block_of(key: Column, bounds: list[str]) -> Column:
     if not bounds:
         return F.lit(0)
     every = F.split(F.lit(",".join(bounds)), ",")
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    # the key goes through the accumulator: a lambda that reads a column from outside leaves a constraint that outlives that column
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"), key.alias("key"))
 
     def halve(acc: Column, _: Column) -> Column:
         middle = F.shiftright(acc.lo + acc.hi, 1)
-        above = F.coalesce(F.get(every, middle) <= key, F.lit(False)) & (acc.lo < acc.hi)
-        return F.struct(F.when(above, middle + 1).otherwise(acc.lo).alias("lo"), F.when(above, acc.hi).otherwise(F.least(middle, acc.hi)).alias("hi"))
+        above = F.coalesce(F.get(every, middle) <= acc.key, F.lit(False)) & (acc.lo < acc.hi)
+        return F.struct(F.when(above, middle + 1).otherwise(acc.lo).alias("lo"), F.when(above, acc.hi).otherwise(F.least(middle, acc.hi)).alias("hi"), acc.key.alias("key"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda acc: acc.lo)
 
@@ -95,19 +100,43 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Documents are cut into blocks of about BLOCK at quantiles of their places, so ids may lie anywhere in the range of bigint. A block also gets a copy
     of the next block's first document, so the neighbour is always found in the block, by one shuffle of the texts. Bounds and heads of blocks
-    are at most MOST_BLOCKS short rows, which pass the driver and are broadcast. Equal doc_ids are in descending order of text; null ones come
-    last. Rows that agree in id and in the first PREFIX characters share a block; all others of one id, or of none, are cut apart too."""
+    are at most MOST_BLOCKS short rows, which pass the driver and are broadcast. Equal doc_ids are in descending order of their place keys, which end in a
+    digest of the text; null ones come last. Rows that agree in id and text follow one another: one of them, with their number, is placed, so repeats
+    never make a block large."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bounds = block_bounds(docs)
-    rows = docs.withColumn("key", place_key(F.col("doc_id"), F.col("text"))).withColumn("block", block_of(F.col("key"), bounds))
+    rows = once(docs.withColumn("key", place_key(F.col("doc_id"), F.col("text")))).withColumn("block", block_of(F.col("key"), bounds))
     heads = rows.groupBy("block").agg(F.max("key").alias("head"))
     after = W.partitionBy().orderBy(F.col("block").desc())
     chain = heads.select(F.col("block").alias("into"), F.coalesce(F.lead("head").over(after), F.first("head").over(after)).alias("head"))
-    ghosts = rows.join(F.broadcast(cut(chain)), F.col("key") == F.col("head")).select("doc_id", "text", F.col("into").alias("block"), F.lit(True).alias("ghost"))
-    near = rows.select("doc_id", "text", "block", F.lit(False).alias("ghost")).unionByName(ghosts).repartition("block").withColumn("sketch", sketch(F.col("text")))
-    order = W.partitionBy("block").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    found = near.withColumns({"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order), "next_sketch": F.lead("sketch").over(order)})
-    return found.where(~F.col("ghost")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    ghosts = rows.join(F.broadcast(cut(chain)), F.col("key") == F.col("head")).select("doc_id", "text", "key", "times", F.col("into").alias("block"), F.lit(True).alias("ghost"))
+    near = rows.select("doc_id", "text", "key", "times", "block", F.lit(False).alias("ghost")).unionByName(ghosts).repartition("block").withColumn("sketch", sketch(F.col("text")))
+    order = W.partitionBy("block").orderBy("ghost", F.col("key").desc())
+    found = near.withColumns({"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order), "next_sketch": F.lead("sketch").over(order)}).where(~F.col("ghost"))
+    last = found.withColumn("kind", F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    inner = F.col("kind") == 1  # all repeats but the last are followed by themselves
+    last = last.withColumns({"next_text": F.when(inner, F.coalesce("text", F.lit(""))).otherwise(F.col("next_text")), "next_sketch": F.when(inner, F.col("sketch")).otherwise(F.col("next_sketch"))})
+    return last.select("doc_id", "text", "sketch", "next_text", "next_sketch", F.when(inner, F.col("times") - 1).otherwise(F.lit(1)).cast("bigint").alias("times"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, key) with times; of rows that agree in key one stays. Repeats are looked for in hashes of the keys, and only rows that may be
+    repeated are grouped, on the map side first."""
+    hashed = rows.withColumn("_tm_key", F.xxhash64("key"))
+    again = cut(hashed.groupBy("_tm_key").agg(F.count("*").alias("m")).where("m > 1").select("_tm_key"))
+    if again.isEmpty():
+        return rows.withColumn("times", F.lit(1).cast("bigint"))
+    maybe, sure = parted(hashed, "_tm_key", again, "_tm_key")
+    one = maybe.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times")).select("doc_id", "text", "key", "times")
+    return one if sure is None else one.unionByName(sure.select("doc_id", "text", "key", F.lit(1).cast("bigint").alias("times")))
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """rows as often as their times says; large numbers are dealt to tasks in pieces of REPEATS."""
+    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / F.lit(REPEATS)).cast("bigint")))
+    few, many = rows.where(F.col("times") <= REPEATS), rows.where(F.col("times") > REPEATS)
+    pieces = many.withColumn("_piece", piece).repartition("_piece").withColumn("times", F.least(F.lit(REPEATS), F.col("times") - F.col("_piece") * REPEATS)).drop("_piece")
+    return few.unionByName(pieces).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("_copy", "times")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -122,6 +151,7 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     columns are left out; a single document is followed by itself."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    near = near.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
+    near = near.select("doc_id", "times", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
     a, e, b = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return near.select("doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), resemblance(a, e).alias("near_edited"), resemblance(a, b).alias("near_next"), distinct_shingles(a).alias("n_shingles_estimate"), containment(a, e).alias("contained_in_edited"))
+    out = near.select("doc_id", "times", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), resemblance(a, e).alias("near_edited"), resemblance(a, b).alias("near_next"), distinct_shingles(a).alias("n_shingles_estimate"), containment(a, e).alias("contained_in_edited"))
+    return expanded(out)

@@ -66,7 +66,7 @@ def _round_node(units: Column, seed: int) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         settled = (acc.rest.p < 1e-9) | (acc.rest.p > 1.0 - 1e-9)
-        draw = (F.pmod(F.xxhash64(F.lit(seed), acc.rest.id, acc.rest.twin, x.id, x.twin), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        draw = (F.pmod(F.xxhash64(F.lit(seed), acc.rest.id, acc.rest.twin, acc.rest["size"], x.id, x.twin, x["size"]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         duel = _fight(acc.rest, x, draw)
         sure = acc.rest.withField("p", F.round(acc.rest.p))
         return F.when(settled, F.struct(x.alias("rest"), F.concat(acc.done, F.array(sure)).alias("done"))).otherwise(F.struct(duel.rest.alias("rest"), F.concat(acc.done, F.array(duel.done)).alias("done")))
@@ -90,7 +90,7 @@ def _last_node(r: Column) -> Column:
 
 
 def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
-    """units (group, id, twin, size, p with 0 < p < 1) with p rounded to 0 or 1: (group, id, twin, copies).
+    """units (group, id, twin, size, p with 0 < p < 1) with p rounded to 0 or 1: (group, id, twin, size, copies). Id, twin and size tell the units of a group apart.
 
     Each level deals the units of a group, those of like size together, into nodes of about FAN_IN units by a hash of their id; a node
     rounds all but one. Those residuals, 1 / FAN_IN of the units, form the next level until a group has one node; see _last_node. Each
@@ -100,7 +100,7 @@ def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
     sum of p times size by less than one document, the last. Draws are hashes of seed and ids, so reruns agree."""
     sizes = units.groupBy(group).agg(F.count("*").alias("_n"))
     share = F.when(F.col("_n") > LAST, F.least(F.lit(0.5), F.lit(float(SPARE)) / F.col("_n"))).otherwise(F.lit(0.0))
-    draw = (F.pmod(F.xxhash64(F.lit(seed - 1), "id", "twin"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    draw = (F.pmod(F.xxhash64(F.lit(seed - 1), "id", "twin", "size"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     marked = units.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).withColumn("_wait", draw < share).select(*units.columns, "_wait")
     spare = cut(marked.where("_wait").drop("_wait"))
     out, level, now = None, 0, marked.where(~F.col("_wait")).drop("_wait")
@@ -109,14 +109,14 @@ def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
         now = now.withColumn("_band", band)
         nodes = now.groupBy(group, "_band").agg(F.count("*").alias("_units"))
         nodes = nodes.withColumn("_last", F.sum("_units").over(W.partitionBy(group)) <= LAST).withColumn("_nodes", F.ceil(F.col("_units") / F.lit(FAN_IN))).drop("_units")
-        key = F.pmod(F.xxhash64(F.lit(seed + level), "id", "twin"), F.col("_nodes"))
+        key = F.pmod(F.xxhash64(F.lit(seed + level), "id", "twin", "size"), F.col("_nodes"))
         joined = now.join(nodes.withColumnRenamed(group, "_g").withColumnRenamed("_band", "_b"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_band") == F.col("_b"))).drop("_g", "_b")
         ending = nodes.where("_last").select(F.col(group).alias("_g")).distinct()
         late = spare.join(ending, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
         joined = joined.unionByName(late.withColumns({"_band": F.lit(0), "_last": F.lit(True), "_nodes": F.lit(1).cast("bigint")}))
         dealt = joined.groupBy(group, F.when(~F.col("_last"), F.col("_band")).alias("_band"), "_last", F.when(~F.col("_last"), key).alias("_node")).agg(F.sort_array(F.collect_list(F.struct("size", "id", "twin", "p"))).alias("u"))
         rounded = cut(dealt.select(group, "_last", _round_node(F.col("u"), seed + level).alias("r")))
-        settled = rounded.select(group, F.explode(F.when(F.col("_last"), _last_node(F.col("r"))).otherwise(F.col("r.done"))).alias("d")).select(group, "d.id", "d.twin", F.col("d.p").cast("int").alias("copies"))
+        settled = rounded.select(group, F.explode(F.when(F.col("_last"), _last_node(F.col("r"))).otherwise(F.col("r.done"))).alias("d")).select(group, "d.id", "d.twin", "d.size", F.col("d.p").cast("int").alias("copies"))
         out = settled if out is None else out.unionByName(settled)
         now = rounded.where(~F.col("_last")).select(group, "r.rest.id", "r.rest.twin", "r.rest.size", "r.rest.p")
         if now.isEmpty():
@@ -124,24 +124,43 @@ def pivotal(units: DataFrame, group: str, seed: int) -> DataFrame:
         level += 1
 
 
+#: Equal rows that one task numbers.
+REPEATS = 10_000
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with _twin, a number from 1 among equal rows. Equal rows are counted, on the map side first, and written out anew, REPEATS a task, so a row that is
+    there very often, such as rows without an id, isn't one task."""
+    counted = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_m")))
+    few, many = counted.where(F.col("_m") <= REPEATS), counted.where(F.col("_m") > REPEATS)
+    first = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_m") - 1) / F.lit(REPEATS)).cast("bigint"))
+    few = few.withColumn("_twin", F.explode(F.sequence(F.lit(1).cast("bigint"), "_m")))
+    pieces = many.withColumn("_piece", F.explode(first)).repartition("_piece").withColumn("_from", F.col("_piece") * REPEATS + 1)
+    many = pieces.withColumn("_twin", F.explode(F.sequence("_from", F.least(F.col("_m"), F.col("_from") + REPEATS - 1)))).drop("_piece", "_from")
+    return few.unionByName(many).drop("_m")
+
+
 def mix(sizes: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: int = 7) -> DataFrame:
-    """sizes with source_size, target, copies and taken (copies times size).
+    """(key, source, size) with source_size, target, copies and taken (copies times size).
 
     A source's rate is target / source_size. Every document gets the whole part of its rate; the fraction is decided by pivotal
-    rounding. Needs one row a key for the draws to be told apart; repeated rows get a number. Empty documents are taken 0 times their
-    size. An empty table gives an empty one. Columns of sizes with these names are replaced."""
-    sizes = sizes.drop("source_size", "target", "copies", "taken")
-    goals = targets(sizes, source, size)
-    numbered = sizes.withColumn("_twin", F.row_number().over(W.partitionBy(key).orderBy(*[F.col(c) for c in sizes.columns if c != key])))
-    rows = numbered.join(goals.withColumnRenamed(source, "_src"), F.col(source).eqNullSafe(F.col("_src"))).drop("_src")
+    rounding. Rows that agree in key, source and size are told apart by a number among them. Empty documents are taken 0 times their
+    size. An empty table gives an empty one. Other columns, of types that can be grouped by, stay; those of sizes with the new names are replaced."""
+    others = [c for c in sizes.columns if c not in (key, source, size, "source_size", "target", "copies", "taken")]
+    unit = F.struct(key, *others) if others else F.col(key)
+    sizes = sizes.select(unit.alias("_key"), F.col(source).alias("_src"), F.col(size).alias("_size"))
+    goals = targets(sizes, "_src", "_size").withColumnRenamed("_src", "_of")
+    rows = told_apart(sizes).join(goals, F.col("_src").eqNullSafe(F.col("_of"))).drop("_of")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     rows = rows.withColumn("_whole", F.floor(rate + 1e-9).cast("int")).withColumn("_p", F.greatest(rate - F.col("_whole"), F.lit(0.0)))
     rows = cut(rows)
-    units = rows.where((F.col("_p") > 1e-9) & (F.col(size) > 0)).select(F.col(source).alias("_grp"), F.col(key).alias("id"), F.col("_twin").alias("twin"), F.col(size).alias("size"), F.col("_p").alias("p"))
-    more = pivotal(units, "_grp", seed).select(F.col("id").alias("_id"), F.col("twin").alias("_tw"), F.col("copies").alias("_more"))
-    done = rows.join(more, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_tw")), "left")
+    units = rows.where((F.col("_p") > 1e-9) & (F.col("_size") > 0)).select(F.col("_src").alias("_grp"), F.col("_key").alias("id"), F.col("_twin").alias("twin"), F.col("_size").alias("size"), F.col("_p").alias("p"))
+    more = pivotal(units, "_grp", seed).select("_grp", F.col("id").alias("_id"), F.col("twin").alias("_tw"), F.col("size").alias("_sz"), F.col("copies").alias("_more"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_tw")) & (F.col("_size") == F.col("_sz")) & F.col("_src").eqNullSafe(F.col("_grp"))
     copies = F.col("_whole") + F.coalesce("_more", F.lit(0))
-    return done.withColumn("copies", copies).withColumn("taken", (copies * F.col(size)).cast("bigint")).drop("_whole", "_p", "_id", "_tw", "_more", "_twin")
+    done = rows.join(more, same, "left").withColumn("copies", copies)
+    named = [F.col("_key")[c].alias(c) for c in (key, *others)] if others else [F.col("_key").alias(key)]
+    return done.select(*named, F.col("_src").alias(source), F.col("_size").alias(size), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).cast("bigint").alias("taken"))
 
 
 def mixing_targets(spark, sf_dir: str) -> DataFrame:
