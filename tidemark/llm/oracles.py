@@ -74,4 +74,30 @@ OP8 = rf"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned, string_agg(role, ',' ORDER BY turn, role, text) AS roles, sum({len(START) + len(END) + 2} + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + {_ESCAPES.format(x="role")} + length(text) + {_ESCAPES.format(x="text")}) AS chars FROM a GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CASE roles WHEN 'user,assistant' THEN '{_mark("prompt", "response")}' WHEN 'system,user,assistant' THEN '{_mark("system", "instruction", "output")}' ELSE '{_mark("messages", "messages[]", "messages[].role", "messages[].content")}' END AS fingerprint FROM g"""
 
-ORACLE_SQL = {"op2_url_filters": OP2, "mixing_targets": TARGETS, "shard_totals": SHARDS, "op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}
+OP11 = r"""WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS v FROM (SELECT unnest(range(256)) AS i) q) q),
+f AS (SELECT doc_id, source, lang, n_chars, text, coalesce(strlen(source) || ':' || source, '-') AS fs, coalesce(strlen(lang) || ':' || lang, '-') AS fl, coalesce(strlen(text) || ':' || text, '-') AS ft, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS fd FROM documents),
+l AS (SELECT doc_id, lang, sha256(fd || fs || fl || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || ft) AS leaf, CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 7 = 0 AND n_chars IS NOT NULL THEN sha256(fd || fs || fl || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || ft) END AS tampered FROM f, tbl),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+n(lang, lvl, pos, d) AS (SELECT lang, 0, pos, leaf FROM p UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS k FROM n) q WHERE k > 1 GROUP BY lang, lvl, pos // 2),
+s AS (SELECT lang, max(lvl) AS h, arg_max(d, lvl) AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM n GROUP BY lang),
+t(lvl, pos, d) AS (SELECT 0, pos, subroot FROM s UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS k FROM t) q WHERE k > 1 GROUP BY lvl, pos // 2),
+r AS (SELECT max(lvl) AS h, arg_max(d, lvl) AS root FROM t),
+k AS (SELECT CAST(unnest(range(62)) AS INT) AS lv),
+a AS (SELECT p.lang, p.pos, k.lv, CASE WHEN (p.pos >> k.lv) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(n.d, '') AS step FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN k ON k.lv < s.h LEFT JOIN n ON n.lang IS NOT DISTINCT FROM p.lang AND n.lvl = k.lv AND n.pos = xor(p.pos >> k.lv, 1)),
+b AS (SELECT s.lang, k.lv, CASE WHEN (s.pos >> k.lv) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(t.d, '') AS step FROM s CROSS JOIN r JOIN k ON k.lv < r.h LEFT JOIN t ON t.lvl = k.lv AND t.pos = xor(s.pos >> k.lv, 1)),
+u AS (SELECT lang, list(step ORDER BY lv) AS steps FROM b GROUP BY lang),
+w AS (SELECT p.doc_id, p.leaf, coalesce(p.tampered, p.leaf) AS start, s.subroot, r.root, coalesce(g.steps, []) || coalesce(u.steps, []) AS steps FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN r LEFT JOIN (SELECT lang, pos, list(step ORDER BY lv) AS steps FROM a GROUP BY lang, pos) g ON g.lang IS NOT DISTINCT FROM p.lang AND g.pos = p.pos LEFT JOIN u ON u.lang IS NOT DISTINCT FROM p.lang),
+v AS (SELECT *, list_reduce(steps, lambda acc, x: CASE WHEN x[1] = 'L' THEN sha256(x[2:] || acc) ELSE sha256(acc || x[2:]) END, start) AS folded_root FROM w)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM v"""
+
+OP12 = r"""WITH t AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT row, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY row),
+c AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT item_id, p.row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN n ON n.row = p.row, c GROUP BY item_id, p.row, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+ORACLE_SQL = {"op11_merkle_manifest": OP11, "op12_ranked_search": OP12, "op2_url_filters": OP2, "mixing_targets": TARGETS, "shard_totals": SHARDS, "op3_ngram_jaccard": OP3, "op4_substring_dedup": OP4, "op8_chat_format": OP8, "op10_quality_rules": OP10, "quality_ablation": ABLATION}
