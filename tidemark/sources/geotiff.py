@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,28 +21,42 @@ _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 GEOREF = "struct<xtr: double, xscale: double, xshear: double, ytr: double, yshear: double, yscale: double>"
 
 
+#: Bits of the codes after a clear code, and where each begins: the width grows as entries are added, one code early.
+_WIDTH = np.array([9, *[9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12 for n in range(258, 4096)]], np.int64)
+_BEGIN = np.concatenate((np.zeros(1, np.int64), np.cumsum(_WIDTH)[:-1]))
+
+
 def _lzw(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, highest bit first, the width growing one code early."""
-    out = bytearray()
-    table: list[bytes] = []
-    width, before, bits, held = 9, b"", 0, 0
-    for byte in data:
-        held, bits = (held << 8) | byte, bits + 8
-        while bits >= width:
-            code = (held >> (bits - width)) & ((1 << width) - 1)
-            bits -= width
-            held &= (1 << bits) - 1
-            if code == 256:
-                table, width, before = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
-                continue
-            if code == 257:
-                return bytes(out)
-            entry = table[code] if code < len(table) else before + before[:1]
-            out += entry
-            if before:
-                table.append(before + entry[:1])
-            before = entry
-            width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    """TIFF's LZW: codes of 9 to 12 bits, highest bit first. Between two clear codes the place and width of every code are known beforehand, so NumPy cuts
+    them out; and the string of an entry is what the output holds where its code stood, and one byte more, so each code is one copy."""
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))).astype(np.int64)
+    out, at, limit = bytearray(), 0, 8 * len(data)
+    while at + 9 <= limit:
+        n = int(np.searchsorted(_BEGIN + _WIDTH, limit - at, "right"))
+        bit = at + _BEGIN[:n]
+        i = bit >> 3
+        word = (raw[i] << 24) | (raw[i + 1] << 16) | (raw[i + 2] << 8) | raw[i + 3]
+        codes = (word >> (32 - _WIDTH[:n] - (bit & 7))) & ((1 << _WIDTH[:n]) - 1)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else n
+        where, length = [0] * n, [0] * n
+        for k, code in enumerate(codes[:n].tolist()):
+            where[k] = len(out)
+            if code < 256:
+                out.append(code)
+            elif code - 258 < k - 1:
+                w = where[code - 258]
+                out += out[w : w + length[code - 258] + 1]
+            elif code - 258 == k - 1:  # the entry that this code completes
+                w = where[k - 1]
+                out += out[w : w + length[k - 1]]
+                out.append(out[w])
+            else:
+                raise ValueError("a code without an entry")
+            length[k] = len(out) - where[k]
+        if not len(stop) or codes[n] == 257:
+            break
+        at += int(_BEGIN[n] + _WIDTH[n])
     return bytes(out)
 
 
@@ -62,54 +78,85 @@ def _packbits(data: bytes) -> bytes:
 _DECODE = {1: bytes, 5: _lzw, 8: zlib.decompress, 32773: _packbits, 32946: zlib.decompress}
 
 
-def decode(raw: bytes) -> tuple[np.ndarray, tuple, int | None]:
-    """(array of rows, columns, bands; georeference or None; EPSG or None) of a baseline TIFF in strips or tiles."""
-    end = {b"II": "<", b"MM": ">"}[raw[:2]]
-    if struct.unpack(f"{end}H", raw[2:4])[0] != 42:
+@dataclass
+class Layout:
+    """Where the strips or tiles of a TIFF lie and what they hold."""
+
+    h: int
+    w: int
+    bands: int
+    dtype: np.dtype
+    planar: int
+    predictor: int
+    how: Callable[[bytes], bytes]
+    tiled: bool
+    bw: int
+    bh: int
+    offsets: tuple
+    counts: tuple
+    georef: tuple | None
+    epsg: int | None
+
+    def spot(self, k: int) -> tuple[int | None, int, int]:
+        """(band, or None where a block has all; first row; first column) of block k."""
+        across, down = -(-self.w // self.bw), -(-self.h // self.bh)
+        plane, cell = divmod(k, across * down)
+        return (None if self.planar == 1 else plane), (cell // across) * self.bh, (cell % across) * self.bw
+
+    def block(self, k: int, raw: bytes) -> np.ndarray:
+        """(rows, columns, bands) of block k, cut at the image's edges."""
+        _, y, x = self.spot(k)
+        rows, depth = self.bh if self.tiled else min(self.bh, self.h - y), self.bands if self.planar == 1 else 1
+        a = np.frombuffer(self.how(raw)[: rows * self.bw * depth * self.dtype.itemsize], self.dtype).reshape(rows, self.bw, depth)
+        if self.predictor == 2:
+            a = np.cumsum(a, axis=1, dtype=self.dtype)
+        return a[: self.h - y, : self.w - x]
+
+
+def layout(read: Callable[[int, int], bytes]) -> Layout:
+    """The layout of a baseline TIFF whose bytes read(offset, number) gives; only its directory is read."""
+    end = {b"II": "<", b"MM": ">"}.get((head := read(0, 8))[:2])
+    if end is None or struct.unpack(f"{end}H", head[2:4])[0] != 42:
         raise ValueError("not a classic TIFF")
-    at = struct.unpack(f"{end}I", raw[4:8])[0]
+    at = struct.unpack(f"{end}I", head[4:8])[0]
     tags: dict[int, tuple] = {}
-    for i in range(struct.unpack(f"{end}H", raw[at : at + 2])[0]):
-        tag, kind, n = struct.unpack(f"{end}HHI", raw[at + 2 + 12 * i : at + 10 + 12 * i])
+    n_tags = struct.unpack(f"{end}H", read(at, 2))[0]
+    entries = read(at + 2, 12 * n_tags)
+    for i in range(n_tags):
+        tag, kind, n = struct.unpack(f"{end}HHI", entries[12 * i : 12 * i + 8])
         size = _SIZES.get(kind, 1) * n
-        place = at + 10 + 12 * i if size <= 4 else struct.unpack(f"{end}I", raw[at + 10 + 12 * i : at + 14 + 12 * i])[0]
         if kind in _CODES:
-            tags[tag] = struct.unpack(f"{end}{n}{_CODES[kind]}", raw[place : place + size])
+            value = entries[12 * i + 8 : 12 * i + 8 + size] if size <= 4 else read(struct.unpack(f"{end}I", entries[12 * i + 8 : 12 * i + 12])[0], size)
+            tags[tag] = struct.unpack(f"{end}{n}{_CODES[kind]}", value)
     w, h, bands = tags[256][0], tags[257][0], tags.get(277, (1,))[0]
     kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    dtype = np.dtype(f"{end}{kind}{tags.get(258, (8,))[0] // 8}")
-    planar, predictor, how = tags.get(284, (1,))[0], tags.get(317, (1,))[0], _DECODE[tags.get(259, (1,))[0]]
     tiled = 324 in tags
-    offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     bw, bh = (tags[322][0], tags[323][0]) if tiled else (w, min(tags.get(278, (h,))[0], h))
-    across, down, depth = -(-w // bw), -(-h // bh), bands if planar == 1 else 1
-    out = np.zeros((h, w, bands), dtype)
-    for k, (o, n) in enumerate(zip(offsets, counts, strict=True)):
-        plane, cell = divmod(k, across * down)
-        y, x = (cell // across) * bh, (cell % across) * bw
-        rows = bh if tiled else min(bh, h - y)
-        block = np.frombuffer(how(raw[o : o + n])[: rows * bw * depth * dtype.itemsize], dtype).reshape(rows, bw, depth)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype)
-        part = block[: h - y, : w - x]
-        out[y : y + part.shape[0], x : x + part.shape[1], slice(None) if planar == 1 else slice(plane, plane + 1)] = part
     scale, tie, keys = tags.get(33550), tags.get(33922), tags.get(34735)
     georef = (tie[3] - tie[0] * scale[0], scale[0], 0.0, tie[4] + tie[1] * scale[1], 0.0, -scale[1]) if scale and tie else None
     if 34264 in tags:
         m = tags[34264]
         georef = (m[3], m[0], m[1], m[7], m[4], m[5])
     found = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0} if keys else {}
-    return out, georef, found.get(3072) or found.get(2048)
+    offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    dtype = np.dtype(f"{end}{kind}{tags.get(258, (8,))[0] // 8}")
+    return Layout(h, w, bands, dtype, tags.get(284, (1,))[0], tags.get(317, (1,))[0], _DECODE[tags.get(259, (1,))[0]], tiled, bw, bh, offsets, counts, georef, found.get(3072) or found.get(2048))
 
 
-def encode(a: np.ndarray, georef: tuple | None = None, epsg: int | None = None) -> bytes:
-    """A TIFF of (rows, columns) or (rows, columns, bands), deflated in one strip."""
-    a = a[:, :, None] if a.ndim == 2 else a
-    a = a.astype(a.dtype.newbyteorder("<"))
-    body = zlib.compress(a.tobytes())
-    bits, form = a.dtype.itemsize * 8, {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-    n = a.shape[2]
-    tags = [(256, 4, (a.shape[1],)), (257, 4, (a.shape[0],)), (258, 3, (bits,) * n), (259, 3, (8,)), (262, 3, (1,)), (273, 4, (0,)), (277, 3, (n,)), (278, 4, (a.shape[0],)), (279, 4, (len(body),)), (284, 3, (1,)), (339, 3, (form,) * n)]
+def decode(raw: bytes) -> tuple[np.ndarray, tuple, int | None]:
+    """(array of rows, columns, bands; georeference or None; EPSG or None) of a baseline TIFF in strips or tiles."""
+    t = layout(lambda o, n: raw[o : o + n])
+    out = np.zeros((t.h, t.w, t.bands), t.dtype)
+    for k, (o, n) in enumerate(zip(t.offsets, t.counts, strict=True)):
+        (plane, y, x), part = t.spot(k), t.block(k, raw[o : o + n])
+        out[y : y + part.shape[0], x : x + part.shape[1], slice(None) if plane is None else slice(plane, plane + 1)] = part
+    return out, t.georef, t.epsg
+
+
+def directory(h: int, w: int, n: int, dtype: np.dtype, offsets: list[int], counts: list[int], rows: int, compressed: bool, georef: tuple | None, epsg: int | None) -> bytes:
+    """The head of a TIFF whose strips of so many rows follow it: header and directory. offsets are counted from the end of the head."""
+    bits, form = dtype.itemsize * 8, {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    tags = [(256, 4, (w,)), (257, 4, (h,)), (258, 3, (bits,) * n), (259, 3, (8 if compressed else 1,)), (262, 3, (1,)), (273, 4, tuple(offsets)), (277, 3, (n,)), (278, 4, (rows,)), (279, 4, tuple(counts)), (284, 3, (1,)), (339, 3, (form,) * n)]
     if georef:
         if georef[2] or georef[4]:
             tags.append((34264, 12, (georef[1], georef[2], 0.0, georef[0], georef[4], georef[5], 0.0, georef[3], 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)))
@@ -120,10 +167,11 @@ def encode(a: np.ndarray, georef: tuple | None = None, epsg: int | None = None)
     tags.sort()
     head, extra, free = io.BytesIO(), io.BytesIO(), 8 + 2 + 12 * len(tags) + 4
     head.write(b"II*\0" + struct.pack("<IH", 8, len(tags)))
-    sizes = [len(struct.pack(f"<{len(v)}{_CODES[k]}", *v)) for _, k, v in tags]
-    data_at = free + sum(s for s in sizes if s > 4)
+    data_at = free + sum(s for s in (struct.calcsize(f"<{len(v)}{_CODES[k]}") for _, k, v in tags) if s > 4)
+    if data_at + max((o + c for o, c in zip(offsets, counts, strict=True)), default=0) >= 1 << 32:
+        raise ValueError("an image of 4 GB or more is no classic TIFF")
     for tag, kind, v in tags:
-        v = (data_at,) if tag == 273 else v
+        v = tuple(data_at + o for o in v) if tag == 273 else v
         raw = struct.pack(f"<{len(v)}{_CODES[kind]}", *v)
         head.write(struct.pack("<HHI", tag, kind, len(v)))
         if len(raw) > 4:
@@ -131,7 +179,15 @@ def encode(a: np.ndarray, georef: tuple | None = None, epsg: int | None = None)
             extra.write(raw)
         else:
             head.write(raw.ljust(4, b"\0"))
-    return head.getvalue() + b"\0\0\0\0" + extra.getvalue() + body
+    return head.getvalue() + b"\0\0\0\0" + extra.getvalue()
+
+
+def encode(a: np.ndarray, georef: tuple | None = None, epsg: int | None = None) -> bytes:
+    """A TIFF of (rows, columns) or (rows, columns, bands), deflated in one strip."""
+    a = a[:, :, None] if a.ndim == 2 else a
+    a = a.astype(a.dtype.newbyteorder("<"))
+    body = zlib.compress(a.tobytes())
+    return directory(*a.shape, a.dtype, [0], [len(body)], a.shape[0], True, georef, epsg) + body
 
 
 def read_rasters(spark: SparkSession, folder: str, suffix: str = "_3B_AnalyticMS_toar_clip.tif") -> DataFrame:
