@@ -253,7 +253,7 @@ def test_feature_swap(spark):
 
 def test_buffer_grows_with_radius(spark):
     p = spark.createDataFrame([("a", 10.0, 10.0), ("a", 0.0, 5.0), ("a", 99.0, 1.0)], "line string, r double, c double")
-    size = spark.createDataFrame([(20, 20)], "h int, w int")
+    size = spark.createDataFrame([("a", 20, 20)], "line string, h int, w int")
     small, large = ({(r.r, r.c) for r in raster.buffer(p, size, k).collect()} for k in (2, 4))
     assert small < large and len(small) == 13
 
@@ -481,7 +481,8 @@ def test_a_day_of_seconds_is_interpolated_quickly(spark):
 
 
 def test_small_regions_against_the_array_version(spark):
-    from tidemark.operators import kernels, raster
+    import plain_site as kernels
+    from tidemark.operators import raster
 
     rng = np.random.default_rng(4)
     images = {name: rng.random((30, 40)) < share for name, share in (("a", 0.55), ("b", 0.2), ("c", 1.0))}
@@ -554,3 +555,21 @@ def test_reprojection(spark):
     for pair in ((4326, 2193), (32661, 4326)):
         with pytest.raises(ValueError):
             geo.reproject(F.col("x"), F.col("y"), *pair)
+
+
+def test_regions_over_tile_borders(spark):
+    rng = np.random.default_rng(12)
+    images = {"a": rng.random((31, 40)) < 0.59, "b": rng.random((9, 64)) < 0.5, "c": np.ones((20, 20), bool)}
+    rows = [(n, r, c, int(m[r, c])) for n, m in images.items() for r in range(m.shape[0]) for c in range(m.shape[1])]
+    df = spark.createDataFrame(rows, "image_id string, r int, c int, cls int")
+    for diagonal in (False, True):
+        labels = []
+        for tile in (1000, 8, 3):
+            got = {}
+            for x in regions.regions(df, diagonal, tile).collect():
+                for c in range(x.c0, x.c1 + 1):
+                    got[x.image_id, x.r, c] = (x.region, x["size"])
+            assert len(got) == len(rows)
+            names = {}
+            labels.append([(names.setdefault(got[q[:3]][0], q[:3]), got[q[:3]][1]) for q in rows])
+        assert labels[0] == labels[1] == labels[2]

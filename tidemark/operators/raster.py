@@ -152,9 +152,10 @@ def densify(points: DataFrame, min_distance: float) -> DataFrame:
 
 
 def buffer(points: DataFrame, size: DataFrame, radius: int) -> DataFrame:
-    """(line, r, c): pixels of the h x w grid within radius of a reference pixel. Reference pixels in row or column 0 or outside don't count."""
+    """(line, r, c): pixels of the h x w grid of the points' line within radius of one of them. Points (line, r, c) in row or column 0 or outside the grid don't count. size: line, h, w, a row a line."""
     h, w = F.col("h"), F.col("w")
-    inside = points.select("line", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct().crossJoin(F.broadcast(size)).where((F.col("r") > 0) & (F.col("c") > 0) & (F.col("r") < h) & (F.col("c") < w))
+    whole = points.select("line", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).distinct()
+    inside = whole.join(size.select("line", "h", "w"), "line").where((F.col("r") > 0) & (F.col("c") > 0) & (F.col("r") < h) & (F.col("c") < w))
     spread = F.sequence(F.lit(-radius), F.lit(radius))
     disk = inside.withColumn("dr", F.explode(spread)).withColumn("dc", F.explode(spread)).where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
     out = disk.select("line", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "h", "w").where((F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < h) & (F.col("c") < w))

@@ -1,12 +1,14 @@
-"""Connected regions of rasters as joins: runs of rows are nodes, overlaps with the row below are edges."""
+"""Connected regions of rasters on two levels: inside tiles in NumPy, across tile borders as components of joined runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions.lineage import cut
+from tidemark.functions.shipping import ship_package
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,23 +31,81 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))).distinct())
 
 
-def runs(classes: DataFrame) -> DataFrame:
-    """(image_id, r, c0, c1, cls, node): the longest stretches of one class in the rows of the raster; node is the run's number, by image and place."""
-    w = W.partitionBy("image_id", "r").orderBy("c")
-    fresh = F.when((F.lag("cls").over(w) == F.col("cls")) & (F.lag("c").over(w) == F.col("c") - 1), 0).otherwise(1)
-    marked = classes.select("image_id", "r", "c", "cls").withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
-    found = marked.groupBy("image_id", "r", "_run", "cls").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    return found.select("image_id", "r", "c0", "c1", "cls", F.xxhash64("image_id", "r", "c0").alias("node"))
+#: Rows and columns of the tiles that are labelled apart.
+TILE = 256
+_RUNS = "image_id string, r int, c0 int, c1 int, cls int, rr int, rc int"
 
 
-def regions(classes: DataFrame, diagonal: bool = False) -> DataFrame:
-    """runs with region, the smallest node of the 4-connected region of one class, and its size in pixels. diagonal: corners connect, too."""
+def _labelled(r: np.ndarray, c: np.ndarray, cls: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """(r, c0, c1, cls, rr, rc) of the runs of one tile's pixels: rows' longest stretches of one class, and the first pixel of the connected region each is in. Runs are found and matched with those of the row below
+    in NumPy; only matches are followed one by one."""
+    top, left = int(r.min()), int(c.min())
+    w = int(c.max()) - left + 1
+    grid = np.full((int(r.max()) - top + 1, w + 1), np.iinfo(np.int64).min)
+    grid[r - top, c - left] = cls
+    flat = grid.ravel()  # a column that belongs to no run ends each row
+    start = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    end, value = np.append(start[1:], len(flat)), flat[start]
+    real = value != np.iinfo(np.int64).min
+    row, c0, c1, value = start[real] // (w + 1), start[real] % (w + 1), (end[real] - 1) % (w + 1), value[real]
+    wide = w + 4  # room beside a row, so that reaching out of it meets no other row
+    lo = np.searchsorted(row * wide + c1 + 2, (row + 1) * wide + c0 + 2 - reach)
+    hi = np.searchsorted(row * wide + c0 + 2, (row + 1) * wide + c1 + 2 + reach, "right")
+    n = np.maximum(hi - lo, 0)
+    above = np.repeat(np.arange(len(row)), n)
+    below = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    same = value[above] == value[below]
+    root = list(range(len(row)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(above[same].tolist(), below[same].tolist(), strict=True):
+        p, q = find(i), find(j)
+        root[max(p, q)] = min(p, q)
+    first = np.array([find(i) for i in range(len(row))], np.int64)
+    return row + top, c0 + left, c1 + left, value, row[first] + top, c0[first] + left
+
+
+def runs(classes: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """(image_id, r, c0, c1, cls, node): the stretches of one class in the rows of each tile of the raster; node numbers the connected region of its tile that a run is in."""
+
+    def label(group: pa.Table) -> pa.Table:
+        r, c, v = (group.column(k).to_numpy().astype(np.int64) for k in ("r", "c", "cls"))
+        found = _labelled(r, c, v, int(diagonal))
+        return pa.Table.from_arrays([pa.array([group.column("image_id")[0].as_py()] * len(found[0]), pa.string()), *[pa.array(x.astype(np.int32)) for x in found]], names=[f.split()[0] for f in _RUNS.split(", ")])
+
+    ship_package(classes.sparkSession)
+    kind = classes.schema["image_id"].dataType.simpleString()
+    own = classes.select(F.col("image_id").cast("string").alias("image_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("cls").cast("int").alias("cls"))
+    found = own.groupBy("image_id", F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc")).applyInArrow(label, _RUNS)
+    return found.select(F.col("image_id").cast(kind).alias("image_id"), "r", "c0", "c1", "cls", F.xxhash64("image_id", "rr", "rc").alias("node"))
+
+
+def regions(classes: DataFrame, diagonal: bool = False, tile: int = TILE) -> DataFrame:
+    """runs with region, which is the same in all runs of a 4-connected region of one class, and the region's size in pixels. diagonal: corners connect, too.
+
+    Two levels: each tile is labelled by itself, then only runs at tile borders meet those across, and components are over the tiles' regions there. Rounds depend on the tiles a region crosses, not on
+    its pixels; an image of one tile needs none."""
     reach = int(diagonal)
-    found = cut(runs(classes))
-    above, below = found.alias("a"), found.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.cls") == F.col("b.cls")) & (F.col("a.c0") <= F.col("b.c1") + reach) & (F.col("b.c0") <= F.col("a.c1") + reach)
-    roots = components(above.join(below, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    named = cut(found.join(roots, "node", "left").withColumn("region", F.coalesce("root", "node")).drop("root"))
+    found = cut(runs(classes, diagonal, tile))
+
+    def meet(a: DataFrame, b: DataFrame, touch: Column) -> DataFrame:
+        x, y = a.alias("a"), b.alias("b")
+        return x.join(y, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.cls") == F.col("b.cls")) & touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    low, high = found.where(F.pmod(F.col("r"), F.lit(tile)) == tile - 1), found.where(F.pmod(F.col("r"), F.lit(tile)) == 0)
+    right, left = found.where(F.pmod(F.col("c1"), F.lit(tile)) == tile - 1), found.where(F.pmod(F.col("c0"), F.lit(tile)) == 0)
+    down = meet(low, high, (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.c0") <= F.col("b.c1") + reach) & (F.col("b.c0") <= F.col("a.c1") + reach))
+    steps = (-1, 0, 1) if diagonal else (0,)
+    across = meet(right.withColumn("_to", F.explode(F.array(*[F.col("r") + d for d in steps]))), left, (F.col("a._to") == F.col("b.r")) & (F.col("a.c1") + 1 == F.col("b.c0")))
+    edges = cut(down.unionByName(across).where("a <> b").distinct())
+    named = found.withColumn("region", F.col("node"))
+    if not edges.isEmpty():
+        named = found.join(components(edges), "node", "left").withColumn("region", F.coalesce("root", "node")).drop("root")
     sizes = named.groupBy("region").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("size"))
     return named.join(sizes, "region")
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.geometry import distance, extend_start
+from tidemark.functions.lineage import cut
 
 #: Up to so many transects are broadcast to the vertices; more meet them on a grid.
 BROADCAST_TRANSECTS = 200
@@ -123,11 +127,143 @@ def split_sections(vertices: DataFrame, max_gap: float = 10.0) -> DataFrame:
     return vertices.withColumn("_gap", gap).withColumn("section", F.sum("_gap").over(w)).drop("_gap")
 
 
+def polygon_edges(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, r0, c0, r1, c1): the edges of the polygon around pixels (key, r, c): each row's first pixel downwards, then each row's last upwards; a row of one pixel gives it once, and a row's gaps are filled by this."""
+    rows = pixels.groupBy(key, "r").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    down = W.partitionBy(key).orderBy("r")
+    wide = rows.where("first <> last")
+
+    def steps(df: DataFrame, c: str) -> DataFrame:
+        return df.select(key, F.col("r").alias("r0"), F.col(c).alias("c0"), F.lead("r").over(down).alias("r1"), F.lead(c).over(down).alias("c1")).where("r1 IS NOT NULL")
+
+    ends = rows.groupBy(key).agg(F.min(F.struct("r", "first")).alias("top"), F.max(F.struct("r", "first")).alias("low"), F.min(F.when(F.col("first") != F.col("last"), F.struct("r", "last"))).alias("wide_top"), F.max(F.when(F.col("first") != F.col("last"), F.struct("r", "last"))).alias("wide_low"))
+    bottom = ends.select(key, F.col("low.r").alias("r0"), F.col("low.first").alias("c0"), F.coalesce("wide_low.r", "top.r").alias("r1"), F.coalesce("wide_low.last", "top.first").alias("c1"))
+    top = ends.where("wide_top IS NOT NULL").select(key, F.col("wide_top.r").alias("r0"), F.col("wide_top.last").alias("c0"), F.col("top.r").alias("r1"), F.col("top.first").alias("c1"))
+    return steps(rows, "first").unionByName(steps(wide, "last")).unionByName(bottom).unionByName(top)
+
+
+def inside_polygons(points: DataFrame, edges: DataFrame, key: str, side: float) -> DataFrame:
+    """The points (key, image_id, seq, x, y) strictly inside their key's polygon, by the even-odd rule; points on the outline are outside. edges: (key, x0, y0, x1, y1).
+
+    An edge is put into every band of side height that it reaches, a point into its own, so a point meets only the edges of its band, in an equi-join; crossings to the right are counted on the map
+    side first. The bands should be about as high as edges are."""
+    y = F.col("y")
+    bands = edges.withColumn("_band", F.explode(F.sequence(F.floor(F.least("y0", "y1") / side), F.floor(F.greatest("y0", "y1") / side))))
+    met = points.withColumn("_band", F.floor(y / side)).join(bands, [key, "_band"])
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    crosses = (y0 > y) != (y1 > y)
+    right = crosses & (F.col("x") < F.try_divide((x1 - x0) * (y - y0), y1 - y0) + x0)
+    turn = (x1 - x0) * (y - y0) - (y1 - y0) * (F.col("x") - x0)
+    on = (F.abs(turn) < 1e-9) & F.col("x").between(F.least(x0, x1), F.greatest(x0, x1)) & y.between(F.least(y0, y1), F.greatest(y0, y1))
+    counted = met.groupBy(key, "image_id", "seq", "x", "y").agg(F.count_if(right).alias("_n"), F.bool_or(on).alias("_on"))
+    return counted.where((F.col("_n") % 2 == 1) & ~F.col("_on")).drop("_n", "_on")
+
+
+def kept_sections(vertices: DataFrame, min_length: float = 30.0, max_gap: float = 10.0, compat: bool = True) -> DataFrame:
+    """(image_id, section, i, n, x, y): vertices (image_id, seq, x, y) cut at gaps over max_gap into sections of min_length or more; i counts a section's n vertices from 0.
+
+    compat: a section lacks its last vertex, a line without a gap or without a section before its last gap is one section, and what follows the last section of two or more vertices is one more; else
+    sections are the runs of two or more vertices."""
+    by, runs_by = W.partitionBy("image_id").orderBy("seq"), W.partitionBy("image_id")
+    v = split_sections(vertices.select("image_id", "seq", "x", "y"), max_gap).withColumn("at", F.row_number().over(by) - 1)
+    runs = v.groupBy("image_id", "section").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    runs = runs.withColumns({"end": F.max("b").over(runs_by), "only": F.col("section") == F.max("section").over(runs_by)})
+    if not compat:
+        found = runs.where("b > a").select("image_id", "a", "b")
+    else:
+        inner = runs.where("b > a AND NOT only").select("image_id", "a", (F.col("b") - 1).alias("b"))
+        tail = runs.groupBy("image_id").agg(F.max("end").alias("end"), F.max(F.when((F.col("b") > F.col("a")) & ~F.col("only"), F.col("b"))).alias("gone"))
+        rest = tail.select("image_id", F.coalesce(F.col("gone") + 1, F.lit(0)).alias("a"), (F.col("end") - 1).alias("b"), "gone")
+        found = inner.unionByName(rest.where("gone IS NULL OR a <= b").drop("gone"))
+    # runs and sections are few to a vertex; each vertex meets the one it is in by the block of its place
+    block = 4096
+    spans = found.where("b > a").withColumn("section", F.row_number().over(W.partitionBy("image_id").orderBy("a")) - 1).withColumn("_k", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block))))
+    met = v.drop("section").withColumn("_k", F.floor(F.col("at") / block)).join(spans, ["image_id", "_k"]).where("at BETWEEN a AND b")
+    step = distance(F.col("x"), F.col("y"), F.lead("x").over(W.partitionBy("image_id", "section").orderBy("at")), F.lead("y").over(W.partitionBy("image_id", "section").orderBy("at")))
+    stepped = met.withColumn("_step", step)
+    long = stepped.groupBy("image_id", "section").agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias("_length")).where(F.col("_length") >= min_length).drop("_length")
+    return stepped.join(long, ["image_id", "section"]).select("image_id", "section", (F.col("at") - F.col("a")).alias("i"), (F.col("b") - F.col("a") + 1).alias("n"), "x", "y")
+
+
+def _between(rows: DataFrame, index: str, spots: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """spots with x and y of rows, linearly between the rows at floor(place) and the next: two equi-joins, so a long line is many tasks."""
+    low = F.floor(F.col(place) + 1e-12).cast("bigint")
+    s = spots.withColumns({"_lo": low, "_f": F.greatest(F.col(place) - low, F.lit(0.0))})
+    a = rows.select(*keys, F.col(index).cast("bigint").alias("_lo"), F.col("x").alias("_x0"), F.col("y").alias("_y0"))
+    b = rows.select(*keys, (F.col(index) - 1).cast("bigint").alias("_lo"), F.col("x").alias("_x1"), F.col("y").alias("_y1"))
+    met = s.join(a, [*keys, "_lo"]).join(b, [*keys, "_lo"], "left")
+    return met.withColumns({c: F.col(f"_{c}0") + F.when(F.col("_f") > 0, F.coalesce(F.col(f"_{c}1") - F.col(f"_{c}0"), F.lit(0.0)) * F.col("_f")).otherwise(0.0) for c in "xy"}).drop("_lo", "_f", "_x0", "_y0", "_x1", "_y1")
+
+
+def gaussian(sigma: float) -> list[float]:
+    """Weights of the neighbours from -radius to radius, radius int(4 sigma + 0.5)."""
+    radius = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [x / sum(w) for x in w]
+
+
+def _mirrored(i: int, n: int) -> int:
+    """Place i of a line of n that is mirrored at its ends, the end itself twice."""
+    i %= 2 * n
+    return i if i < n else 2 * n - 1 - i
+
+
+def smooth_sections(sections: DataFrame, sigma: float, window: int | None = None, samples: int = 100) -> DataFrame:
+    """(image_id, section, i, x, y) of sections (image_id, section, i, n, x, y), smoothed: a section is sampled at so many even parameters, the samples are averaged with Gaussian weights over the section
+    mirrored at its ends, and read again at the vertices' parameters.
+
+    window: instead, three samples around every window-th one are averaged among themselves, three by three, and these are the result. Samples meet vertices by equi-joins on (section, place), and
+    the averages are sums over (section, sample), so neither a long section nor one of many is a task of its own."""
+    keys, weights = ["image_id", "section"], gaussian(sigma)
+    radius, sections = len(weights) // 2, sections.withColumn("i", F.col("i").cast("bigint"))
+    heads = sections.where("i = 0").select(*keys, "n")
+    spots = heads.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_at", F.col("j") * (F.col("n") - 1) / F.lit(float(samples - 1)))
+    dense = _between(sections, "i", spots, keys, "_at").select(*keys, "n", "j", "x", "y")
+    # (from, to, weight): the share that a sample has in each result
+    if window is None:
+        shares = [(_mirrored(t + k - radius, samples), t, w) for t in range(samples) for k, w in enumerate(weights)]
+    else:
+        places = [(c - 1 + o, 3 * g + o, c) for g, c in enumerate(range(1, samples - (window - 1), window)) for o in range(3) if c + 1 < samples]
+        shares = [(c - 1 + _mirrored(o - (c - 1) + k - radius, 3), to, w) for o, to, c in places for k, w in enumerate(weights)]
+    given: dict[int, list] = {}
+    for a, b, w in shares:
+        given.setdefault(a, []).append((b, w))
+    listed = json.dumps([[{"to": b, "w": w} for b, w in given.get(j, [])] for j in range(samples)])
+    table = F.from_json(F.lit(listed), "array<array<struct<to: bigint, w: double>>>")
+    spread = dense.withColumn("_s", F.explode(F.get(table, F.col("j")))) if radius or window else dense.withColumn("_s", F.struct(F.col("j").cast("bigint").alias("to"), F.lit(1.0).alias("w")))
+    mean = cut(spread.groupBy(*keys, F.col("_s.to").alias("i")).agg(*[F.sum(F.col(c) * F.col("_s.w")).alias(c) for c in "xy"]))
+    if window is not None:
+        return mean.select(*keys, "i", "x", "y")
+    back = sections.select(*keys, "i", (F.col("i") * F.lit(float(samples - 1)) / F.greatest(F.col("n") - 1, F.lit(1))).alias("_at"))
+    return _between(mean, "i", back, keys, "_at").select(*keys, "i", "x", "y")
+
+
 def nearest_point(points: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each reference (ref, rx, ry) the nearest point (idx, x, y), the smallest idx on ties. A point set per group in column image_id."""
+    """For each reference (image_id, ref, rx, ry) the nearest point (image_id, idx, x, y) of its image, the smallest idx on ties; references of images without points have none.
+
+    Rings widen: round k puts points into cells of side first * 2^k and looks at the nine around a reference. A point found within one side is nearest, as all outside the nine are farther; other
+    references go on. Rounds grow with the logarithm of the extent over the first side, which comes from the points' mean density. References far from a dense crowd of points meet all of
+    the crowd that nine coarse cells hold."""
+    spread = points.groupBy("image_id").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in "xy"])
+    extent = spread.agg(F.min(F.greatest(F.sqrt(F.greatest(F.col("wx"), F.lit(1e-9)) * F.greatest(F.col("wy"), F.lit(1e-9)) / F.col("n")), F.lit(1e-6)))).first()[0]
+    if extent is None:
+        return refs.limit(0).select("image_id", "ref", F.lit(1).alias("idx"), F.lit(1.0).alias("d"))
+    side, out = 2 * float(extent), None
+    known = points.select("image_id").distinct()
+    left = cut(refs.select("image_id", "ref", "rx", "ry").join(known, "image_id", "left_semi"))
+    held = points.select("image_id", "idx", "x", "y")
     d = distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
-    best = points.join(refs, "image_id").groupBy("image_id", "ref").agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
-    return best.select("image_id", "ref", F.col("m.idx").alias("idx"), F.col("m.d").alias("d"))
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    while True:
+        around = left.withColumn("gx", F.explode(F.transform(steps, lambda i: F.floor(F.col("rx") / side) + i))).withColumn("gy", F.explode(F.transform(steps, lambda i: F.floor(F.col("ry") / side) + i)))
+        cells = held.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
+        best = around.join(cells, ["image_id", "gx", "gy"]).groupBy("image_id", "ref").agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
+        sure = cut(best.where(F.col("m.d") <= side).select("image_id", "ref", F.col("m.idx").alias("idx"), F.col("m.d").alias("d")))
+        out = sure if out is None else out.unionByName(sure)
+        left = cut(left.join(sure, ["image_id", "ref"], "left_anti"))
+        if left.isEmpty():
+            return out
+        side *= 2
 
 
 def prune(points: DataFrame, fraction: float, nearest: bool) -> DataFrame:

@@ -449,7 +449,7 @@ def _(spark, t):
 
 @query("shoreline_buffer", f"{_DENSE}, Z AS (SELECT max(r)+1 AS h, max(c)+1 AS w FROM G), I AS (SELECT DISTINCT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM X, Z WHERE r > 0 AND c > 0 AND r < h AND c < w) SELECT DISTINCT G.r, G.c FROM G JOIN I ON (G.r-I.r)*(G.r-I.r)+(G.c-I.c)*(G.c-I.c) <= 16", "T", "G")
 def _(spark, t, g):
-    size = g.agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    size = g.agg(F.lit("a").alias("line"), (F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
     return raster.buffer(raster.densify(_line(t), 4.0), size, 4).select("r", "c")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field, replace
 
@@ -9,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions.ids import item_time
+from tidemark.functions.lineage import cut
 from tidemark.functions.shipping import ship_package
-from tidemark.operators import kernels, ml, raster, series, vector
+from tidemark.operators import contours, kernels, ml, raster, series, vector
 
 
 @dataclass
@@ -29,6 +32,7 @@ class Settings:
     min_length: float = 30.0
     max_gap: float = 10.0
     sigma: float | None = 0.1
+    window: int | None = None
     along_dist: float = 35.0
     compat: bool = True
     reference: list[tuple[float, float]] = field(default_factory=list)
@@ -44,10 +48,8 @@ class Settings:
         return replace(self, **{names[k]: v for k, v in info.items() if k in names and v is not None})
 
 
-def inside_buffer(shape: tuple[int, int], s: Settings) -> np.ndarray | None:
-    """The buffer of the reference line on the image's grid; None without a reference point in bounds."""
-    if not s.reference:
-        return None
+def reference_pixels(s: Settings) -> list[tuple[int, int]]:
+    """The whole pixels (r, c) of the reference line, points a pixel apart put in between its vertices; a few for each metre of a line that the settings state."""
     xtr, xscale, xshear, ytr, yshear, yscale = s.georef
     det = xscale * yscale - xshear * yshear
     p = np.asarray(s.reference, float) - (xtr, ytr)
@@ -56,62 +58,38 @@ def inside_buffer(shape: tuple[int, int], s: Settings) -> np.ndarray | None:
     for a, b in zip(at, at[1:], strict=False):
         n = max(1, int(np.ceil(np.hypot(*(b - a)))))
         dense.append(a + (b - a) * np.arange(1, n + 1)[:, None] / n)
-    q = np.rint(np.concatenate(dense)).astype(int)
-    q = q[(q[:, 0] > 0) & (q[:, 1] > 0) & (q[:, 0] < shape[0]) & (q[:, 1] < shape[1])]
-    if not len(q):
-        return None
-    out = np.zeros(shape, bool)
-    k = s.buffer_radius
-    for dr in range(-k, k + 1):
-        half = int(np.sqrt(k * k - dr * dr))
-        for r, c in np.unique(q, axis=0):
-            if 0 <= r + dr < shape[0]:
-                out[r + dr, max(0, c - half) : c + half + 1] = True
-    return out
-
-
-def shoreline(water: np.ndarray, masked: np.ndarray, s: Settings) -> np.ndarray | None:
-    """(n, 2) world vertices in order, or None, of clean classes: contours of land, mask crop, georeference, buffer, sections."""
-    lines = kernels.contour_lines(~water)
-    if not lines:
-        return None
-    p = np.concatenate(lines)
-    cell = p.astype(int)
-    keep = (cell >= 2).all(1)
-    bad = kernels.dilate_square(masked, 2)
-    keep &= ~bad[cell[:, 0], cell[:, 1]]
-    p = p[keep]
-    xtr, xscale, xshear, ytr, yshear, yscale = s.georef
+    return [(int(r), int(c)) for r, c in np.unique(np.rint(np.concatenate(dense)).astype(int), axis=0)]
 
-    def world(rc: np.ndarray) -> np.ndarray:
-        return np.stack((xscale * rc[:, 1] + xshear * rc[:, 0] + xtr, yshear * rc[:, 1] + yscale * rc[:, 0] + ytr), 1)
 
-    area = inside_buffer(water.shape, s)
-    if area is not None and len(p):
-        if xshear or yshear:
-            raise ValueError("the buffer polygon of a sheared image isn't defined")
-        p = p[kernels.strictly_inside(world(p), world(kernels.buffer_polygon(area)))]
-    out = kernels.smooth_contour(world(p), s.sigma, s.min_length, s.max_gap, s.compat) if len(p) else None
-    return out if out is not None and len(out) else None
+def near_reference(points: DataFrame, size: DataFrame, s: Settings) -> DataFrame:
+    """points (image_id, seq, r, c) inside the polygon around the reference line's buffer on their image's grid; all points of images whose grid the line doesn't meet. Images of one size share their polygon."""
+    if not s.reference:
+        return points.select("image_id", "seq", "r", "c")
+    shaped = size.withColumn("line", F.concat_ws("x", "h", "w"))
+    shapes = shaped.select("line", "h", "w").distinct()
+    path = F.from_json(F.lit(json.dumps(reference_pixels(s))), "array<array<int>>")  # as long as the settings' line
+    at = shapes.select("line", F.explode(path).alias("p")).select("line", F.col("p")[0].alias("r"), F.col("p")[1].alias("c"))
+    edges = cut(vector.polygon_edges(raster.buffer(at, shapes, s.buffer_radius), "line")).select("line", F.col("c0").alias("x0"), F.col("r0").alias("y0"), F.col("c1").alias("x1"), F.col("r1").alias("y1"))
+    placed = points.join(shaped.select("image_id", "line"), "image_id").select("line", "image_id", "seq", F.col("c").alias("x"), F.col("r").alias("y"))
+    met = edges.select("line").distinct()
+    inside = vector.inside_polygons(placed, edges, "line", 1.0).unionByName(placed.join(met, "line", "left_anti"))
+    return inside.select("image_id", "seq", F.col("y").alias("r"), F.col("x").alias("c"))
 
 
 def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
-    """(image_id, seq, x, y) of class rasters (image_id, r, c, cls, masked). Morphology and regions are windows and joins over all images; what is left for
-    a group, one an image, is to bring its contour's vertices in order."""
-
-    def run(group: pa.Table) -> pa.Table:
-        r, c, cls, m = (group.column(k).to_numpy(zero_copy_only=False) if k == "masked" else group.column(k).to_numpy() for k in ("r", "c", "cls", "masked"))
-        water = np.zeros((r.max() + 1, c.max() + 1), bool)
-        masked = np.ones(water.shape, bool)
-        water[r, c], masked[r, c] = cls == 1, m
-        p = shoreline(water, masked, s)
-        p = np.zeros((0, 2)) if p is None else p
-        return pa.table({"image_id": pa.array([group.column("image_id")[0].as_py()] * len(p), pa.string()), "seq": pa.array(np.arange(len(p)), pa.int32()), "x": p[:, 0], "y": p[:, 1]})
-
-    ship_package(classes.sparkSession)
+    """(image_id, seq, x, y) of class rasters (image_id, r, c, cls, masked): contours of land in order, mask crop, buffer of the reference line, georeference, sections, smoothing. All steps are joins and
+    windows; no group holds an image, and tiles are what Python sees."""
     clean = raster.clean(classes.withColumn("cls", (F.col("cls") == 1).cast("int")), s.least_land, s.least_water, s.erosion, s.dilation)
-    narrow = clean.select(F.col("image_id").cast("string").alias("image_id"), "r", "c", "cls", "masked")
-    return narrow.groupBy("image_id").applyInArrow(run, "image_id string, seq int, x double, y double")
+    clean = cut(clean.select(F.col("image_id").cast("string").alias("image_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), (1 - F.col("cls")).alias("cls"), "masked"))
+    size = cut(clean.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")))
+    lines = contours.ordered(raster.segments(clean))
+    clear = vector.crop_by_mask(lines.select("image_id", "seq", "r", "c"), clean, size)
+    kept = near_reference(clear, size, s)
+    xtr, xscale, xshear, ytr, yshear, yscale = s.georef
+    world = kept.select("image_id", "seq", (F.lit(xscale) * F.col("c") + F.lit(xshear) * F.col("r") + F.lit(xtr)).alias("x"), (F.lit(yshear) * F.col("c") + F.lit(yscale) * F.col("r") + F.lit(ytr)).alias("y"))
+    sections = cut(vector.kept_sections(cut(world), s.min_length, s.max_gap, s.compat))
+    smooth = sections if s.sigma is None else vector.smooth_sections(sections, s.sigma, s.window)
+    return smooth.select("image_id", (F.row_number().over(W.partitionBy("image_id").orderBy("section", "i")) - 1).alias("seq"), "x", "y")
 
 
 def classified(pixels: DataFrame, model, s: Settings) -> DataFrame:
