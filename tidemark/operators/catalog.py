@@ -86,14 +86,33 @@ def order_requests(chunks: DataFrame, ring: list[tuple[float, float]], item_type
     return grouped.select(key, "chunk", "n_ids", F.to_json(body).alias("request"))
 
 
+#: Reference lines that are looked up as one array of the plan; more meet the scenes in a join.
+FEW_REFERENCES = 1_000
+
+
 def reference_for(scenes: DataFrame, references: DataFrame) -> DataFrame:
-    """scenes (id, ts, ...) with file: the reference line whose years and months hold the scene's, the first by name; else the default (a
-    file without a period), else null. References are a few rows a site."""
-    dated = references.withColumn("p", reference_period(F.col("file")))
-    inside = F.col("p").isNull() | (F.year("ts").between(F.col("p.year_from"), F.col("p.year_to")) & F.coalesce(F.when(F.col("p").isNotNull(), month_in_range(F.month("ts"), F.col("p.month_from"), F.col("p.month_to"))), F.lit(True)))
-    best = F.min(F.when(F.col("file").isNotNull(), F.struct(F.col("p").isNull().alias("fallback"), F.col("file"))))
-    found = scenes.join(F.broadcast(dated), inside, "left").groupBy("id", "ts").agg(best.alias("b"))
-    return found.select("id", "ts", F.col("b.file").alias("file"))
+    """scenes (id, ts) with file: the reference line whose years and months hold the scene's, the first by name; else the default (a
+    file without a period), else null. A row a scene, repeated ones included.
+
+    References are counted. Up to FEW_REFERENCES of them, in order, are one array, and a scene takes the first that fits: no shuffle. More meet the scenes by the years that their periods hold, defaults apart."""
+    p = F.col("p")
+    dated = references.select("file", reference_period(F.col("file")).alias("p")).where("file IS NOT NULL").select("file", *[p[k].alias(k) for k in ("year_from", "year_to", "month_from", "month_to")])
+    few = dated.orderBy(F.col("year_from").isNull(), "file").limit(FEW_REFERENCES + 1).collect()
+    own = scenes.select("id", "ts")
+    if len(few) > FEW_REFERENCES:
+        default = dated.where("year_from IS NULL").agg(F.min("file").alias("_default"))
+        years = dated.where("year_from IS NOT NULL").withColumn("_y", F.explode(F.sequence("year_from", "year_to")))
+        fits = F.when(month_in_range(F.month("ts"), F.col("month_from"), F.col("month_to")), F.col("file"))
+        numbered = own.withColumns({"_n": F.monotonically_increasing_id(), "_y": F.year("ts")})
+        found = numbered.join(years, "_y", "left").groupBy("_n", "id", "ts").agg(F.min(fits).alias("_f"))
+        return found.crossJoin(F.broadcast(default)).select("id", "ts", F.coalesce("_f", "_default").alias("file"))
+    every = F.from_json(F.lit(json.dumps([r.asDict() for r in few])), "array<struct<file: string, year_from: int, year_to: int, month_from: int, month_to: int>>")
+
+    def holds(r: Column) -> Column:
+        inside = F.year("ts").between(r.year_from, r.year_to) & month_in_range(F.month("ts"), r.month_from, r.month_to)
+        return r.year_from.isNull() | F.coalesce(inside, F.lit(False))
+
+    return own.withColumn("file", F.get(F.filter(every, holds), 0).getField("file"))
 
 
 def by_period(scenes: DataFrame, references: DataFrame) -> DataFrame:

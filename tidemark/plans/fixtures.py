@@ -10,6 +10,7 @@ RING = [(621450.0, 2352900.0), (621850.0, 2352950.0), (621800.0, 2353350.0), (62
 SQL = {
     "G": """SELECT 'G' AS image_id, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c, CAST(p_size * 20 AS INT) AS b, CAST(floor(p_retailprice) AS INT) AS g, CAST(p_size * 10 + 100 AS INT) AS red, CAST(floor((p_retailprice - 900) * 10 + CAST(0.5 AS DOUBLE)) AS INT) AS nir, (CASE WHEN (p_partkey * 7) % 23 = 0 THEN 2 WHEN p_partkey < 50 THEN 1 ELSE 0 END) <> 0 AS masked FROM {part}""",
     "L": """SELECT 'L' AS image_id, CAST(floor(p_partkey / CAST(50 AS DOUBLE)) AS INT) AS r, CAST(p_partkey % 50 AS INT) AS c, CASE WHEN p_partkey % 50 >= 25 + (p_size - 25) / CAST(5 AS DOUBLE) THEN 1 ELSE 0 END AS cls FROM {part}""",
+    "M": """SELECT concat('m', CAST(CAST(floor(event_id / CAST(400 AS DOUBLE)) AS INT) AS STRING)) AS image_id, CAST(floor(event_id % 400 / CAST(20 AS DOUBLE)) AS INT) AS r, CAST(event_id % 20 AS INT) AS c, CASE WHEN event_id % 20 >= 8 + (event_id * 7919 % 101) / CAST(25 AS DOUBLE) THEN 1 ELSE 0 END AS cls FROM {events}""",
     "V": """SELECT c_nationkey AS image_id, c_custkey AS seq, CAST(621400 + c_custkey % 500 AS DOUBLE) AS x, 2352900 + c_acctbal / 20 AS y FROM {customer}""",
     "T": """SELECT CAST(s_suppkey AS STRING) AS name, s_suppkey AS ord, CAST(621400 + 25 * s_suppkey AS DOUBLE) AS x0, CAST(2353300 AS DOUBLE) AS y0, CAST(621380 + 25 * s_suppkey + CASE WHEN s_suppkey % 10 = 3 THEN 30 ELSE 0 END AS DOUBLE) AS x1, CAST(2352950 AS DOUBLE) AS y1 FROM {supplier}""",
     "O": """SELECT ts, event_id AS image_id, event_type AS transect, value AS dist FROM {events}""",
@@ -22,7 +23,7 @@ _STAMP = {
     "spark": "concat(date_format(o_orderdate, 'yyyyMMdd_HHmmss'), '_', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), '_', lower(hex(o_custkey)))",
     "duckdb": "strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0') || '_' || lower(to_hex(o_custkey))",
 }
-TABLES = {"G": "part", "L": "part", "V": "customer", "T": "supplier", "O": "events", "H": "events", "P": "events", "B": "labels", "Q": "orders"}
+TABLES = {"G": "part", "L": "part", "M": "events", "V": "customer", "T": "supplier", "O": "events", "H": "events", "P": "events", "B": "labels", "Q": "orders"}
 
 #: Reference lines, dated and default.
 REFERENCES = ("bay_shoreline_1995-01_1992-1994_10-03.geojson", "bay_shoreline_1996-05_1992-1996_04-09.geojson", "bay_shoreline_1997-01_1997-1997_01-12.geojson", "bay_shoreline.geojson", "bay_shoreline_2001-01_2001-2002_01-06.geojson")

@@ -406,9 +406,20 @@ def _(spark, g):
     return f.select("row", "col", *[F.round(f"f_{n}", 4 if n.startswith("std") else 6).alias(f"f_{n}") for n in raster.FEATURES18])
 
 
-@query("features16", "SELECT r, c, masked, round(CASE WHEN NOT masked AND nir+g <> 0 THEN CAST(nir-g AS DOUBLE)/(nir+g) END, 6) AS nir_g, round(CASE WHEN NOT masked AND b+red <> 0 THEN CAST(b-red AS DOUBLE)/(b+red) END, 6) AS b_r, round(s.s, 6) AS std_red FROM G JOIN " + _std_sql("red").replace("r, c, sqrt", "r AS rr, c AS cc, sqrt", 1) + " s ON s.rr = G.r AND s.cc = G.c", "G")
+_CLEAR = "CASE WHEN NOT masked AND {a}+{b} <> 0 THEN CAST({a}-{b} AS DOUBLE)/({a}+{b}) END"
+_F16 = {"b": "b", "g": "g", "red": "red", "nir": "nir"} | {n: _CLEAR.format(a=a, b=b) for n, a, b in (("nir_g", "nir", "g"), ("nir_b", "nir", "b"), ("nir_r", "nir", "red"), ("b_r", "b", "red"))}
+
+
+def _features16_sql() -> str:
+    plain = [f"round(CAST({v} AS DOUBLE), 6) AS f_{k}" for k, v in _F16.items()]
+    joins = " ".join(f"JOIN {_std_sql(v).replace('r, c, sqrt', 'r AS rr, c AS cc, sqrt', 1)} s{i} ON s{i}.rr = G.r AND s{i}.cc = G.c" for i, v in enumerate(_F16.values()))
+    return f"SELECT r, c, masked, {', '.join(plain)}, {', '.join(f'round(CASE WHEN {v} IS NOT NULL THEN s{i}.s END, 4) AS f_std_{k}' for i, (k, v) in enumerate(_F16.items()))} FROM G {joins}"
+
+
+@query("features16", _features16_sql(), "G")
 def _(spark, g):
-    return raster.features16(g).select("r", "c", "masked", *r6("nir_g", "b_r", "std_red"))
+    f = raster.features16(g)
+    return f.select("r", "c", "masked", *[F.round(F.col(n).cast("double"), 4 if n.startswith("std") else 6).alias(f"f_{n}") for n in raster.FEATURES16])
 
 
 @query("erode_cross", "SELECT a.r, a.c, min(b.cls) AS cls FROM L a JOIN L b ON abs(a.r-b.r) + abs(a.c-b.c) <= 1 GROUP BY 1, 2", "L")
@@ -463,7 +474,7 @@ def _(spark, g):
     return raster.rescale(g, ["b", "nir"]).select("r", "c", *r6("b", "nir"))
 
 
-@query("pad_image", "SELECT CAST(y.r AS INT) AS r, CAST(x.c AS INT) AS c, coalesce(G.b, 0) AS b FROM (SELECT unnest(range(60)) AS r) y CROSS JOIN (SELECT unnest(range(55)) AS c) x LEFT JOIN G ON G.r + 3 = y.r AND G.c + 2 = x.c", "G")
+@query("pad_image", "SELECT CAST(y.r AS INT) AS r, CAST(x.c AS INT) AS c, coalesce(G.b, 0) AS b FROM (SELECT unnest(range(greatest(60, max(r) + 4))) AS r FROM G) y CROSS JOIN (SELECT unnest(range(greatest(55, max(c) + 3))) AS c FROM G) x LEFT JOIN G ON G.r + 3 = y.r AND G.c + 2 = x.c", "G")
 def _(spark, g):
     return raster.pad(g, ["b"], 3, 2, 60, 55).select("r", "c", "b")
 
@@ -576,15 +587,16 @@ def _settings(**more):
 
 def _coast(spark):
     """Transects across the class raster's coast."""
-    return spark.range(6).select(F.concat(F.lit("t"), "id").alias("name"), F.lit(621000.0).alias("x0"), (2353990.0 - 18 * F.col("id")).alias("y0"), F.lit(621150.0).alias("x1"), (2353990.0 - 18 * F.col("id")).alias("y1"))
+    return spark.range(6).select(F.concat(F.lit("t"), "id").alias("name"), F.lit(621000.0).alias("x0"), (2353990.0 - 8 * F.col("id")).alias("y0"), F.lit(621150.0).alias("x1"), (2353990.0 - 8 * F.col("id")).alias("y1"))
 
 
-@query("shoreline_vertices", "", "L")
-def _(spark, x):
-    """Regions, chains and sections depend on order: rows only; tests hold them against plain versions."""
+@query("shoreline_vertices", "", "M")
+def _(spark, m):
+    """Rows only; tests hold all steps together against a plain version, and contour_order, inside_buffer and smooth_sections have SQL."""
     from tidemark.plans.site import shorelines
 
-    return shorelines(x.withColumn("masked", F.col("r") < 2), _settings())
+    s = _settings(reference=[(621030.0, 2353999.0), (621030.0, 2353942.0)], max_dist_from_ref=18.0)
+    return shorelines(m.withColumn("masked", F.col("r") < 2), s)
 
 
 @query("coregister", "", "G")
@@ -595,12 +607,13 @@ def _(spark, g):
     return coregister(g.select("image_id", "r", "c", F.col("b").cast("double").alias("ref"), "masked").join(moved, ["image_id", "r", "c"]).withColumn("img", F.col("img").cast("double")), grid_res=10)
 
 
-@query("site_matrix", "", "L", "G")
-def _(spark, x, g):
-    """Pixels to filtered observations in one plan: near infrared is low over water."""
+@query("site_matrix", "", "M")
+def _(spark, m):
+    """Pixels of many images to filtered observations in one plan: near infrared is low over water."""
     from tidemark.plans.site import site
 
-    pixels = g.drop("nir", "masked").join(x.select("r", "c", "cls"), ["r", "c"]).select(F.lit("20240101_101500_10_g").alias("image_id"), "r", "c", "b", "g", "red", F.when(F.col("cls") == 1, 100).otherwise(2000).alias("nir"), (F.col("r") < 2).alias("masked"))
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.substring("image_id", 2, 9).cast("int")), "yyyyMMdd")
+    pixels = m.select(F.concat(day, F.lit("_101500_10_m")).alias("image_id"), "r", "c", (F.col("r") * 20 + 100).alias("b"), (F.col("c") * 10 + 300).alias("g"), F.lit(500).alias("red"), F.when(F.col("cls") == 1, 100).otherwise(2000).alias("nir"), (F.col("r") < 2).alias("masked"))
     products = site(pixels, lambda v: F.when(F.element_at(v, 4) < 1000, 1).otherwise(0), _coast(spark), _settings())
     return products["filtered"].select("ts", "transect", "dist")
 
