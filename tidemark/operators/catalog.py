@@ -102,7 +102,7 @@ def reference_for(scenes: DataFrame, references: DataFrame) -> DataFrame:
     if len(few) > FEW_REFERENCES:
         default = dated.where("year_from IS NULL").agg(F.min("file").alias("_default"))
         years = dated.where("year_from IS NOT NULL").withColumn("_y", F.explode(F.sequence("year_from", "year_to")))
-        fits = F.when(month_in_range(F.month("ts"), F.col("month_from"), F.col("month_to")), F.col("file"))
+        fits = F.when(F.col("file").isNotNull(), F.when(month_in_range(F.month("ts"), F.col("month_from"), F.col("month_to")), F.col("file")))
         numbered = own.withColumns({"_n": F.monotonically_increasing_id(), "_y": F.year("ts")})
         found = numbered.join(years, "_y", "left").groupBy("_n", "id", "ts").agg(F.min(fits).alias("_f"))
         return found.crossJoin(F.broadcast(default)).select("id", "ts", F.coalesce("_f", "_default").alias("file"))

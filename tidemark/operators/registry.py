@@ -47,14 +47,17 @@ def classify(features: DataFrame, column: str, models: DataFrame, wanted: Column
     perceptron's its largest unit, the first on ties. Rows whose features are null, hold nulls or don't fit the model have no class, and error says so; a corrupt image is such rows, not a failed job.
 
     One join with the registry's rows, at most MOST, which are counted and broadcast; all kinds are expressions of one plan."""
-    current = newest(models).select("model", "version", "kind", "layers")
+    taken = {"model", "version", "cls", "error"} & set(features.columns)
+    if taken:
+        raise ValueError(f"column names {sorted(taken)} are taken")
+    current = newest(models).select(F.col("model").alias("_m"), F.col("version").alias("_v"), F.col("kind").alias("_kind"), F.col("layers").alias("_layers"))
     if current.limit(MOST + 1).count() > MOST:
         raise ValueError(f"more than {MOST} models")
-    names = F.broadcast(current.select(F.col("model").alias("_known")))
+    names = F.broadcast(current.select(F.col("_m").alias("_known")))
     asked = features.withColumn("_wanted", wanted).join(names, F.col("_wanted") == F.col("_known"), "left").withColumn("_wanted", F.coalesce("_known", F.lit(default))).drop("_known")
-    met = asked.join(F.broadcast(current), F.col("_wanted") == F.col("model"), "left").drop("_wanted")
+    met = asked.join(F.broadcast(current), F.col("_wanted") == F.col("_m"), "left")
     x = F.col(column).cast("array<double>")
-    fits = F.when(F.col("model").isNull(), F.lit("no model")).when(F.col(column).isNull() | F.exists(x, lambda v: v.isNull()), F.lit("no features")).when(F.size(x) != F.size(F.col("layers")[0].weights[0]), F.lit("features don't fit"))
-    out = scores(x, F.col("layers"))
-    best = F.when(F.col("kind") == "logistic", (out[0] > 0).cast("int")).otherwise((F.array_position(out, F.array_max(out)) - 1).cast("int"))
-    return met.withColumn("error", fits).withColumn("cls", F.when(F.col("error").isNull(), best)).select(*features.columns, "model", "version", "cls", "error")
+    fits = F.when(F.col("_m").isNull(), F.lit("no model")).when(F.col(column).isNull() | F.exists(x, lambda v: v.isNull()), F.lit("no features")).when(F.size(x) != F.size(F.col("_layers")[0].weights[0]), F.lit("features don't fit"))
+    out = scores(x, F.col("_layers"))
+    best = F.when(F.col("_kind") == "logistic", (out[0] > 0).cast("int")).otherwise((F.array_position(out, F.array_max(out)) - 1).cast("int"))
+    return met.withColumn("error", fits).withColumn("cls", F.when(F.col("error").isNull(), best)).select(*features.columns, F.col("_m").alias("model"), F.col("_v").alias("version"), "cls", "error")
