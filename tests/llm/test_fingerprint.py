@@ -44,7 +44,7 @@ def test_sparse_ids_repeats_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(fp, "BLOCK", 2)
     ids = [-(10**15), 3, 4, 5, 10**17, 10**17 + 1, None, 7, 7]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id bigint, text string")
-    got = {r.text: r.next_text for r in fp.with_next(df).collect()}
+    got = {r.text: r.next_text for r in fp.with_next(df)[0].collect()}
     order = ["t5", "t4", "t8", "t7", "t3", "t2", "t1", "t0", "t6"]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
 
@@ -62,14 +62,14 @@ def test_blocks_are_even_wherever_ids_lie(spark):
         sizes = [r["count"] for r in df.groupBy(fp.block_of(fp.place_key(F.col("doc_id"), F.col("text")), bounds).alias("b")).count().collect()]
         assert len(sizes) > 100 and max(sizes) <= 3 * sum(sizes) / len(sizes), ids
     edge = spark.createDataFrame([(low, "a"), (high, "b"), (0, "c"), (-1, "d")], "doc_id bigint, text string")
-    assert {r.text: r.next_text for r in fp.with_next(edge).collect()} == {"b": "c", "c": "d", "d": "a", "a": "b"}
+    assert {r.text: r.next_text for r in fp.with_next(edge)[0].collect()} == {"b": "c", "c": "d", "d": "a", "a": "b"}
 
 
 def test_neighbours_over_many_blocks_and_long_texts(spark, monkeypatch):
     monkeypatch.setattr(fp, "BLOCK", 5)
     ids = [(i * 7919) % 1000 - 500 for i in range(1000)]
     df = spark.createDataFrame([(i, f"t{i}" if i % 100 else f"t{i} " + "word " * 30_000) for i in ids], "doc_id bigint, text string")
-    got = {r.doc_id: r.next_text.split(" ")[0] for r in fp.with_next(df).collect()}
+    got = {r.doc_id: r.next_text.split(" ")[0] for r in fp.with_next(df)[0].collect()}
     assert got == {i: f"t{i - 1}" if i > -500 else "t499" for i in ids}
 
 
@@ -91,9 +91,10 @@ def test_empty(spark, empty):
 
 def test_equal_rows_are_no_block(spark):
     df = spark.range(100_000).selectExpr("IF(id % 3 = 0, id, NULL) AS doc_id", "IF(id % 3 = 0, concat('t', id), 'one and the same text of more than sixteen characters') AS text")
-    placed = fp.with_next(df)
+    placed, most = fp.with_next(df)
+    assert most == 66_666
     assert placed.count() == 33_334 + 2
-    out = fp.expanded(placed.select("doc_id", "text", "next_text", "times"))
+    out = fp.expanded(placed.select("doc_id", "text", "next_text", "times"), most)
     assert out.count() == 100_000
     assert out.where("doc_id IS NULL AND next_text <> text").count() == 1  # the last is followed by the first document
     assert out.where("doc_id IS NULL AND next_text = 't99999'").count() == 1

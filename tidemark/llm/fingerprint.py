@@ -94,9 +94,9 @@ def block_of(key: Column, bounds: list[str]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), start, halve, lambda acc: acc.lo)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with sketch, next_text and next_sketch of the document after it in descending doc_id, the first after the last.
-    Other columns are left out.
+def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs (doc_id, text) with sketch, next_text and next_sketch of the document after it in descending doc_id, the first after the last, and times, how many rows a row stands for; and
+    a number that no times exceeds. Other columns are left out.
 
     Documents are cut into blocks of about BLOCK at quantiles of their places, so ids may lie anywhere in the range of bigint. A block also gets a copy
     of the next block's first document, so the neighbour is always found in the block, by one shuffle of the texts. Bounds and heads of blocks
@@ -105,7 +105,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     never make a block large."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     bounds = block_bounds(docs)
-    rows = once(docs.withColumn("key", place_key(F.col("doc_id"), F.col("text")))).withColumn("block", block_of(F.col("key"), bounds))
+    rows, most = once(docs.withColumn("key", place_key(F.col("doc_id"), F.col("text"))))
+    rows = rows.withColumn("block", block_of(F.col("key"), bounds))
     heads = rows.groupBy("block").agg(F.max("key").alias("head"))
     after = W.partitionBy().orderBy(F.col("block").desc())
     chain = heads.select(F.col("block").alias("into"), F.coalesce(F.lead("head").over(after), F.first("head").over(after)).alias("head"))
@@ -116,27 +117,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     last = found.withColumn("kind", F.explode(F.when(F.col("times") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     inner = F.col("kind") == 1  # all repeats but the last are followed by themselves
     last = last.withColumns({"next_text": F.when(inner, F.coalesce("text", F.lit(""))).otherwise(F.col("next_text")), "next_sketch": F.when(inner, F.col("sketch")).otherwise(F.col("next_sketch"))})
-    return last.select("doc_id", "text", "sketch", "next_text", "next_sketch", F.when(inner, F.col("times") - 1).otherwise(F.lit(1)).cast("bigint").alias("times"))
+    return last.select("doc_id", "text", "sketch", "next_text", "next_sketch", F.when(inner, F.col("times") - 1).otherwise(F.lit(1)).cast("bigint").alias("times")), most
 
 
-def once(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, key) with times; of rows that agree in key one stays. Repeats are looked for in hashes of the keys, and only rows that may be
+def once(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc_id, text, key) with times, and a number that no times exceeds; of rows that agree in key one stays. Repeats are looked for in hashes of the keys, and only rows that may be
     repeated are grouped, on the map side first."""
     hashed = rows.withColumn("_tm_key", F.xxhash64("key"))
-    again = cut(hashed.groupBy("_tm_key").agg(F.count("*").alias("m")).where("m > 1").select("_tm_key"))
-    if again.isEmpty():
-        return rows.withColumn("times", F.lit(1).cast("bigint"))
+    again = cut(hashed.groupBy("_tm_key").agg(F.count("*").alias("m")).where("m > 1"))
+    most = again.agg(F.max("m")).first()[0]
+    if most is None:
+        return rows.withColumn("times", F.lit(1).cast("bigint")), 1
+    again = again.select("_tm_key")
     maybe, sure = parted(hashed, "_tm_key", again, "_tm_key")
     one = maybe.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("times")).select("doc_id", "text", "key", "times")
-    return one if sure is None else one.unionByName(sure.select("doc_id", "text", "key", F.lit(1).cast("bigint").alias("times")))
+    return (one if sure is None else one.unionByName(sure.select("doc_id", "text", "key", F.lit(1).cast("bigint").alias("times")))), most
 
 
-def expanded(rows: DataFrame) -> DataFrame:
-    """rows as often as their times says; large numbers are dealt to tasks in pieces of REPEATS."""
-    piece = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / F.lit(REPEATS)).cast("bigint")))
-    few, many = rows.where(F.col("times") <= REPEATS), rows.where(F.col("times") > REPEATS)
-    pieces = many.withColumn("_piece", piece).repartition("_piece").withColumn("times", F.least(F.lit(REPEATS), F.col("times") - F.col("_piece") * REPEATS)).drop("_piece")
-    return few.unionByName(pieces).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).drop("_copy", "times")
+def expanded(rows: DataFrame, most: int) -> DataFrame:
+    """rows as often as their times, most at most, says. Only where some exceed REPEATS are rows dealt out anew, in pieces of so many, so that no task writes more of a row."""
+    rows = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("times") - 1) / F.lit(REPEATS)).cast("bigint"))))
+    rows = rows.repartition("doc_id", "_piece") if most > REPEATS else rows
+    n = F.least(F.lit(REPEATS).cast("bigint"), F.col("times") - F.col("_piece") * REPEATS)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), n))).drop("_copy", "_piece", "times")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -150,8 +153,9 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     """A row a document. Null texts are empty ones; empty texts have empty sketches, which resemble each other fully. Repeated rows follow one another. Other
     columns are left out; a single document is followed by itself."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    near, most = with_next(docs)
+    near = near.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     near = near.select("doc_id", "times", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sketch", "next_sketch", sketch(F.col("edited")).alias("edited_sketch"))
     a, e, b = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     out = near.select("doc_id", "times", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(e).alias("edited_fingerprint"), resemblance(a, e).alias("near_edited"), resemblance(a, b).alias("near_next"), distinct_shingles(a).alias("n_shingles_estimate"), containment(a, e).alias("contained_in_edited"))
-    return expanded(out)
+    return expanded(out, most)
