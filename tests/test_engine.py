@@ -140,7 +140,10 @@ def test_qaqc_modes(spark):
 
 
 def test_tide_range_has_its_end(spark):
-    assert series.tide_range(spark, "2024-01-01 00:00:00", "2024-01-01 02:00:00", "30 MINUTES").count() == 5
+    t = dt.datetime(2024, 1, 1)
+    bounds = spark.createDataFrame([("a", t, t + dt.timedelta(hours=2)), ("b", t, t + dt.timedelta(minutes=29)), ("c", t, t - dt.timedelta(1)), ("d", None, t)], "site string, start timestamp_ntz, stop timestamp_ntz")
+    got = [tuple(r) for r in series.tide_range(bounds, "30 MINUTES").orderBy("site", "ts").collect()]
+    assert got == [("a", t + dt.timedelta(minutes=30 * k)) for k in range(5)] + [("b", t)]
 
 
 # --- catalogue
@@ -406,16 +409,6 @@ def test_whole_site(spark):
     assert all(r.error == 0 for r in e)
 
 
-def test_coregistration(spark):
-    a = np.random.default_rng(3).random((64, 64)) * 100
-    b = np.roll(a, (-2, 3), (0, 1))
-    rows = [(n, r, c, float(a[r, c]), float(b[r, c]), n == "cloudy") for n in ("clear", "cloudy") for r in range(64) for c in range(64)]
-    df = spark.createDataFrame(rows, "image_id string, r int, c int, ref double, img double, masked boolean")
-    got = {r.image_id: (r.level, r.dr, r.dc) for r in site.coregister(df, grid_res=20).collect()}
-    assert got == {"clear": (2, 2, -3), "cloudy": (0, 0, 0)}
-    assert site.still_to_do(df.select("image_id").distinct(), site.coregister(df, 20).where("image_id = 'clear'")).first().image_id == "cloudy"
-
-
 def test_pad_never_crops(spark):
     pixels = spark.createDataFrame([("a", r, c, 7) for r in range(9) for c in (0, 4)] + [("b", 0, 0, 5)], "image_id string, r int, c int, b int")
     got = raster.pad(pixels, ["b"], 3, 2, 6, 8).collect()

@@ -121,6 +121,25 @@ def by_period(scenes: DataFrame, references: DataFrame) -> DataFrame:
     return references.select("file").join(counts, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
+def site_entries(sites: DataFrame, item_type: str = "PSScene", most_cloud: float = MOST_CLOUD) -> DataFrame:
+    """(site, entry) of sites (site, ring: array<array<double>>, start: date, stop: date): the JSON that a search takes, with filters of geometry, dates and
+    clouds; an open ring is closed. Sites without a ring or with an empty one have a null entry."""
+    ring = F.col("ring")
+    shut = F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.array(ring[0])))
+
+    def day(x: str) -> Column:
+        return F.concat(F.date_format(x, "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
+
+    def rule(kind: str, name: str, config: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(name).alias("field_name"), config.alias("config"))
+
+    place = rule("GeometryFilter", "geometry", F.struct(F.lit("Polygon").alias("type"), F.array(shut).alias("coordinates")))
+    dates = rule("DateRangeFilter", "acquired", F.struct(day("start").alias("gte"), day("stop").alias("lte")))
+    clouds = rule("RangeFilter", "cloud_cover", F.struct(F.lit(float(most_cloud)).alias("lte")))
+    entry = F.struct(F.lit(item_type).alias("item_type"), place.alias("geometry_filter"), dates.alias("date_range_filter"), clouds.alias("cloud_cover_filter"))
+    return sites.select("site", F.when(F.size(F.coalesce(ring, F.array())) > 0, F.to_json(entry)).alias("entry"))
+
+
 def upsert_sites(old: DataFrame, new: DataFrame) -> DataFrame:
     """Site dictionaries merged: for each site the newest row."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))

@@ -56,6 +56,26 @@ def prf1(pairs: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "tn", "fn", _ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def class_scores(pixels: DataFrame) -> DataFrame:
+    """(image_id, class, tp, fp, tn, fn, dice, accuracy, precision, recall, f1) of pixels (image_id, truth, pred, inside): every class that an image's
+    inside pixels show in truth or pred. Pixels are counted by truth and pred before anything else, so what is shuffled is a few counts an image and
+    task; pixels whose truth or pred is null don't count."""
+    counts = pixels.where("inside AND truth IS NOT NULL AND pred IS NOT NULL").groupBy("image_id", "truth", "pred").agg(F.count("*").alias("n"))
+    sides = F.array_distinct(F.array(F.struct(F.col("truth").alias("class")), F.struct(F.col("pred").alias("class"))))
+    by_class = counts.select("image_id", "truth", "pred", "n", F.explode(sides).alias("_s")).select("image_id", F.col("_s.class").alias("class"), "truth", "pred", "n")
+    t, p = F.col("truth") == F.col("class"), F.col("pred") == F.col("class")
+
+    def total(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("n")).otherwise(0))
+
+    sums = by_class.groupBy("image_id", "class").agg(total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"))
+    both = sums.join(counts.groupBy("image_id").agg(F.sum("n").alias("_all")), "image_id")
+    tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
+    out = both.select("image_id", "class", "tp", "fp", (F.col("_all") - tp - fp - fn).alias("tn"), "fn")
+    ratios = {"dice": _ratio(2 * tp, 2 * tp + fp + fn), "accuracy": _ratio(tp + tn, tp + tn + fp + fn), "precision": _ratio(tp, tp + fp), "recall": _ratio(tp, tp + fn), "f1": _ratio(2 * tp, 2 * tp + fp + fn)}
+    return out.withColumns(ratios)
+
+
 def confusion(pairs: DataFrame, classes: list, normalize: bool = False) -> DataFrame:
     """(truth, pred_<class>...): counts, or shares of their row."""
     wide = pairs.groupBy("truth").pivot("pred", classes).count().fillna(0)

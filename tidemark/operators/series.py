@@ -62,9 +62,12 @@ def harmonic_tide(times: DataFrame, constituents: DataFrame) -> DataFrame:
     return times.crossJoin(F.broadcast(stated)).withColumn("tide", wave).drop("_c")
 
 
-def tide_range(spark, start: str, stop: str, step: str) -> DataFrame:
-    """(ts): a regular series with its end."""
-    return spark.sql(f"SELECT explode(sequence(TIMESTAMP_NTZ '{start}', TIMESTAMP_NTZ '{stop}', INTERVAL {step})) AS ts")
+def tide_range(bounds: DataFrame, step: str) -> DataFrame:
+    """bounds (..., start, stop) as regular series (..., ts) from start to stop, both included where the step meets them; none where start is after
+    stop or either is null. step is an interval like 30 MINUTES."""
+    own = [c for c in bounds.columns if c not in ("start", "stop")]
+    times = F.when(F.col("start") <= F.col("stop"), F.sequence(F.col("start").cast("timestamp_ntz"), F.col("stop").cast("timestamp_ntz"), F.expr(f"INTERVAL {step}")))
+    return bounds.select(*own, F.explode(times).alias("ts"))
 
 
 def qaqc(obs: DataFrame, limit: float = 30.0, compat: bool = True) -> DataFrame:

@@ -19,11 +19,12 @@ SQL = {
     "B": """SELECT quality = 1 AS truth, toxic = 1 AS pred FROM {labels}""",
     "Q": """SELECT CAST(o_custkey % 9 AS STRING) AS site, {stamp} AS id, o_orderdate AS acquired, (o_custkey % 100) / CAST(100 AS DOUBLE) AS cloud_cover, CAST(621400 + o_custkey % 500 AS DOUBLE) AS x, CAST(2352900 + o_orderkey % 500 AS DOUBLE) AS y FROM {orders}""",
 }
+SQL["F"] = """SELECT DISTINCT CASE WHEN o_custkey % 5 = 0 THEN concat('bay', CAST(o_custkey % 9 AS STRING), '_shoreline.geojson') ELSE concat('bay', CAST(o_custkey % 9 AS STRING), '_shoreline_', substr(CAST(o_orderdate AS STRING), 1, 7), '_', CAST(year(o_orderdate) - o_custkey % 3 AS STRING), '-', CAST(year(o_orderdate) AS STRING), '_', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(1 + o_custkey % 12 AS STRING), 2, '0'), '.geojson') END AS file FROM {orders}"""
 _STAMP = {
     "spark": "concat(date_format(o_orderdate, 'yyyyMMdd_HHmmss'), '_', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), '_', lower(hex(o_custkey)))",
     "duckdb": "strftime(o_orderdate, '%Y%m%d_%H%M%S') || '_' || lpad(CAST(o_orderkey % 100 AS STRING), 2, '0') || '_' || lower(to_hex(o_custkey))",
 }
-TABLES = {"G": "part", "L": "part", "M": "events", "V": "customer", "T": "supplier", "O": "events", "H": "events", "P": "events", "B": "labels", "Q": "orders"}
+TABLES = {"G": "part", "L": "part", "M": "events", "V": "customer", "T": "supplier", "O": "events", "H": "events", "P": "events", "B": "labels", "Q": "orders", "F": "orders"}
 
 #: Reference lines, dated and default.
 REFERENCES = ("bay_shoreline_1995-01_1992-1994_10-03.geojson", "bay_shoreline_1996-05_1992-1996_04-09.geojson", "bay_shoreline_1997-01_1997-1997_01-12.geojson", "bay_shoreline.geojson", "bay_shoreline_2001-01_2001-2002_01-06.geojson")

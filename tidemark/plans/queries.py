@@ -244,16 +244,17 @@ def _(spark, q):
     return q.select("id", ts.alias("ts"), ids.format_raw_time(ts).alias("raw"))
 
 
-_REF_SQL = "R AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in REFERENCES) + r"]) AS file), RP AS (SELECT file, regexp_matches(file, '_\d{4}-\d{2}_\d{4}-\d{4}_\d{2}-\d{2}\.geojson$') AS dated, TRY_CAST(regexp_extract(file, '_(\d{4})-\d{4}_\d{2}-\d{2}\.', 1) AS INT) AS y1, TRY_CAST(regexp_extract(file, '-(\d{4})_\d{2}-\d{2}\.', 1) AS INT) AS y2, TRY_CAST(regexp_extract(file, '_(\d{2})-\d{2}\.', 1) AS INT) AS m1, TRY_CAST(regexp_extract(file, '_\d{2}-(\d{2})\.', 1) AS INT) AS m2 FROM R)"
+_RP_SQL = r"RP AS (SELECT file, regexp_matches(file, '_\d{4}-\d{2}_\d{4}-\d{4}_\d{2}-\d{2}\.geojson$') AS dated, TRY_CAST(regexp_extract(file, '_(\d{4})-\d{4}_\d{2}-\d{2}\.', 1) AS INT) AS y1, TRY_CAST(regexp_extract(file, '-(\d{4})_\d{2}-\d{2}\.', 1) AS INT) AS y2, TRY_CAST(regexp_extract(file, '_(\d{2})-\d{2}\.', 1) AS INT) AS m1, TRY_CAST(regexp_extract(file, '_\d{2}-(\d{2})\.', 1) AS INT) AS m2 FROM R)"
+_REF_SQL = "R AS (SELECT unnest([" + ", ".join(f"'{r}'" for r in REFERENCES) + "]) AS file), " + _RP_SQL
 
 
 def _references(spark):
     return spark.createDataFrame([(r,) for r in REFERENCES], "file string")
 
 
-@query("ref_period", f"WITH {_REF_SQL} SELECT file, CASE WHEN dated THEN y1 END AS year_from, CASE WHEN dated THEN y2 END AS year_to, CASE WHEN dated THEN m1 END AS month_from, CASE WHEN dated THEN m2 END AS month_to FROM RP")
-def _(spark):
-    return _references(spark).select("file", ids.reference_period(F.col("file")).alias("p")).select("file", "p.year_from", "p.year_to", "p.month_from", "p.month_to")
+@query("ref_period", f", R AS (SELECT file FROM F), {_RP_SQL} SELECT file, CASE WHEN dated THEN y1 END AS year_from, CASE WHEN dated THEN y2 END AS year_to, CASE WHEN dated THEN m1 END AS month_from, CASE WHEN dated THEN m2 END AS month_to FROM RP", "F")
+def _(spark, f):
+    return f.select("file", ids.reference_period(F.col("file")).alias("p")).select("file", "p.year_from", "p.year_to", "p.month_from", "p.month_to")
 
 
 @query("month_range", "SELECT id, month(acquired) BETWEEN 4 AND 9 AS summer, month(acquired) >= 10 OR month(acquired) <= 3 AS winter FROM Q", "Q")
@@ -567,9 +568,10 @@ def _(spark, q):
     return catalog.upsert_sites(old, q.where("acquired >= '1998-06-01' AND site < '5'").groupBy("site").agg(F.count("*").alias("n")))
 
 
-@query("tide_range", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 30 MINUTE)) AS ts")
-def _(spark):
-    return series.tide_range(spark, "2024-01-01 00:00:00", "2024-01-02 00:00:00", "30 MINUTES")
+@query("tide_range", "SELECT site, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 12 HOUR)) AS ts FROM (SELECT site, min(acquired) AS lo, max(acquired) AS hi FROM Q GROUP BY 1) q", "Q")
+def _(spark, q):
+    """A regular series over every site's own time of observation."""
+    return series.tide_range(q.groupBy("site").agg(F.min("acquired").alias("start"), F.max("acquired").alias("stop")), "12 HOURS")
 
 
 @query("utm_round_trip", "SELECT seq, round(-159 + (x - 621650) / CAST(200 AS DOUBLE), 6) AS lon, round(21 + (y - 2352900) / CAST(500 AS DOUBLE), 6) AS lat FROM V", "V")
@@ -599,12 +601,40 @@ def _(spark, m):
     return shorelines(m.withColumn("masked", F.col("r") < 2), s)
 
 
-@query("coregister", "", "G")
-def _(spark, g):
+@query("coregister", "", "M")
+def _(spark, m):
+    """Rows only; a test holds tie points against a plain version, and warp_local has SQL for what follows from them."""
     from tidemark.plans.site import coregister
 
-    moved = g.select("image_id", (F.col("r") + 1).alias("r"), (F.col("c") + 2).alias("c"), F.col("b").alias("img"))
-    return coregister(g.select("image_id", "r", "c", F.col("b").cast("double").alias("ref"), "masked").join(moved, ["image_id", "r", "c"]).withColumn("img", F.col("img").cast("double")), grid_res=10)
+    noise = F.col("cls") * 50 + (F.col("r") * 7919 + F.col("c") * 104729 + F.col("r") * F.col("r") * F.col("c") * 31 + F.substring("image_id", 2, 9).cast("int") * 17) % 101
+    ref = m.select("image_id", "r", "c", noise.cast("double").alias("ref"), (F.col("r") < 2).alias("masked"))
+    img = ref.select("image_id", (F.col("r") + 1).alias("r"), (F.col("c") + 2).alias("c"), F.col("ref").alias("img"))
+    shifts, _ = coregister(ref.join(img, ["image_id", "r", "c"], "left"), grid_res=6, window=16)
+    return shifts.select("image_id", "level", F.round("dr").cast("int").alias("dr"), F.round("dc").cast("int").alias("dc"), "points")
+
+
+_TIES = """SELECT image_id, r, c, ((r * 7 + c * 3) % 5 - 2) / CAST(2 AS DOUBLE) AS dr, ((r * 3 + c * 11) % 7 - 3) / CAST(2 AS DOUBLE) AS dc FROM {m} WHERE r % 5 = 2 AND c % 5 = 2 AND (r + c + CAST(substr(image_id, 2) AS INT)) % 3 <> 0 AND (CAST(substr(image_id, 2) AS INT) % 11 <> 5 OR r + c < 10)"""
+_CORNERS = " ".join(f"LEFT JOIN T k{a}{b} ON k{a}{b}.image_id = p.image_id AND k{a}{b}.r = 5 * p.i + 2 + {5 * a} AND k{a}{b}.c = 5 * p.j + 2 + {5 * b} AND n >= 3" for a in (0, 1) for b in (0, 1))
+_BLEND = "coalesce(g{0}, 0) + " + " + ".join(f"coalesce(k{a}{b}.d{{0}} - g{{0}}, 0) * {'u' if a else '(1 - u)'} * {'v' if b else '(1 - v)'}" for a in (0, 1) for b in (0, 1))
+
+
+@query(
+    "warp_local",
+    f""", W AS (SELECT *, c < CAST(substr(image_id, 2) AS INT) % 3 * 8 AS masked FROM M),
+    T AS (SELECT t.* FROM ({_TIES.format(m='M')}) t JOIN (SELECT image_id FROM W GROUP BY 1 HAVING count(*) FILTER (WHERE NOT masked) >= 125) w USING (image_id)),
+    S AS (SELECT image_id, median(dr) AS gr, median(dc) AS gc, count(*) AS n FROM T GROUP BY 1),
+    P AS (SELECT W.*, gr, gc, n, floor((r - 2) / CAST(5 AS DOUBLE)) AS i, floor((c - 2) / CAST(5 AS DOUBLE)) AS j, (r - 2) / CAST(5 AS DOUBLE) - floor((r - 2) / CAST(5 AS DOUBLE)) AS u, (c - 2) / CAST(5 AS DOUBLE) - floor((c - 2) / CAST(5 AS DOUBLE)) AS v FROM W LEFT JOIN S USING (image_id)),
+    D AS (SELECT p.image_id, p.r, p.c, {_BLEND.format('r')} AS dr, {_BLEND.format('c')} AS dc FROM P p {_CORNERS})
+    SELECT D.image_id, D.r, D.c, W.cls, W.masked FROM D LEFT JOIN W ON W.image_id = D.image_id AND W.r = floor(D.r - D.dr + 0.5) AND W.c = floor(D.c - D.dc + 0.5)""",
+    "M",
+)
+def _(spark, m):
+    """Images moved by tie points of their own; some have too few clear pixels, some fewer than three tie points."""
+    from tidemark.operators import coreg
+
+    pixels = m.withColumn("masked", F.col("c") < F.substring("image_id", 2, 9).cast("int") % 3 * 8)
+    ties = spark.sql(_TIES, m=m)
+    return coreg.warp(pixels, ties, coreg.levels(pixels, ties, 5), ["cls", "masked"], 5)
 
 
 @query("site_matrix", "", "M")
@@ -689,3 +719,60 @@ def _(spark, t):
 def _(spark, t):
     kept = ids.keep_keys(F.create_map(F.lit("a"), F.lit(1).cast("bigint"), F.lit("b"), F.col("ord")), ["b", "z"])
     return t.select("name", F.explode(kept).alias("k", "b")).select("name", "b")
+
+
+_GUESS = "CASE WHEN (r * 7 + c * 13) % 9 = 0 THEN 1 - cls WHEN (r + c) % 31 = 0 THEN 2 ELSE cls END"
+
+
+@query(
+    "class_scores",
+    f""", X AS (SELECT image_id, cls AS t, {_GUESS} AS p FROM M WHERE r >= 2),
+    K AS (SELECT image_id, t AS k FROM X UNION SELECT image_id, p FROM X),
+    C AS (SELECT K.image_id, k, count(*) FILTER (WHERE t = k AND p = k) AS tp, count(*) FILTER (WHERE t <> k AND p = k) AS fp, count(*) FILTER (WHERE t <> k AND p <> k) AS tn, count(*) FILTER (WHERE t = k AND p <> k) AS fn FROM K JOIN X USING (image_id) GROUP BY 1, 2)
+    SELECT image_id, k AS class, tp, fp, tn, fn, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS dice, CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn) AS accuracy, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1 FROM C""",
+    "M",
+)
+def _(spark, m):
+    return ml.class_scores(m.select("image_id", F.col("cls").alias("truth"), F.expr(_GUESS).alias("pred"), (F.col("r") >= 2).alias("inside")))
+
+
+@query("full_performance", "", "M")
+def _(spark, m):
+    """Errors along transects of a guess that lies a pixel off; class_scores has SQL for the other half."""
+    from tidemark.plans.site import performance
+
+    guess = m.withColumn("masked", F.col("r") < 2).withColumn("cls", F.when(F.col("c") < 8, 0).when(F.col("c") > 12, 1).otherwise(F.col("cls")))
+    scores = performance(m, guess, _coast(spark), _settings(reference=[(621030.0, 2353999.0), (621030.0, 2353942.0)], max_dist_from_ref=18.0, erosion=False, dilation=False))
+    return scores["errors"].select("image_id", "name", F.round("error", 6).alias("error"))
+
+
+@query(
+    "site_entries",
+    """, B AS (SELECT site, min(x) AS x0, max(x) AS x1, min(y) AS y0, CAST(min(acquired) AS DATE) AS lo, CAST(max(acquired) AS DATE) AS hi FROM Q GROUP BY 1)
+    SELECT site, CAST(5 AS INT) AS points, x0 AS first_x, x0 AS last_x, y0 AS last_y, CAST(lo AS VARCHAR) || 'T00:00:00.000Z' AS gte, CAST(hi AS VARCHAR) || 'T00:00:00.000Z' AS lte, CAST(0.3 AS DOUBLE) AS clouds, 'PSScene' AS item_type FROM B""",
+    "Q",
+)
+def _(spark, q):
+    """The boxes around all scenes of a site, given open."""
+    box = q.groupBy("site").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), F.min("acquired").cast("date").alias("start"), F.max("acquired").cast("date").alias("stop"))
+    entries = catalog.site_entries(box.withColumn("ring", F.expr("array(array(a, c), array(b, c), array(b, d), array(a, d))")))
+    ring = F.from_json(F.get_json_object("entry", "$.geometry_filter.config.coordinates[0]"), "array<array<double>>")
+
+    def text(path: str):
+        return F.get_json_object("entry", path)
+
+    last = F.element_at(ring, -1)
+    return entries.select("site", F.size(ring).alias("points"), ring[0][0].alias("first_x"), last[0].alias("last_x"), last[1].alias("last_y"), text("$.date_range_filter.config.gte").alias("gte"), text("$.date_range_filter.config.lte").alias("lte"), text("$.cloud_cover_filter.config.lte").cast("double").alias("clouds"), text("$.item_type").alias("item_type"))
+
+
+@query("pixel_size", ", D AS (SELECT substr(id, 1, 15) AS t, arg_min(CAST(2.5 + cloud_cover AS DOUBLE), id) AS s FROM Q WHERE cloud_cover < 0.5 GROUP BY 1) SELECT id, site, s AS pixel_size FROM Q LEFT JOIN D ON t = substr(id, 1, 15)", "Q")
+def _(spark, q):
+    from tidemark.sources.metadata import with_pixel_size
+
+    return with_pixel_size(q.select("id", "site"), q.where("cloud_cover < 0.5").select("id", (2.5 + F.col("cloud_cover")).alias("pixel_resolution")))
+
+
+@query("training_pixels", "SELECT M.image_id, M.r AS row, M.c AS col, M.cls AS f, (M.r + M.c) % 4 AS class FROM M WHERE (r * 20 + c) % 7 = 3", "M")
+def _(spark, m):
+    labels = m.where("(r * 20 + c) % 7 = 3").select("image_id", "r", "c", ((F.col("r") + F.col("c")) % 4).alias("class"))
+    return ml.training_pixels(m.select("image_id", F.col("r").alias("row"), F.col("c").alias("col"), F.col("cls").alias("f")), labels)

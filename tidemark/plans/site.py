@@ -7,15 +7,13 @@ import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.ids import item_time
 from tidemark.functions.lineage import cut
-from tidemark.functions.shipping import ship_package
-from tidemark.operators import contours, kernels, ml, raster, series, vector
+from tidemark.operators import contours, coreg, ml, raster, series, vector
 
 
 @dataclass
@@ -120,28 +118,11 @@ def site(pixels: DataFrame, model, transects: DataFrame, s: Settings, gauge: Dat
     return out
 
 
-COREG = "image_id string, level int, dr int, dc int, peak double"
-
-
-def coregister(pairs: DataFrame, grid_res: int = 50, least_peak: float = 0.03) -> DataFrame:
-    """(image_id, level, dr, dc, peak) of pixels (image_id, r, c, ref, img, masked): level 0 for too few clear pixels, 1 for no clear shift, 2 with
-    the whole-pixel shift that lays img on ref."""
-
-    def run(group: pa.Table) -> pa.Table:
-        r, c, ref, img = (group.column(k).to_numpy() for k in ("r", "c", "ref", "img"))
-        m = group.column("masked").to_numpy(zero_copy_only=False).astype(bool)
-        name = group.column("image_id")[0].as_py()
-        if (~m).sum() < 5 * grid_res**2:
-            row = (name, 0, 0, 0, 0.0)
-        else:
-            a, b = np.zeros((2, r.max() + 1, c.max() + 1))
-            a[r, c], b[r, c] = np.where(m, ref[~m].mean(), ref), np.where(m, img[~m].mean(), img)
-            dr, dc, peak = kernels.phase_shift(a, b)
-            row = (name, 2, dr, dc, peak) if peak >= least_peak else (name, 1, 0, 0, peak)
-        return pa.table({f.split()[0]: [v] for f, v in zip(COREG.split(", "), row, strict=True)}, schema=pa.schema([("image_id", pa.string()), ("level", pa.int32()), ("dr", pa.int32()), ("dc", pa.int32()), ("peak", pa.float64())]))
-
-    ship_package(pairs.sparkSession)
-    return pairs.groupBy("image_id").applyInArrow(run, COREG)
+def coregister(pairs: DataFrame, grid_res: int = 50, window: int = raster.TILE, max_shift: int = 5, min_reliability: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """(shifts, ties) of pixels (image_id, r, c, ref, img, masked): shifts has (image_id, level, dr, dc, points) of every image, level 0 for too few
+    clear pixels, 1 for no tie point, 2 with the shift that lays img on ref; ties are the tie points that count. coreg.warp moves pixels by both."""
+    good = cut(coreg.good_ties(coreg.tie_points(pairs, grid_res, window, max_shift), min_reliability))
+    return coreg.levels(pairs, good, grid_res), good
 
 
 def reference_image(scenes: DataFrame, explicit: DataFrame | None = None, inputs: DataFrame | None = None) -> DataFrame:
@@ -185,3 +166,22 @@ def evaluate(truth: DataFrame, pred: DataFrame, transects: DataFrame, s: Setting
     t = vector.transect_intersect(truth, transects, 25.0, s.compat).withColumnRenamed("dist", "t")
     p = vector.transect_intersect(pred, transects, 25.0, s.compat).withColumnRenamed("dist", "p")
     return t.join(p, ["image_id", "name"], "left").select("image_id", "name", (F.col("t") - F.col("p")).alias("error"))
+
+
+def performance(truth: DataFrame, pred: DataFrame, transects: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """What a classification is worth, of many images at once: scores, dice and the other measures of each class near the reference line on clear pixels, and
+    errors, the distance along each transect between the true shoreline and the predicted one.
+
+    truth is (image_id, r, c, cls), pred (image_id, r, c, cls, masked); the prediction is cleaned first, classes are 1 and, for all others, 0. The true shoreline isn't
+    smoothed."""
+    land = (F.col("cls") == 1).cast("int")
+    named = F.col("image_id").cast("string").alias("image_id")
+    t = truth.select(named, "r", "c", land.alias("truth"))
+    p = pred.select(named, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), land.alias("cls"), "masked")
+    clean = cut(raster.clean(p, s.least_land, s.least_water, s.erosion, s.dilation).select("image_id", "r", "c", F.col("cls").alias("pred"), "masked"))
+    size = cut(clean.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")))
+    clear = clean.where(~F.col("masked")).select("image_id", F.struct("r", "c").alias("seq"), "r", "c")
+    near = near_reference(clear, size, s).select("image_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    pairs = clean.join(near, ["image_id", "r", "c"]).join(t, ["image_id", "r", "c"]).withColumn("inside", F.lit(True))
+    true_lines = shorelines(t.join(p.select("image_id", "r", "c", "masked"), ["image_id", "r", "c"]).withColumnRenamed("truth", "cls"), replace(s, sigma=None))
+    return {"scores": ml.class_scores(pairs), "errors": evaluate(true_lines, shorelines(p, s), transects, s)}

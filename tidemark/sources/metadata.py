@@ -53,6 +53,28 @@ def read_class_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("labels map<string, int>, colors map<string, array<double>>").option("multiLine", True).json(path)
 
 
+def read_class_infos(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, labels, colors) of all class_info*.json in folder; the default's model is null."""
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^class_info_?(.*)\.json$", 1)
+    return read_class_info(spark, f"{folder}/class_info*.json").select(F.nullif(name, F.lit("")).alias("model"), "labels", "colors")
+
+
+def with_class_info(rows: DataFrame, infos: DataFrame) -> DataFrame:
+    """rows (model, ...) with labels and colors: their model's own, else the default's, which is one row."""
+    own = infos.where("model IS NOT NULL")
+    default = infos.where("model IS NULL").agg(F.first("labels").alias("_labels"), F.first("colors").alias("_colors"))
+    both = rows.join(own, "model", "left").crossJoin(F.broadcast(default))
+    has = F.col("labels").isNotNull()
+    return both.select(*rows.columns, F.when(has, F.col("labels")).otherwise(F.col("_labels")).alias("labels"), F.when(has, F.col("colors")).otherwise(F.col("_colors")).alias("colors"))
+
+
+def with_pixel_size(scenes: DataFrame, metadata: DataFrame, key: str = "id") -> DataFrame:
+    """scenes with pixel_size, the pixel_resolution of the metadata (id, pixel_resolution) that shares the first 15 characters of the id; of several the
+    first by id, null without any. The metadata are made one a time stamp before they meet the scenes."""
+    one = metadata.groupBy(F.substring("id", 1, 15).alias("_t")).agg(F.min_by("pixel_resolution", "id").alias("pixel_size"))
+    return scenes.withColumn("_t", F.substring(key, 1, 15)).join(one, "_t", "left").drop("_t")
+
+
 def read_gauge(spark: SparkSession, path: str, series: str = "gauge") -> DataFrame:
     """(series, ts, sl) of a gauge CSV with a header."""
     return spark.read.schema("ts timestamp_ntz, sl double").option("header", True).csv(path).select(F.lit(series).alias("series"), "ts", "sl")
