@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
@@ -16,19 +16,23 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of every node on its smallest, then each node's smaller ones likewise, until all is
     stars: about log(nodes) rounds. A hub's neighbours only meet its minimum, one row each; rounds are cut in the shared folder, and a
-    count and a checksum are all that comes to the driver."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    count and a checksum, observed while a round is written, are all that comes to the driver."""
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        rows = cut(pairs.distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum")))
+        return rows, (seen.get["n"], seen.get["sum"])
+
+    e, now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
     before = None
-    while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == before or not now[0]:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    while now != before and now[0]:
         before = now
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # a join of its own, whose hubs Spark can split
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        e = cut(large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))).distinct())
+        e, now = written(large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))))
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
 #: Rows and columns of the tiles that are labelled apart.
