@@ -140,18 +140,35 @@ def shown(docs: DataFrame, n: int, num: int, den: int, parts: int, exact: bool)
     return docs.where("doc_id IS NOT NULL").mapInArrow(run, PACKED)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (a, b) as stars: each node but the smallest of its connected part, and that smallest. In a round every part's root that has a smaller one beside it is hung on
+    that, and paths are cut short, so rounds grow with the logarithm of the nodes."""
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while len(i):
+        p, q = root[i], root[j]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(root, further := root[root]):
+            root = further
+        left = root[i] != root[j]
+        i, j = i[left], j[left]
+    leaf = root != np.arange(len(names))
+    return names[leaf], names[root[leaf]]
+
+
 def candidate_edges(blocks: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): rows that share a signature and whose sizes don't rule the similarity out. Among the rows of a signature, in order of size, each
     meets the one before it: if that is too small, so are all others below, and no edge is made. So a signature costs one edge a row, not one
-    a pair, and these edges connect what all pairs within the bound would."""
+    a pair, and these edges connect what all pairs within the bound would. What a part's signatures connect leaves it as stars, one edge a row at most."""
 
     def meet(group: pa.Table) -> pa.Table:
         e = unpacked(group.column("block"), ENTRY)
         e = e[np.lexsort((e["row"], e["size"], e["sig"]))]
         a, b = e[1:], e[:-1]
         hit = (a["sig"] == b["sig"]) & (a["row"] != b["row"]) & (b["size"].astype(np.int64) * den >= a["size"].astype(np.int64) * num)
-        pairs = np.unique(np.stack((a["row"][hit], b["row"][hit]), 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        rows, roots = stars(a["row"][hit], b["row"][hit])
+        return pa.table({"a": pa.array(rows, pa.int64()), "b": pa.array(roots, pa.int64())})
 
     return blocks.groupBy("part").applyInArrow(meet, "a bigint, b bigint")
 
@@ -200,19 +217,9 @@ def overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray], num: int, den:
 def linked(keys: np.ndarray, sets: list[np.ndarray], other: tuple | None, num: int, den: int) -> list[tuple[int, int]]:
     """The links of a block of rows among themselves, or with another block's, as stars on the smallest row of each connected part."""
     k2, s2 = other or (keys, sets)
-    hit = overlaps(sets, s2, num, den) > 0
-    names = np.unique(np.concatenate((keys, k2)))
-    root = np.arange(len(names))
-    i, j = np.nonzero(hit)
-    i, j = np.searchsorted(names, keys[i]), np.searchsorted(names, k2[j])
-    while len(i):
-        least = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
-        root = root[root]
-        left = root[i] != root[j]
-        i, j = i[left], j[left]
-    return [(int(names[x]), int(names[r])) for x, r in enumerate(root) if x != r]
+    i, j = np.nonzero(overlaps(sets, s2, num, den) > 0)
+    rows, roots = stars(keys[i], k2[j])
+    return list(zip(rows.tolist(), roots.tolist(), strict=True))
 
 
 def cluster_links(docs: DataFrame, keys: DataFrame, clusters: DataFrame, n: int, num: int, den: int) -> DataFrame:
