@@ -111,3 +111,23 @@ def test_overlaps_discard_only_what_cannot_be_linked(monkeypatch):
         for j, b in enumerate(sets):
             over = len(np.intersect1d(a, b))
             assert got[i, j] == (over if 100 * over >= 80 * (len(a) + len(b) - over) else -1)
+
+
+def test_stars_are_the_connected_parts():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (40, 30), (3000, 2500)):
+        a, b = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        a, b = np.append(a, np.arange(10 * n, 12 * n)), np.append(b, np.arange(10 * n + 1, 12 * n + 1))  # and a path
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+        rows, roots = ngram_join.stars(a, b)
+        assert dict(zip(rows.tolist(), roots.tolist())) == {x: find(x) for x in root if find(x) != x} and len(set(rows.tolist())) == len(rows)
+    assert [len(x) for x in ngram_join.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
