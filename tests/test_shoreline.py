@@ -104,3 +104,22 @@ def test_nearest_point(spark):
             d = np.hypot(*(x - v).T)
             assert abs(got[n, k][1] - d.min()) < 1e-6 and abs(d[got[n, k][0]] - d.min()) < 1e-9 * max(1, d.min())
     assert vector.nearest_point(p.limit(0), r).collect() == []
+
+
+def test_nearest_point_far_from_crowds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    crowd = np.concatenate((np.round(rng.random((1500, 2)) * 40, 1), 1e-7 * rng.random((200, 2)), [[9e4, 9e4]]))
+    refs = np.concatenate((rng.random((30, 2)) * 60 - 10, rng.random((30, 2)) * 1e-7, np.stack((np.linspace(1e3, 9e6, 400), np.full(400, 20.0)), 1)))
+    rows = [("a", k % 7 * 10_000 + k, *map(float, v)) for k, v in enumerate(np.concatenate((crowd, crowd)))]
+    p = spark.createDataFrame([*rows, ("a", -1, None, 3.0), ("null", 8, None, None), ("null", 5, 1.0, None)], "image_id string, idx bigint, x double, y double")
+    r = spark.createDataFrame([("a", k, *map(float, v)) for k, v in enumerate(refs)] + [("a", 1000, None, 1.0), ("null", 1, 0.0, 0.0), ("gone", 1, 0.0, 0.0)], "image_id string, ref int, rx double, ry double")
+    kept, inner = [], vector.cut
+    monkeypatch.setattr(vector, "cut", lambda df: kept.append(inner(df)) or kept[-1])
+    got = {(x.image_id, x.ref): (x.idx, x.d) for x in vector.nearest_point(p, r).collect()}
+    assert got.pop(("a", 1000)) == (-1, None) and got.pop(("null", 1)) == (5, None) and len(got) == len(refs)
+    idx, at = np.array([x[1] for x in rows]), np.array([x[2:] for x in rows])
+    for k, v in enumerate(refs):
+        d = np.sqrt((v[0] - at[:, 0]) * (v[0] - at[:, 0]) + (v[1] - at[:, 1]) * (v[1] - at[:, 1]))
+        assert got["a", k] == (idx[d == d.min()].min(), d.min())
+    # what a round keeps are a few parts a reference; the rings met the whole crowd from afar
+    assert max(df.count() for df in kept if "split" in df.columns and "rx" in df.columns) < 12 * len(refs)

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions.geometry import distance, extend_start
 from tidemark.functions.lineage import cut
+from tidemark.functions.shipping import ship_package
 
 #: Up to so many transects are broadcast to the vertices; more meet them on a grid.
 BROADCAST_TRANSECTS = 200
@@ -238,32 +241,77 @@ def smooth_sections(sections: DataFrame, sigma: float, window: int | None = None
     return _between(mean, "i", back, keys, "_at").select(*keys, "i", "x", "y")
 
 
-def nearest_point(points: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each reference (image_id, ref, rx, ry) the nearest point (image_id, idx, x, y) of its image, the smallest idx on ties; references of images without points have none.
-
-    Rings widen: round k puts points into cells of side first * 2^k and looks at the nine around a reference. A point found within one side is nearest, as all outside the nine are farther; other
-    references go on. Rounds grow with the logarithm of the extent over the first side, which comes from the points' mean density. References far from a dense crowd of points meet all of
-    the crowd that nine coarse cells hold."""
-    spread = points.groupBy("image_id").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in "xy"])
-    extent = spread.agg(F.min(F.greatest(F.sqrt(F.greatest(F.col("wx"), F.lit(1e-9)) * F.greatest(F.col("wy"), F.lit(1e-9)) / F.col("n")), F.lit(1e-6)))).first()[0]
-    if extent is None:
-        return refs.limit(0).select("image_id", "ref", F.lit(1).alias("idx"), F.lit(1.0).alias("d"))
-    side, out = 2 * float(extent), None
-    known = points.select("image_id").distinct()
-    left = cut(refs.select("image_id", "ref", "rx", "ry").join(known, "image_id", "left_semi"))
-    held = points.select("image_id", "idx", "x", "y")
-    d = distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+#: A square of the tree over an image's places has SPLIT x SPLIT parts. Parts of at most LEAF places, and those of the last of DEEPEST levels, aren't split again.
+SPLIT, LEAF, DEEPEST = 4, 16, 15
+
+
+def _place_tree(places: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(nodes, leaves) by level of places (image_id, idx, x, y), no two of an image in one spot. nodes: (image_id, node, kids), a split square with its parts that hold places and the tight boxes around
+    these; leaves: (image_id, node, idx, x, y), the places of parts that aren't split. The next level splits a part's tight box, so empty room takes no levels, and deals only the places of such parts."""
+    edges = [f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]
+    rest, nodes, leaves, cell = places.join(places.groupBy("image_id").agg(*edges), "image_id").withColumn("node", F.lit(0).cast("bigint")), [], [], ["image_id", "node"]
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    at = [F.least(F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}0"), side), F.lit(0.0)) * SPLIT), F.lit(SPLIT - 1)) for c in "xy"]
     while True:
-        around = left.withColumn("gx", F.explode(F.transform(steps, lambda i: F.floor(F.col("rx") / side) + i))).withColumn("gy", F.explode(F.transform(steps, lambda i: F.floor(F.col("ry") / side) + i)))
-        cells = held.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
-        best = around.join(cells, ["image_id", "gx", "gy"]).groupBy("image_id", "ref").agg(F.min(F.struct(d.alias("d"), F.col("idx"))).alias("m"))
-        sure = cut(best.where(F.col("m.d") <= side).select("image_id", "ref", F.col("m.idx").alias("idx"), F.col("m.d").alias("d")))
-        out = sure if out is None else out.unionByName(sure)
-        left = cut(left.join(sure, ["image_id", "ref"], "left_anti"))
-        if left.isEmpty():
-            return out
-        side *= 2
+        dealt = cut(rest.select("image_id", (F.col("node") * SPLIT * SPLIT + at[0] * SPLIT + at[1]).alias("node"), "idx", "x", "y"))
+        parts = cut(dealt.groupBy(cell).agg((F.count("*") > LEAF).alias("split"), *edges))
+        last = len(nodes) + 1 == DEEPEST or parts.where("split").isEmpty()
+        kid = F.struct("node", (F.lit(False) if last else F.col("split")).alias("split"), "x0", "x1", "y0", "y1")
+        nodes.append(cut(parts.groupBy("image_id", F.floor(F.col("node") / (SPLIT * SPLIT)).alias("_n")).agg(F.collect_list(kid).alias("kids")).withColumnRenamed("_n", "node")))
+        if last:
+            return nodes, [*leaves, dealt]
+        rest = dealt.join(parts.where("split"), cell)
+        leaves.append(dealt.join(parts.where("NOT split").select(cell), cell, "left_semi"))
+
+
+def nearest_point(points: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each reference (image_id, ref, rx, ry) the nearest point (image_id, idx, x, y) of its image, the smallest idx on ties; references of images without points have none. Where no distance is
+    known, for want of coordinates, idx is the image's smallest.
+
+    An image's places are a tree of squares. A reference goes down from the top: of a square's parts it keeps those whose box begins no farther than the nearest box is sure to hold a point, by all squares
+    that it is still in. So one far from a dense crowd meets the crowd's near edge alone. Rounds are the tree's levels; squares and references meet in equi-joins."""
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    images = points.groupBy("image_id").agg(F.min("idx").alias("_first"), F.count_if(both).alias("_n"))
+    nodes, leaves = _place_tree(cut(points.where(both).groupBy("image_id", "x", "y").agg(F.min("idx").alias("idx"))))
+    own = refs.select("image_id", "ref", F.col("rx").cast("double").alias("rx"), F.col("ry").cast("double").alias("ry"))
+    blind = own.join(images, "image_id").where("rx IS NULL OR ry IS NULL OR _n = 0").select("image_id", "ref", F.lit(float("inf")).alias("d"), F.col("_first").alias("idx"))
+    who, cell = ["image_id", "ref", "rx", "ry"], ["image_id", "node"]
+
+    def bounded(batches):
+        """The parts, a row each, that may hold the nearest point. least is the squared distance of a part's box, and as each side of a box has a point, none of them is farther than most."""
+        for b in batches:
+            kids, n = b.column("kids").flatten(), b.column("kids").value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            k = {f.name: kids.field(f.name).to_numpy(zero_copy_only=False) for f in kids.type}
+            near, side, far = {}, {}, {}
+            for c in "xy":
+                at = b.column(f"r{c}").to_numpy()[row]
+                low, high = k[f"{c}0"] - at, at - k[f"{c}1"]
+                near[c], side[c], far[c] = (v * v for v in (np.maximum(np.maximum(low, high), 0), np.minimum(np.abs(low), np.abs(high)), np.maximum(np.abs(low), np.abs(high))))
+            least, most = near["x"] + near["y"], np.minimum(side["x"] + far["y"], far["x"] + side["y"])
+            best = b.column("most").to_numpy().copy()
+            np.minimum.at(best, row, most)
+            keep = np.flatnonzero(least * (1 - 1e-12) <= best[row])  # roots of unequal squares may be equal
+            columns = [b.column(w).take(pa.array(row[keep])) for w in who] + [pa.array(v[keep]) for v in (best[row], least, k["node"], k["split"])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*who, "most", "least", "node", "split"])
+
+    ship_package(points.sparkSession)
+    kinds = ", ".join(f"`{w}` {own.schema[w].dataType.simpleString()}" for w in who) + ", most double, least double, node bigint, split boolean"
+    left, met = own.where("rx IS NOT NULL AND ry IS NOT NULL").withColumns({"node": F.lit(0).cast("bigint"), "most": F.lit(float("inf"))}), [blind]
+    for level, (node, leaf) in enumerate(zip(nodes, leaves, strict=True)):
+        seen = left.join(node, cell).select(*who, "most", "kids").mapInArrow(bounded, kinds)
+        if level:  # by all squares that a reference is in; few parts are left of each
+            parts = F.collect_list(F.struct("least", "node", "split"))
+            seen = seen.groupBy(who).agg(F.min("most").alias("most"), parts.alias("k")).select(*who, "most", F.inline("k")).where(F.col("least") * (1 - 1e-12) <= F.col("most"))
+        if level + 1 < len(nodes):
+            seen = cut(seen)
+            left = seen.where("split").drop("split", "least")
+        met.append(seen.where("NOT split").join(leaf, cell).select("image_id", "ref", distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")).alias("d"), "idx"))
+    every = met[0]
+    for m in met[1:]:
+        every = every.unionByName(m)
+    found = every.groupBy("image_id", "ref").agg(F.min(F.struct("d", "idx")).alias("m"))
+    return found.select("image_id", "ref", F.col("m.idx").alias("idx"), F.when(F.col("m.d") < float("inf"), F.col("m.d")).alias("d"))
 
 
 def prune(points: DataFrame, fraction: float, nearest: bool) -> DataFrame:
