@@ -35,3 +35,15 @@ def test_query(spark, sf, db, name):
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["ref_shoreline_lookup"])
+def test_lookup_of_repeated_scenes(spark, db, tmp_path, name):
+    """Orders of one customer at one time whose keys end alike are one scene; some orders have no time or no customer."""
+    path = str(tmp_path / "orders.parquet")
+    odd = "SELECT * REPLACE (CASE WHEN o_orderkey % 5 = 1 THEN NULL ELSE o_orderdate END AS o_orderdate, CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE o_custkey END AS o_custkey) FROM orders WHERE o_orderkey < 20"
+    db.sql(f"COPY (SELECT * FROM orders UNION ALL SELECT * REPLACE (o_orderkey + 100000 AS o_orderkey) FROM orders UNION ALL {odd}) TO '{path}' (FORMAT parquet)")
+    a = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    own = queries.ORACLE_SQL[name].replace("FROM orders", f"FROM read_parquet('{path}')")
+    b = db.sql(own).df()
+    assert own != queries.ORACLE_SQL[name] and plain(a) == plain(b)

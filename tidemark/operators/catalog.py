@@ -109,7 +109,7 @@ def reference_for(scenes: DataFrame, references: DataFrame) -> DataFrame:
     every = F.from_json(F.lit(json.dumps([r.asDict() for r in few])), "array<struct<file: string, year_from: int, year_to: int, month_from: int, month_to: int>>")
 
     def holds(r: Column) -> Column:
-        inside = F.year("ts").between(r.year_from, r.year_to) & month_in_range(F.month("ts"), r.month_from, r.month_to)
+        inside = F.when(F.year("ts").between(r.year_from, r.year_to), month_in_range(F.month("ts"), r.month_from, r.month_to))  # null without a time
         return r.year_from.isNull() | F.coalesce(inside, F.lit(False))
 
     return own.withColumn("file", F.get(F.filter(every, holds), 0).getField("file"))
