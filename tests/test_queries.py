@@ -37,7 +37,7 @@ def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["ref_shoreline_lookup"])
+@pytest.mark.parametrize("name", ["ref_shoreline_lookup", "bucket_by_period"])
 def test_lookup_of_repeated_scenes(spark, db, tmp_path, name):
     """Orders of one customer at one time whose keys end alike are one scene; some orders have no time or no customer."""
     path = str(tmp_path / "orders.parquet")

@@ -116,8 +116,8 @@ def reference_for(scenes: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def by_period(scenes: DataFrame, references: DataFrame) -> DataFrame:
-    """(file, n): scenes of each reference line, lines without scenes included."""
-    counts = reference_for(scenes, references).groupBy("file").agg(F.count("*").alias("n"))
+    """(file, n): scenes of each reference line, lines without scenes included. A scene without an id doesn't count."""
+    counts = reference_for(scenes, references).groupBy("file").agg(F.count("id").alias("n"))
     return references.select("file").join(counts, "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
