@@ -123,3 +123,17 @@ def test_nearest_point_far_from_crowds(spark, monkeypatch):
         assert got["a", k] == (idx[d == d.min()].min(), d.min())
     # what a round keeps are a few parts a reference; the rings met the whole crowd from afar
     assert max(df.count() for df in kept if "split" in df.columns and "rx" in df.columns) < 12 * len(refs)
+
+
+def test_resume_from_many_partitions(spark):
+    ids = [f"{k * 7919 % 5000:05d}" for k in range(5000)] + ["00001"] * 300
+    scenes = spark.createDataFrame([(i,) for i in ids], "image_id string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for start in (0, 1, 25, 299, 2500, 5299, 5300, 9000):
+            left = site.resume_from(scenes, start)
+            assert [r.image_id for r in left.collect()] == sorted(ids)[start:]
+        spread = site.resume_from(scenes, 25)
+        assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # an offset puts all rows into one task
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

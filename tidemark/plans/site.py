@@ -137,8 +137,15 @@ def reference_image(scenes: DataFrame, explicit: DataFrame | None = None, inputs
 
 
 def resume_from(scenes: DataFrame, start: int) -> DataFrame:
-    """Scenes in order of image_id without the first start of them."""
-    return scenes.orderBy("image_id").offset(start)
+    """Scenes in order of image_id without the first start of them. They are sorted by ranges into many partitions, kept, and counted there, so what goes is known by partition; an offset has one task for all rows."""
+    ordered = cut(scenes.orderBy("image_id").withColumn("_at", F.monotonically_increasing_id()))
+    first, gone = 1 << 62, start  # the highest bits of _at are the partition, the others a row's place there
+    for part, n in sorted(tuple(r) for r in ordered.groupBy(F.shiftright("_at", 33)).count().collect()):
+        if n > gone:
+            first = (part << 33) + gone
+            break
+        gone -= n
+    return ordered.where(F.col("_at") >= first).drop("_at")
 
 
 def write_status(done: DataFrame, folder: str) -> None:
