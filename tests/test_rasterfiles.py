@@ -113,3 +113,16 @@ def test_lzw_over_many_tables():
     rng = np.random.default_rng(2)
     for data in (b"", b"a", b"a" * 5000, bytes(rng.integers(0, 256, 20_000).astype(np.uint8)), bytes(rng.integers(0, 4, 60_000).astype(np.uint8))):
         assert geotiff._lzw(lzw(data)) == data
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    n = 300
+    pixels = spark.range(n * 6).select(F.concat(F.lit("i"), F.floor(F.col("id") / 6).cast("string")).alias("image_id"), (F.col("id") % 6 / 3).cast("int").alias("r"), (F.col("id") % 3).cast("int").alias("c"), (F.col("id") % 251).cast("int").alias("cls"))
+    folder = str(tmp_path / "many")
+    rasterfiles.write_rasters(pixels, folder, ["cls"], "_q.tif", compression="deflate")
+    back = rasterfiles.read_pixels(spark, folder, ["cls"], ["cls"], "_q.tif")
+    assert back.rdd.getNumPartitions() <= 20 < n and back.exceptAll(pixels).isEmpty() and back.count() == 6 * n
+    with open(f"{folder}/i7_q.tif", "wb") as f:  # the other files of its task stay
+        f.write(b"no TIFF at all")
+    left = rasterfiles.read_pixels(spark, folder, ["cls"], ["cls"], "_q.tif", corrupt="skip")
+    assert left.count() == 6 * (n - 1)

@@ -20,8 +20,8 @@ from tidemark.functions.shipping import ship_package
 from tidemark.sources.geotiff import Layout, directory, layout
 
 NAME = "tidemark_raster"
-#: Compressed bytes that a reading task takes on, and rows of a strip that is written.
-SHARE, STRIP = 8 << 20, 64
+#: Compressed bytes that a reading task takes on, what opening a file counts as there, and rows of a strip that is written.
+SHARE, OPENING, STRIP = 8 << 20, 128 << 10, 64
 SUFFIX = "_3B_AnalyticMS_toar_clip.tif"
 
 
@@ -39,26 +39,45 @@ class Part(InputPartition):
     n: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """What a task reads: a share of a large file, or some small files."""
+
+    parts: list[Part]
+
+
 class RasterReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict) -> None:
         self.folder, self.suffix, self.fail = options["path"], options.get("suffix", SUFFIX), options.get("corrupt", "fail") == "fail"
-        self.share, self.kinds = int(options.get("share", SHARE)), to_arrow_schema(schema)
+        self.share, self.tasks, self.kinds = int(options.get("share", SHARE)), int(options.get("tasks", 1)), to_arrow_schema(schema)
         self.bands = [b.strip() for b in options.get("bands", "b,g,red,nir").split(",")]
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         store_, place = store(self.folder)
-        files = store_.get_file_info(fs.FileSelector(place, recursive=True))
-        return [Part(f.path, k, n) for f in sorted(files, key=lambda f: f.path) if f.is_file and f.path.endswith(self.suffix) for n in [max(1, -(-f.size // self.share))] for k in range(n)]
-
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+        files = [f for f in store_.get_file_info(fs.FileSelector(place, recursive=True)) if f.is_file and f.path.endswith(self.suffix)]
+        load = min(self.share, max(sum(f.size + OPENING for f in files) // max(1, self.tasks), 1))
+        out, room = [], 0
+        for f in sorted(files, key=lambda f: f.path):
+            n = max(1, -(-f.size // self.share))
+            cost = f.size // n + OPENING
+            for k in range(n):
+                if cost > room:
+                    out.append(Parts([]))
+                    room = load
+                out[-1].parts.append(Part(f.path, k, n))
+                room -= cost
+        return out
+
+    def read(self, given: Parts) -> Iterator[pa.RecordBatch]:
         store_, _ = store(self.folder)
-        with store_.open_input_file(part.path) as f:
-            try:
-                t = layout(lambda o, n: f.read_at(n, o))
-                yield from self._blocks(part, t, f)
-            except (ValueError, KeyError, IndexError, zlib.error, EOFError) as why:
-                if self.fail:
-                    raise ValueError(f"{part.path}: {why}") from why
+        for part in given.parts:
+            with store_.open_input_file(part.path) as f:
+                try:
+                    t = layout(lambda o, n, f=f: f.read_at(n, o))
+                    yield from self._blocks(part, t, f)
+                except (ValueError, KeyError, IndexError, zlib.error, EOFError) as why:
+                    if self.fail:
+                        raise ValueError(f"{part.path}: {why}") from why
 
     def _blocks(self, part: Part, t: Layout, f) -> Iterator[pa.RecordBatch]:
         """A batch a block of a share: of images with a plane a band, the blocks of one place together, and only of the bands that are asked for."""
@@ -173,7 +192,7 @@ class RasterWriter(DataSourceArrowWriter):
 
 
 class RasterSource(DataSource):
-    """Options. Reading: path, suffix, bands (names in the files' order), corrupt (fail or skip), share (compressed bytes a task). Only the columns of the stated schema are
+    """Options. Reading: path, suffix, bands (names in the files' order), corrupt (fail or skip), share (compressed bytes a task), tasks (so many at least, where there are as many files). Only the columns of the stated schema are
     made; of files with a plane a band, only their planes are read. Writing: path, suffix, bands, dtype, compression (none or deflate), georef, epsg."""
 
     @classmethod
@@ -200,7 +219,7 @@ def read_pixels(spark: SparkSession, folder: str, columns: list[str], bands: lis
     that driver and tasks reach alike."""
     register(spark)
     schema = "image_id string, r int, c int" + "".join(f", {c} {kind}" for c in columns)
-    options = {"bands": ",".join(bands), "suffix": suffix, "corrupt": corrupt, "share": str(share)}
+    options = {"bands": ",".join(bands), "suffix": suffix, "corrupt": corrupt, "share": str(share), "tasks": str(spark.sparkContext.defaultParallelism)}
     return spark.read.format(NAME).schema(schema).options(**options).load(folder)
 
 
