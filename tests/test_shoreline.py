@@ -137,3 +137,16 @@ def test_resume_from_many_partitions(spark):
         assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 1  # an offset puts all rows into one task
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_cleaning_reads_its_classes_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    own = spark.range(400).select(F.lit("a").alias("image_id"), (F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), (F.col("id") % 20 > 8).cast("int").alias("cls"))
+    own = own.withColumn("cls", F.udf(seen, "int")("cls"))
+    assert raster.clean(own, 20, 20).count() == 400
+    assert read.value == 400

@@ -7,11 +7,11 @@ import numpy as np
 
 def box_deviation(a: np.ndarray, radius: int) -> np.ndarray:
     """The population deviation over (2 radius + 1) squared cells around each cell of a but its margin of radius; nan cells don't count, nan centres
-    stay nan."""
+    stay nan. The last two axes of a are rows and columns, the others hold images of their own."""
 
     def total(v: np.ndarray) -> np.ndarray:
-        across = sum(v[:, k : v.shape[1] - 2 * radius + k] for k in range(2 * radius + 1))
-        return sum(across[k : v.shape[0] - 2 * radius + k] for k in range(2 * radius + 1))
+        across = sum(v[..., k : v.shape[-1] - 2 * radius + k] for k in range(2 * radius + 1))
+        return sum(across[..., k : v.shape[-2] - 2 * radius + k, :] for k in range(2 * radius + 1))
 
     known = ~np.isnan(a)
     x = np.where(known, a, 0.0)
@@ -20,7 +20,7 @@ def box_deviation(a: np.ndarray, radius: int) -> np.ndarray:
         mean = total(x) / n
         out = np.sqrt(np.maximum(total(x * x) / n - mean * mean, 0.0))
     inner = slice(radius, -radius) if radius else slice(None)
-    return np.where(known[inner, inner], out, np.nan)
+    return np.where(known[..., inner, inner], out, np.nan)
 
 
 def _peak(power: np.ndarray, r: int, c: int) -> tuple[float, float]:

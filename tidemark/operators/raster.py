@@ -54,11 +54,12 @@ def image_std(pixels: DataFrame, columns: list[str], radius: int = 2, prefix: st
         fit = (r - top + radius < shape[0]) & (c - left + radius < shape[1])
         spots = np.ix_(mirrored(top - radius, h, shape[0]), mirrored(left - radius, w, shape[1]))
         mine = (r // tile == down) & (c // tile == right)
-        out = group.filter(pa.array(mine)).select(own)
-        for name, column in zip(names, columns, strict=True):
-            a = np.full(shape, np.nan)
-            a[(r - top + radius)[fit], (c - left + radius)[fit]] = group.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)[fit]
-            v = kernels.box_deviation(a[spots], radius)[(r - top)[mine], (c - left)[mine]]
+        out = (group if mine.all() else group.filter(pa.array(mine))).select(own)
+        a = np.full((len(columns), *shape), np.nan)
+        for k, column in enumerate(columns):
+            a[k, (r - top + radius)[fit], (c - left + radius)[fit]] = group.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)[fit]
+        deviations = kernels.box_deviation(a[:, spots[0], spots[1]], radius)[:, (r - top)[mine], (c - left)[mine]]
+        for name, v in zip(names, deviations, strict=True):
             out = out.append_column(name, pa.array(v, mask=np.isnan(v)))
         return out
 

@@ -116,7 +116,8 @@ def regions(classes: DataFrame, diagonal: bool = False, tile: int = TILE) -> Dat
 
 def drop_small(classes: DataFrame, cls: int, least: int) -> DataFrame:
     """classes (image_id, r, c, cls of 0 or 1, ...) in which regions of cls with fewer than least pixels have the other class. Only the runs of
-    such regions, not pixels, are joined."""
+    such regions, not pixels, are joined. The rows given are kept, as regions and join both read them."""
+    classes = cut(classes)
     small = regions(classes).where((F.col("cls") == cls) & (F.col("size") < least)).select("image_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"), F.lit(True).alias("_small"))
     joined = classes.join(small, ["image_id", "r", "c"], "left")
     return joined.withColumn("cls", F.when(F.col("_small"), 1 - F.col("cls")).otherwise(F.col("cls"))).select(classes.columns)

@@ -78,7 +78,12 @@ def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
     """(image_id, seq, x, y) of class rasters (image_id, r, c, cls, masked): contours of land in order, mask crop, buffer of the reference line, georeference, sections, smoothing. All steps are joins and
     windows; no group holds an image, and tiles are what Python sees."""
     clean = raster.clean(classes.withColumn("cls", (F.col("cls") == 1).cast("int")), s.least_land, s.least_water, s.erosion, s.dilation)
-    clean = cut(clean.select(F.col("image_id").cast("string").alias("image_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), (1 - F.col("cls")).alias("cls"), "masked"))
+    return traced(cut(clean.select(F.col("image_id").cast("string").alias("image_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "cls", "masked")), s)
+
+
+def traced(clean: DataFrame, s: Settings) -> DataFrame:
+    """shorelines of class rasters that are clean already: (image_id, r, c, cls of 0 or 1, masked)."""
+    clean = clean.withColumn("cls", 1 - F.col("cls"))
     size = cut(clean.groupBy("image_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w")))
     lines = contours.ordered(raster.segments(clean))
     clear = vector.crop_by_mask(lines.select("image_id", "seq", "r", "c"), clean, size)
@@ -87,7 +92,7 @@ def shorelines(classes: DataFrame, s: Settings) -> DataFrame:
     world = kept.select("image_id", "seq", (F.lit(xscale) * F.col("c") + F.lit(xshear) * F.col("r") + F.lit(xtr)).alias("x"), (F.lit(yshear) * F.col("c") + F.lit(yscale) * F.col("r") + F.lit(ytr)).alias("y"))
     sections = cut(vector.kept_sections(cut(world), s.min_length, s.max_gap, s.compat))
     smooth = sections if s.sigma is None else vector.smooth_sections(sections, s.sigma, s.window)
-    return smooth.select("image_id", (F.row_number().over(W.partitionBy("image_id").orderBy("section", "i")) - 1).alias("seq"), "x", "y")
+    return cut(smooth.select("image_id", (F.row_number().over(W.partitionBy("image_id").orderBy("section", "i")) - 1).alias("seq"), "x", "y"))
 
 
 def classified(pixels: DataFrame, model, s: Settings) -> DataFrame:
@@ -191,4 +196,4 @@ def performance(truth: DataFrame, pred: DataFrame, transects: DataFrame, s: Sett
     near = near_reference(clear, size, s).select("image_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
     pairs = clean.join(near, ["image_id", "r", "c"]).join(t, ["image_id", "r", "c"]).withColumn("inside", F.lit(True))
     true_lines = shorelines(t.join(p.select("image_id", "r", "c", "masked"), ["image_id", "r", "c"]).withColumnRenamed("truth", "cls"), replace(s, sigma=None))
-    return {"scores": ml.class_scores(pairs), "errors": evaluate(true_lines, shorelines(p, s), transects, s)}
+    return {"scores": ml.class_scores(pairs), "errors": evaluate(true_lines, traced(clean.withColumnRenamed("pred", "cls"), s), transects, s)}
